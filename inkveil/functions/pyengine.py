@@ -7,11 +7,16 @@ independent check of the JVM expressions in tests.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+# Ship this module's functions inside the job, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LOCATED = "struct<ord:int,start:int,end:int,value:string>"
 
 

@@ -9,9 +9,7 @@ from inkveil.config import Config
 from inkveil.functions import matching, pyengine, validators
 from inkveil.functions.arrays import let, quote, strings
 
-CANDIDATES = "array<struct<ord:int,seq:int,start:int,end:int,type:string,prefix:string,value:string>>"
-
-_GUARDS_COLUMN = "__guards"
+CANDIDATES = "array<struct<ord:int,seq:bigint,start:int,end:int,type:string,prefix:string,value:string>>"
 
 # Letters outside ASCII that match an ASCII letter when case is ignored.
 _FOLDS = {"i": "iIİı", "k": "kKK", "s": "sSſ"}
@@ -53,14 +51,14 @@ _GUARDS = {
     "ipv4": _rlike(r"[0-9]\.[0-9]"),
     "ipv6": f"contains({{t}}, '::') or {_rlike('[0-9a-fA-F]:[0-9a-fA-F]{1,4}:')}",
     "hostname": _rlike(r"(?iU)\.(?:" + "|".join(catalog.HOST_SUFFIXES) + r")\b"),
-    "phone": "{g}.two_digits",
+    "phone": "g.two_digits",
     "api_key": f"{_LONG_TOKEN} and {_SECRET_WORD}",
     "path_windows": "contains({t}, ':\\\\')",
     "path_unix": _rlike("(?iu)/(?:" + "|".join(catalog.UNIX_ROOTS) + ")/"),
-    "credit_card": "{g}.four_digits",
+    "credit_card": "g.four_digits",
     "date": _rlike(r"(?U)\d[/-]\d"),
-    "iban": "{g}.two_digits",
-    "ssn": "{g}.four_digits",
+    "iban": "g.two_digits",
+    "ssn": "g.four_digits",
     "username": _rlike(r"(?U)[uU](?:=|[sSſ][eE]?[rR])|[lL][oO][gG][iIİı][nN]|@\d"),
     "server_name": "contains({t}, '[') or contains({t}, '|') or "
     + _rlike(r"(?U)^[\s\x1c-\x1f]*+[^\s-]++-"),
@@ -69,6 +67,39 @@ _GUARDS = {
 _CHECKS = {"phone": validators.phone_sql, "credit_card": validators.card_sql}
 
 
+def candidates_sql(text: str, config: Config) -> str:
+    """All candidates of ``text`` as one JVM expression, for SQL functions."""
+    if any(p.groups for p in config.custom):
+        raise ValueError("custom patterns with groups need a DataFrame job")
+    names = [name for name in catalog.TYPE_NAMES if name in config.types]
+    return _combined(text, config, names, _plain(config), None, None)
+
+
+def _plain(config: Config) -> list:
+    return [(ord_, p) for ord_, p in _custom(config) if not p.groups]
+
+
+def _custom(config: Config) -> list:
+    return list(enumerate(config.custom, start=len(catalog.TYPES) + 1))
+
+
+def _combined(text: str, config: Config, names: list, custom: list, scored: str | None, found: str | None) -> str:
+    hits = [_builtin_hits("t", name) for name in names]
+    hits += [matching.hits("t", matching.jvm_custom_regex(p.regex), ord_) for ord_, p in custom]
+    parts = []
+    if hits:
+        guards = ", ".join(f"{_filled(sql, 't')} as {name}" for name, sql in _SHARED_GUARDS.items())
+        located = let("n", "length(t)", matching.located(f"concat({', '.join(hits)})", "n"))
+        parts.append(let("t", text, let("g", f"struct({guards})", located)))
+    if found is not None:
+        parts.append(found)
+    rows = [_named(_checked(part, config), config) for part in parts]
+    if scored is not None:
+        rows.insert(0, _admitted(scored, config))
+    empty = f"cast(array() as {CANDIDATES})"
+    return f"if({text} is null, {empty}, concat({', '.join(rows)}))" if rows else empty
+
+
 def with_candidates(
     df: DataFrame,
     config: Config,
@@ -88,39 +119,25 @@ def with_candidates(
         raise ValueError(f"column {out!r} exists already")
     if engine not in ("jvm", "python"):
         raise ValueError("engine must be 'jvm' or 'python'")
-    names = [name for name in catalog.TYPE_NAMES if name in config.types]
-    custom = list(enumerate(config.custom, start=len(catalog.TYPES) + 1))
     in_jvm = engine == "jvm"
-    body = f"`{text}`"
-
-    found = [_builtin_hits(body, name) for name in names if in_jvm]
-    found += [
-        matching.hits(body, matching.jvm_custom_regex(p.regex), ord_)
-        for ord_, p in custom
-        if in_jvm and not p.groups
-    ]
-    parts = []
-    if found:
-        guards = ", ".join(f"{_filled(sql, body)} as {name}" for name, sql in _SHARED_GUARDS.items())
-        df = df.withColumn(_GUARDS_COLUMN, F.expr(f"struct({guards})"))
-        parts.append(let("n", f"length({body})", matching.located(f"concat({', '.join(found)})", "n")))
-
-    slow = [(catalog.RANK[n], catalog.TYPE_BY_NAME[n].pattern) for n in names if not in_jvm]
-    slow += [(ord_, p.regex) for ord_, p in custom if not in_jvm or p.groups]
+    names = [name for name in catalog.TYPE_NAMES if name in config.types]
+    slow = [] if in_jvm else [(catalog.RANK[n], catalog.TYPE_BY_NAME[n].pattern) for n in names]
+    slow += [(ord_, p.regex) for ord_, p in _custom(config) if not in_jvm or p.groups]
     if slow:
         df = df.withColumn("__found", pyengine.finder(slow)(F.col(text)))
-        parts.append("__found")
-
-    rows = [_named(_checked(part, config), config) for part in parts]
-    if scored is not None:
-        rows.insert(0, _admitted(f"`{scored}`", config))
-    empty = f"cast(array() as {CANDIDATES})"
-    value = f"if({body} is null, {empty}, concat({', '.join(rows)}))" if rows else empty
-    return df.withColumn(out, F.expr(value)).drop(_GUARDS_COLUMN, "__found")
+    value = _combined(
+        f"`{text}`",
+        config,
+        names if in_jvm else [],
+        _plain(config) if in_jvm else [],
+        f"`{scored}`" if scored else None,
+        "__found" if slow else None,
+    )
+    return df.withColumn(out, F.expr(value)).drop("__found")
 
 
 def _filled(guard: str, text: str) -> str:
-    return guard.replace("{t}", text).replace("{g}", _GUARDS_COLUMN)
+    return guard.replace("{t}", text)
 
 
 def _builtin_hits(text: str, name: str) -> str:
