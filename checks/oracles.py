@@ -200,17 +200,15 @@ def recognise_french() -> str:
 
 
 HOSTS = f"SELECT page_id, {q.HOST} AS host FROM pages"
-# The parts, spelled out for each kind of host that the query makes.
+# The parts, spelled out for each kind of host that the query makes; the pages' own hosts
+# end in a suffix of one label.
 PARTS = (
-    "SELECT page_id, host, CASE page_id % 8 WHEN 0 THEN 'www' WHEN 2 THEN 'a' WHEN 7 THEN split_part(host, '.', 1) ELSE '' END AS subdomain, "
+    "SELECT page_id, host, CASE page_id % 8 WHEN 0 THEN 'www' WHEN 2 THEN 'a' WHEN 4 THEN split_part(host, '.', 1) "
+    "WHEN 7 THEN regexp_replace(host, '[.]?[^.]+[.][^.]+$', '') ELSE '' END AS subdomain, "
     "CASE page_id % 8 WHEN 0 THEN split_part(host, '.', 2) WHEN 1 THEN split_part(host, '.', 1) WHEN 2 THEN split_part(host, '.', 2) "
-    "WHEN 3 THEN 'www' WHEN 4 THEN 'internal' WHEN 5 THEN '' WHEN 6 THEN 'x' ELSE split_part(host, '.', 2) END AS domain, "
+    "WHEN 3 THEN 'www' WHEN 4 THEN 'internal' WHEN 5 THEN '' WHEN 6 THEN 'x' ELSE split_part(host, '.', -2) END AS domain, "
     "CASE page_id % 8 WHEN 0 THEN 'co.uk' WHEN 1 THEN 'github.io' WHEN 2 THEN 'foo.ck' WHEN 3 THEN 'ck' WHEN 4 THEN '' WHEN 5 THEN 'uk' "
-    f"WHEN 6 THEN 'org' ELSE split_part(host, '.', 3) END AS suffix, page_id % 8 = 1 AS is_private FROM ({HOSTS})"
-)
-PARTS = PARTS.replace(
-    "WHEN 7 THEN split_part(host, '.', 1) ELSE '' END AS subdomain",
-    "WHEN 4 THEN split_part(host, '.', 1) WHEN 7 THEN split_part(host, '.', 1) ELSE '' END AS subdomain",
+    f"WHEN 6 THEN 'org' ELSE split_part(host, '.', -1) END AS suffix, page_id % 8 = 1 AS is_private FROM ({HOSTS})"
 )
 VALID = "(domain <> '' AND suffix <> '')"
 COMMON = ", ".join(duck.lit(t) for t in catalog.COMMON_TLDS)

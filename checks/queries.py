@@ -14,6 +14,7 @@ from inkveil.functions.lineage import scratch_folder
 from inkveil.operators import audit, domains, mapping as maps, scored
 from inkveil.sources import mapping_files
 from inkveil.sources.session import MappingStore
+from inkveil.sources.tables import read_table
 from inkveil.streaming import streams
 
 SPAN = ("type", "value", "start", "end")
@@ -54,8 +55,12 @@ HOST = (
 )
 
 
+KEYS = {"documents": "doc_id", "pages": "page_id", "events": "event_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return read_table(spark, path, KEYS[name]) if name in KEYS else spark.read.parquet(path)
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -349,7 +354,7 @@ def sql_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 def log_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The service logs as a stream over the table's file."""
-    schema = table(spark, sf, "events").schema
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
     source = spark.readStream.schema(schema).parquet(f"{sf}/events.parque*")
     line = planted.line_sql(planted.SERVICE_LOG, "spark")
     return source.selectExpr("event_id", "user_id", f"{line} AS text")

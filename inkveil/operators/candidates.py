@@ -64,6 +64,22 @@ _GUARDS = {
     + _rlike(r"(?U)^[\s\x1c-\x1f]*+[^\s-]++-"),
 }
 
+# What a match can begin with: lets the JVM pass over most positions with one comparison.
+_BEGINS = {
+    "connection_string": "[sdhj]",
+    "uuid": "[0-9a-f]",
+    "ipv4": "[0-9]",
+    "mac": "[0-9a-f]",
+    "phone": "[0-9(+]",
+    "api_key": "[apscrgx]",
+    "credit_card": "[3-6]",
+    "date": r"\d",
+    "iban": "[a-z]",
+    "ssn": "[0-9]",
+    "username": r"[\s|ul\\]|^",
+    "server_name": r"[fouscri|\[]|^",
+}
+
 _CHECKS = {"phone": validators.phone_sql, "credit_card": validators.card_sql}
 
 
@@ -144,7 +160,8 @@ def _builtin_hits(text: str, name: str) -> str:
     spec = catalog.TYPE_BY_NAME[name]
     guard = _filled(_GUARDS[name], text) if name in _GUARDS else None
     split = matching.jvm_regex(spec.split) if spec.split else None
-    return matching.hits(text, matching.jvm_regex(spec.pattern), catalog.RANK[name], guard, split)
+    pattern = f"(?={_BEGINS[name]})(?:{spec.pattern})" if name in _BEGINS else spec.pattern
+    return matching.hits(text, matching.jvm_regex(pattern), catalog.RANK[name], guard, split)
 
 
 def _checked(found: str, config: Config) -> str:

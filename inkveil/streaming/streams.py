@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
@@ -62,6 +64,9 @@ def restore_stream_to(
 
     return df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
+# Ship this module's functions inside the job, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class _Numberer(StatefulProcessor):
     """Placeholders of one scope: value to placeholder, prefix to highest number."""
@@ -74,25 +79,35 @@ class _Numberer(StatefulProcessor):
         self.top = handle.getMapState("top", "prefix string", "n bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("__seq", kind="stable")
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq_", kind="stable")
+        known: dict[str, str] = {}
+        top: dict[str, int] = {}
         edits = []
-        for values in batch["__values"]:
+        for values in batch["values_"]:
             made = []
             for v in sorted(values, key=lambda v: -v["last"]):
+                if v["value"] not in known:
+                    known[v["value"]] = self._placeholder(v["value"], v["prefix"], top)
                 made += [
-                    {"start": s["start"], "end": s["end"], "replacement": self._placeholder(v)} for s in v["at"]
+                    {"start": s["start"], "end": s["end"], "replacement": known[v["value"]]} for s in v["at"]
                 ]
             edits.append(sorted(made, key=lambda e: e["start"]))
-        yield batch.drop(columns=["__values", "__seq", "__scope"]).assign(edits=edits)
-
-    def _placeholder(self, v: dict) -> str:
-        value = (v["value"],)
-        if not self.known.containsKey(value):
-            prefix = (v["prefix"],)
-            n = (self.top.getValue(prefix)[0] if self.top.containsKey(prefix) else 0) + 1
-            self.top.updateValue(prefix, (n,))
-            self.known.updateValue(value, (f"[{v['prefix']}_{n:03d}]",))
-        return self.known.getValue(value)[0]
+        for prefix, n in top.items():
+            self.top.updateValue((prefix,), (n,))
+        yield batch.drop(columns=["values_", "seq_", "scope_"]).assign(edits=edits)
+
+    def _placeholder(self, value: str, prefix: str, top: dict[str, int]) -> str:
+        """The stored placeholder, or the next one; state is asked once per value and batch."""
+        stored = self.known.getValue((value,))
+        if stored is not None:
+            return stored[0]
+        if prefix not in top:
+            last = self.top.getValue((prefix,))
+            top[prefix] = last[0] if last is not None else 0
+        top[prefix] += 1
+        placeholder = f"[{prefix}_{top[prefix]:03d}]"
+        self.known.updateValue((value,), (placeholder,))
+        return placeholder
 
     def close(self) -> None:
         pass
@@ -113,10 +128,10 @@ def redact_stream_keyed(
     ``ttl_ms`` forgets values and counters that were not written for that long. A scope is
     worked on by one task per batch; for very hot scopes use ``redact_stream_to``.
     """
-    slim = spanned(df, config, text).withColumn("__values", values_of("spans")).drop("spans")
-    keyed = slim.withColumn("__scope", scope_column(scope)).withColumn("__seq", F.col(seq))
+    slim = spanned(df, config, text).withColumn("values_", values_of("spans")).drop("spans")
+    keyed = slim.withColumn("scope_", scope_column(scope)).withColumn("seq_", F.col(seq))
     result = T.StructType([*df.schema.fields, T.StructField("edits", _edits_type())])
-    numbered = keyed.groupBy("__scope").transformWithStateInPandas(
+    numbered = keyed.groupBy("scope_").transformWithStateInPandas(
         _Numberer(ttl_ms), result, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
     )
     return apply_edits(numbered, text, out)
