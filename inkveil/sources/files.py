@@ -27,7 +27,7 @@ def read_uploads(spark: SparkSession, path: str, cap: int = UPLOAD_CAP) -> tuple
     """Files as UTF-8, else Latin-1; files over ``cap`` bytes are listed apart and not read."""
     files = spark.read.format("binaryFile").load(path)
     raw = F.col("content").cast("string")
-    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode("content", "ISO-8859-1"))
     accepted = files.where(F.col("length") <= cap).select(F.col("path").alias("doc_id"), text.alias("text"))
     rejected = files.where(F.col("length") > cap).select(F.col("path").alias("doc_id"), "length")
     return accepted, rejected

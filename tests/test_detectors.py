@@ -31,7 +31,7 @@ GOLDENS = [
     ("x\nSRV-A : ok=0", []),
     ("SRV-A : ok=0", [("server_name", "SRV-A")]),
     ("| SRV-A   ok=0", [("server_name", "SRV-A")]),
-    ("u=bob, u=al", [("username", "bob")]),
+    ("u=bob, u=a", [("username", "bob")]),
     ("u=bob u=alice", [("username", "bob"), ("username", "alice")]),
     (" root@10.0.0.1", [("username", "root"), ("ipv4", "10.0.0.1")]),
     ("x\\r\\nroot@10.0.0.1", [("username", "root"), ("ipv4", "10.0.0.1")]),
