@@ -51,6 +51,7 @@ _GUARDS = {
     "ipv4": _rlike(r"[0-9]\.[0-9]"),
     "ipv6": f"contains({{t}}, '::') or {_rlike('[0-9a-fA-F]:[0-9a-fA-F]{1,4}:')}",
     "hostname": _rlike(r"(?iU)\.(?:" + "|".join(catalog.HOST_SUFFIXES) + r")\b"),
+    "mac": _rlike(r"[:-][0-9a-fA-F]{2}[:-]|\.[0-9a-fA-F]{4}\."),
     "phone": "g.two_digits",
     "api_key": f"{_LONG_TOKEN} and {_SECRET_WORD}",
     "path_windows": "contains({t}, ':\\\\')",
@@ -67,6 +68,8 @@ _GUARDS = {
 # What a match can begin with: lets the JVM pass over most positions with one comparison.
 _BEGINS = {
     "connection_string": "[sdhj]",
+    "email": r"\b[a-z0-9][a-z0-9._%+-]*+@",
+    "hostname": r"\b[a-z0-9][a-z0-9-]*+\.",
     "uuid": "[0-9a-f]",
     "ipv4": "[0-9]",
     "mac": "[0-9a-f]",

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from inkveil.functions.arrays import let
 from inkveil.functions.lineage import written
-from inkveil.operators.numbering import placeholder_sql, values_of
+from inkveil.operators.numbering import placeholder_sql, values_sql
 
 GLOBAL_SCOPE = ""
 
@@ -39,21 +40,21 @@ def scope_column(scope: str) -> Column:
 
 
 def keyed_values(spanned: DataFrame, doc: str, scope: str, seq: str, spans: str = "spans") -> DataFrame:
-    """One row per document and distinct value: ``doc, scope, seq, value, last, prefix, at``.
+    """One row per document and distinct value: ``doc, scope, seq, of, value, last, prefix, at``.
+
+    ``of`` is the number of such rows of the document.
 
     A written narrow table that numbering and rewriting share, so that texts are searched
     once and not carried along.
     """
-    rows = (
-        spanned.select(
-            F.col(doc).alias("doc"),
-            scope_column(scope).alias("scope"),
-            F.col(seq).alias("seq"),
-            F.explode(values_of(spans)).alias("v"),
-        )
-        .select("doc", "scope", "seq", "v.value", "v.last", "v.prefix", "v.at")
+    counted = F.expr(let("vals", values_sql(f"`{spans}`"), "transform(vals, v -> struct(size(vals) as of, v as v))"))
+    rows = spanned.select(
+        F.col(doc).alias("doc"),
+        scope_column(scope).alias("scope"),
+        F.col(seq).alias("seq"),
+        F.explode(counted).alias("e"),
     )
-    return written(rows)
+    return written(rows.select("doc", "scope", "seq", "e.of", "e.v.value", "e.v.last", "e.v.prefix", "e.v.at"))
 
 
 def assign(keyed: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -87,7 +88,7 @@ def _numbered(fresh: DataFrame, existing: DataFrame | None) -> DataFrame:
     """
     group = ["scope", "prefix"]
     ordered = written(
-        fresh.orderBy("scope", "prefix", "first_seq", F.desc("first_pos")).withColumn(
+        fresh.orderBy("scope", "prefix", "first_seq", F.desc("first_pos"), "value").withColumn(
             "row", F.monotonically_increasing_id()
         )
     ).withColumn("part", F.shiftright("row", 33))

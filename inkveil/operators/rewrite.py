@@ -10,6 +10,7 @@ from inkveil.operators.numbering import EDITS
 
 # A value that holds more than one in this many rows is joined by broadcast.
 HOT_SHARE = 1000
+SALTS = 64
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
 
@@ -49,28 +50,38 @@ def looked_up(keys: DataFrame, table: DataFrame, on: list[str], value: str) -> D
 
     Both should be written tables: they are measured first. A table that fits is broadcast.
     Otherwise keys that hold more than a thousandth of all rows (so fewer than a thousand
-    keys) are joined by broadcast and never meet in one task, and the rest is shuffled.
+    keys) are taken apart, by broadcast or, should their texts be too large for it, by a
+    salted join; the rest is shuffled. No task meets all rows of a hot key.
     """
     known = table.select(*on, value)
     if fits_broadcast(known):
         return keys.join(F.broadcast(known), on, "inner")
     total = keys.count()
     hot = keys.groupBy(*on).count().where(F.col("count") * HOT_SHARE > F.lit(total)).drop("count")
-    hot_known = written(known.join(F.broadcast(hot), on, "left_semi")).withColumn("__hot", F.lit(True))
-    marked = keys.join(F.broadcast(hot_known), on, "left")
+    hot_known = written(known.join(hot, on, "left_semi")).withColumn("__hot", F.lit(True))
+    if fits_broadcast(hot_known):
+        marked = keys.join(F.broadcast(hot_known), on, "left")
+    else:
+        salted = hot_known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = keys.withColumn("__salt", F.pmod(F.xxhash64(*keys.columns), F.lit(SALTS)).cast("int"))
+        marked = spread.join(salted.hint("merge"), [*on, "__salt"], "left").drop("__salt")
     common = marked.where("__hot").drop("__hot")
     rest = marked.where("__hot is null").drop("__hot", value).join(known.hint("merge"), on, "inner")
     return common.unionByName(rest)
 
 
-def edits_by_lookup(keys: DataFrame, table: DataFrame, on: list[str], replacement: str, doc: str) -> DataFrame:
+def edits_by_lookup(
+    keys: DataFrame, table: DataFrame, on: list[str], replacement: str, doc: str, of: str | None = None
+) -> DataFrame:
     """Edits per document: each row of ``keys`` is a key of a document with its positions ``at``.
 
-    Keys without a replacement yield no edit.
+    Keys without a replacement yield no edit. ``of`` names a column with the number of keys
+    of the document; another number of rows means that two documents share an id, and fails.
     """
     placed = F.transform("at", lambda s: F.struct(s.start, s.end, F.col(replacement)))
-    return (
-        looked_up(keys, table, on, replacement)
-        .groupBy(doc)
-        .agg(F.array_sort(F.flatten(F.collect_list(placed))).cast(EDITS).alias("edits"))
-    )
+    edits = F.array_sort(F.flatten(F.collect_list(placed))).cast(EDITS)
+    if of is not None:
+        message = F.concat(F.lit("document id is not unique: "), F.col(doc).cast("string"))
+        same = (F.count("*") == F.max(of)) & (F.max(of) == F.min(of))
+        edits = F.when(same, edits).otherwise(F.raise_error(message).cast(EDITS))
+    return looked_up(keys, table, on, replacement).groupBy(doc).agg(edits.alias("edits"))

@@ -79,7 +79,7 @@ def redact(
     keyed = keyed_values(spanned(slim, config, text, scored, engine), doc, scope, seq)
     added = written(assign(keyed, existing))
     mapping = added if existing is None else existing.select(added.columns).unionByName(added)
-    edits = edits_by_lookup(keyed, mapping, ["scope", "value"], "placeholder", "doc")
+    edits = edits_by_lookup(keyed, mapping, ["scope", "value"], "placeholder", "doc", of="of")
     joined = df.join(edits.withColumnRenamed("doc", doc), doc, "left")
     return Redaction(apply_edits(joined, text, out), mapping, added)
 

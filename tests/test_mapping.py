@@ -87,10 +87,11 @@ def test_result_does_not_depend_on_partitions(corpus):
     assert texts(redact(corpus.repartition(13), Config(), doc="doc_id")) == expected
 
 
-@pytest.mark.parametrize("share", [1, 10, 1000, 10**9])
-def test_hot_and_cold_keys_take_different_joins_to_the_same_result(corpus, monkeypatch, share):
+@pytest.mark.parametrize("share", [10, 10**9])
+@pytest.mark.parametrize("hot_fits", [True, False])
+def test_hot_and_cold_keys_take_different_joins_to_the_same_result(corpus, monkeypatch, share, hot_fits):
     expected = texts(redact(corpus, Config(), doc="doc_id", scope="team"))
-    monkeypatch.setattr(rewrite, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(rewrite, "fits_broadcast", lambda table: hot_fits and "__hot" in table.columns)
     monkeypatch.setattr(rewrite, "HOT_SHARE", share)
     result = redact(corpus, Config(), doc="doc_id", scope="team")
     assert texts(result) == expected
@@ -98,6 +99,12 @@ def test_hot_and_cold_keys_take_different_joins_to_the_same_result(corpus, monke
     assert back.where("restored <> text").count() == 0
 
 
+def test_shared_document_ids_fail(docs):
+    df = docs("a@x.com", "b@x.com").withColumn("doc_id", F.lit(1))
+    with pytest.raises(Exception, match="not unique"):
+        redact(df, Config(), doc="doc_id").redacted.collect()
+
+
 def test_round_trip(docs):
     df = docs(*random_texts(21, 300)).where("not rlike(text, '\\\\[[^\\\\[\\\\]]+_[0-9]{3,}\\\\]')")
     result = redact(df, Config(), doc="doc_id")
