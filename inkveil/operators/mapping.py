@@ -35,8 +35,16 @@ def empty_mapping(spark: SparkSession, seq: T.DataType | None = None) -> DataFra
 
 
 def scope_column(scope: str) -> Column:
-    """``'global'``: one scope for all rows; otherwise the name of the column that holds it."""
-    return F.lit(GLOBAL_SCOPE) if scope == "global" else F.col(scope).cast("string")
+    """``'global'``: one scope for all rows; otherwise the name of the column that holds it.
+
+    Rows without a scope share the empty one: a null would find no mapping and stay unredacted.
+    """
+    return F.lit(GLOBAL_SCOPE) if scope == "global" else F.coalesce(F.col(scope).cast("string"), F.lit(GLOBAL_SCOPE))
+
+
+def doc_column(doc: str) -> Column:
+    """The document id; a null would find no edits, so it fails."""
+    return F.coalesce(F.col(doc), F.raise_error("document id is null"))
 
 
 def keyed_values(spanned: DataFrame, doc: str, scope: str, seq: str, spans: str = "spans") -> DataFrame:
@@ -49,7 +57,7 @@ def keyed_values(spanned: DataFrame, doc: str, scope: str, seq: str, spans: str
     """
     counted = F.expr(let("vals", values_sql(f"`{spans}`"), "transform(vals, v -> struct(size(vals) as of, v as v))"))
     rows = spanned.select(
-        F.col(doc).alias("doc"),
+        doc_column(doc).alias("doc"),
         scope_column(scope).alias("scope"),
         F.col(seq).alias("seq"),
         F.explode(counted).alias("e"),

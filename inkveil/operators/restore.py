@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from inkveil.functions import matching
 from inkveil.functions.arrays import let
 from inkveil.functions.lineage import written
-from inkveil.operators.mapping import scope_column
+from inkveil.operators.mapping import doc_column, scope_column
 from inkveil.operators.numbering import values_of
 from inkveil.operators.resolve import SPANS
 from inkveil.operators.rewrite import apply_edits, edits_by_lookup
@@ -35,7 +35,7 @@ def restore(
     """
     tokens = (
         with_tokens(df.select(doc, text, *([] if scope in ("global", doc, text) else [scope])), text)
-        .select(F.col(doc).alias("doc"), scope_column(scope).alias("scope"), F.explode(values_of("tokens")).alias("v"))
+        .select(doc_column(doc).alias("doc"), scope_column(scope).alias("scope"), F.explode(values_of("tokens")).alias("v"))
         .select("doc", "scope", F.col("v.value").alias("placeholder"), "v.at")
     )
     edits = edits_by_lookup(written(tokens), mapping, ["scope", "placeholder"], "value", "doc")

@@ -105,6 +105,17 @@ def test_shared_document_ids_fail(docs):
         redact(df, Config(), doc="doc_id").redacted.collect()
 
 
+def test_missing_scopes_are_redacted_and_missing_ids_fail(spark):
+    df = spark.createDataFrame([(0, None, "a@x.com"), (1, "s", "b@x.com")], "doc_id int, team string, text string")
+    result = redact(df, Config(), doc="doc_id", scope="team")
+    assert texts(result) == ["[EMAIL_001]", "[EMAIL_001]"]
+    back = restore(result.redacted, result.mapping, "doc_id", "team", "redacted")
+    assert back.where("restored <> text").count() == 0
+    bad = spark.createDataFrame([(None, "a@x.com")], "doc_id int, text string")
+    with pytest.raises(Exception, match="id is null"):
+        redact(bad, Config(), doc="doc_id")
+
+
 def test_round_trip(docs):
     df = docs(*random_texts(21, 300)).where("not rlike(text, '\\\\[[^\\\\[\\\\]]+_[0-9]{3,}\\\\]')")
     result = redact(df, Config(), doc="doc_id")
