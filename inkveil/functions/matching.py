@@ -27,8 +27,15 @@ def jvm_custom_regex(pattern: str) -> str:
     return "(?iUd)" + pattern.replace("(?P<", "(?<")
 
 
-def pieces(text: str, regex: str) -> str:
-    """``[gap, match, gap, ..., gap]``; one element when nothing matches."""
+def holds_separator(text: str) -> str:
+    return f"contains({text}, {quote(SEPARATOR)})"
+
+
+def pieces(text: str, regex: str, marked_text: str | None = None) -> str:
+    """``[gap, match, gap, ..., gap]``; one element when nothing matches.
+
+    ``marked_text`` is a boolean that tells whether the text holds the separator, if known.
+    """
     pattern, mark = quote(regex), quote(SEPARATOR)
     marked = f"regexp_replace({text}, {pattern}, {quote(SEPARATOR + '$0' + SEPARATOR)})"
     # A text that holds the separator itself is matched and split in two passes instead.
@@ -36,15 +43,17 @@ def pieces(text: str, regex: str) -> str:
         f"flatten(zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), "
         "(gap, hit) -> if(hit is null, array(gap), array(gap, hit))))"
     )
-    return f"if(contains({text}, {mark}), {paired}, split({marked}, {mark}, -1))"
+    return f"if({marked_text or holds_separator(text)}, {paired}, split({marked}, {mark}, -1))"
 
 
-def hits(text: str, regex: str, ord_: int, guard: str | None = None, split: str | None = None) -> str:
+def hits(
+    text: str, regex: str, ord_: int, guard: str | None = None, split: str | None = None, marked_text: str | None = None
+) -> str:
     """One element per match plus one for the text after the last; empty without a match.
 
     ``guard`` is a cheap necessary condition. ``value`` is null in the closing element.
     """
-    found = pieces(text, regex)
+    found = pieces(text, regex, marked_text)
     if guard is not None:
         found = f"if({guard}, {found}, null)"
     hit = "get(p, 2 * i + 1)"

@@ -33,6 +33,7 @@ def _rlike(regex: str) -> str:
 _SHARED_GUARDS = {
     "two_digits": _rlike("[0-9]{2}"),
     "four_digits": _rlike("[0-9]{4}"),
+    "separator": matching.holds_separator("{t}"),
 }
 
 _LONG_TOKEN = _rlike(r"(?iu)(?<![a-z0-9_.=+/-])[a-z0-9_.=+/-]{15}")
@@ -104,7 +105,9 @@ def _custom(config: Config) -> list:
 
 def _combined(text: str, config: Config, names: list, custom: list, scored: str | None, found: str | None) -> str:
     hits = [_builtin_hits("t", name) for name in names]
-    hits += [matching.hits("t", matching.jvm_custom_regex(p.regex), ord_) for ord_, p in custom]
+    hits += [
+        matching.hits("t", matching.jvm_custom_regex(p.regex), ord_, marked_text="g.separator") for ord_, p in custom
+    ]
     parts = []
     if hits:
         guards = ", ".join(f"{_filled(sql, 't')} as {name}" for name, sql in _SHARED_GUARDS.items())
@@ -164,7 +167,7 @@ def _builtin_hits(text: str, name: str) -> str:
     guard = _filled(_GUARDS[name], text) if name in _GUARDS else None
     split = matching.jvm_regex(spec.split) if spec.split else None
     pattern = f"(?={_BEGINS[name]})(?:{spec.pattern})" if name in _BEGINS else spec.pattern
-    return matching.hits(text, matching.jvm_regex(pattern), catalog.RANK[name], guard, split)
+    return matching.hits(text, matching.jvm_regex(pattern), catalog.RANK[name], guard, split, "g.separator")
 
 
 def _checked(found: str, config: Config) -> str:

@@ -30,24 +30,28 @@ def _settled(cluster: str) -> str:
     )
 
 
-def _clusters(candidates: str) -> str:
-    """Groups of candidates that overlap directly or through others, found by sorting.
+def spans_sql(candidates: str) -> str:
+    """Surviving findings, disjoint and ordered by start.
 
-    The i-th candidate by start opens a group exactly when the i-1 smallest ends all lie
-    at or before its start. Groups are settled apart, so the work follows their sizes.
+    Candidates that overlap directly or through others form a group, found by sorting: the
+    i-th by start opens a group exactly when the i-1 smallest ends all lie at or before its
+    start. Groups are settled apart, so the work follows their sizes.
     """
     by_start = f"array_sort(transform({candidates}, x -> struct(x.start as s, x as c)))"
     ends = f"array_sort(transform({candidates}, x -> x.end))"
     opens = f"filter({indexes('1', 'size(ends) - 1')}, i -> ends[i - 1] <= by_start[i].s)"
-    return let("by_start", by_start, let("ends", ends, cut_at("by_start", f"concat(array(0), {opens})")))
-
-
-def spans_sql(candidates: str) -> str:
-    """Surviving findings, disjoint and ordered by start."""
-    groups = f"transform({_clusters(candidates)}, g -> transform(g, y -> y.c))"
-    settled = f"flatten(transform({groups}, g -> if(size(g) = 1, g, {_settled('g')})))"
-    spans = f"transform({settled}, x -> struct(x.start, x.end, x.type, x.prefix, x.value))"
-    return f"if(size({candidates}) = 0, cast(array() as {SPANS}), cast(array_sort({spans}) as {SPANS}))"
+    span = "struct({0}.start, {0}.end, {0}.type, {0}.prefix, {0}.value)"
+    alone = f"transform(by_start, y -> {span.format('y.c')})"
+    groups = cut_at("by_start", "concat(array(0), opens)")
+    group = f"if(size(g) = 1, transform(g, y -> y.c), {_settled('transform(g, y -> y.c)')})"
+    settled = f"flatten(transform({groups}, g -> {group}))"
+    apart = f"array_sort(transform({settled}, x -> {span.format('x')}))"
+    spans = let(
+        "by_start",
+        by_start,
+        let("ends", ends, let("opens", opens, f"if(size(opens) = size(ends) - 1, {alone}, {apart})")),
+    )
+    return f"if(size({candidates}) = 0, cast(array() as {SPANS}), cast({spans} as {SPANS}))"
 
 
 def resolve(candidates: str) -> Column:

@@ -8,7 +8,7 @@ from inkveil.functions import matching
 from inkveil.functions.arrays import let
 from inkveil.functions.lineage import written
 from inkveil.operators.mapping import doc_column, scope_column
-from inkveil.operators.numbering import values_of
+from inkveil.operators.numbering import EDITS, values_of
 from inkveil.operators.resolve import SPANS
 from inkveil.operators.rewrite import apply_edits, edits_by_lookup
 
@@ -41,3 +41,52 @@ def restore(
     edits = edits_by_lookup(written(tokens), mapping, ["scope", "placeholder"], "value", "doc")
     joined = df.join(edits.withColumnRenamed("doc", doc), doc, "left")
     return apply_edits(joined, text, out)
+
+
+def expand_nested(mapping: DataFrame) -> DataFrame:
+    """A mapping whose values have the placeholders inside them replaced, for ``restore``.
+
+    Restoring entry by entry in order of appearance would replace a placeholder inside a
+    restored value when its own entry comes later. This gives the same texts in one pass:
+    values with later placeholders in them, few if any, are expanded until none changes.
+    """
+    order = ["first_seq", "first_back"]
+    entries = mapping.withColumn("first_back", -F.col("first_pos"))
+    nested = written(entries.where(F.rlike("value", F.lit(TOKEN))).withColumn("expanded", F.col("value")))
+    while True:
+        inner = entries.select(
+            "scope",
+            "placeholder",
+            F.struct(*order).alias("inner_order"),
+            F.col("value").alias("inner_value"),
+        )
+        done = nested.select("scope", "placeholder", F.col("expanded").alias("inner_expanded"))
+        known = inner.join(done, ["scope", "placeholder"], "left").withColumn(
+            "replacement", F.coalesce("inner_expanded", "inner_value")
+        )
+        tokens = with_tokens(nested, "value").select(
+            "scope",
+            F.col("placeholder").alias("outer"),
+            F.struct(*order).alias("outer_order"),
+            F.explode(values_of("tokens")).alias("v"),
+        )
+        later = tokens.select("scope", "outer", "outer_order", F.col("v.value").alias("placeholder"), "v.at").join(
+            known.select("scope", "placeholder", "inner_order", "replacement"), ["scope", "placeholder"]
+        )
+        placed = F.transform("at", lambda s: F.struct(s.start, s.end, F.col("replacement")))
+        edits = (
+            later.where("inner_order > outer_order")
+            .groupBy("scope", F.col("outer").alias("placeholder"))
+            .agg(F.array_sort(F.flatten(F.collect_list(placed))).cast(EDITS).alias("edits"))
+        )
+        before = nested.withColumnRenamed("expanded", "before")
+        nested = written(apply_edits(before.join(edits, ["scope", "placeholder"], "left"), "value", "expanded"))
+        if nested.where("expanded <> before").isEmpty():
+            break
+        nested = nested.drop("before")
+    expanded = nested.select("scope", "placeholder", "expanded")
+    return (
+        mapping.join(expanded, ["scope", "placeholder"], "left")
+        .withColumn("value", F.coalesce("expanded", "value"))
+        .select(mapping.columns)
+    )

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from inkveil import Config, redact, redact_documents, restore
 from inkveil.operators import mapping as maps, rewrite
+from inkveil.operators.restore import expand_nested
 from tests.test_detectors import random_texts
 
 
@@ -146,3 +147,19 @@ def test_searching_happens_once(corpus):
     plan = find(corpus, Config.of(["email"]), ["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("regexp_replace(") == 1
     assert "ReadSchema" not in plan
+
+
+def test_nested_placeholders_follow_the_order_of_entries(spark, docs):
+    rows = [
+        ("", "one [IP_002] and [VAL_009]", "[VAL_001]", "VAL", 1, 0, 0),
+        ("", "two [IP_003] [VAL_001]", "[IP_002]", "IP", 2, 1, 0),
+        ("", "three", "[IP_003]", "IP", 3, 2, 0),
+    ]
+    known = spark.createDataFrame(rows, maps.empty_mapping(spark).schema)
+    text = "[VAL_001] / [IP_002]"
+    expected = text
+    for _, value, placeholder, *_ in rows:
+        expected = expected.replace(placeholder, value)
+    assert restore(docs(text), expand_nested(known), "doc_id").first().restored == expected
+    plain = known.where("n = 3")
+    assert expand_nested(plain).collect() == plain.collect()
