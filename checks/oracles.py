@@ -221,7 +221,6 @@ CONFIDENCE = (
 
 def domain_find() -> str:
     """Dotted names of the pages under the rules that occur there."""
-    rule = catalog.DOMAIN_PATTERN
     plain = r"(?i)\b(?:" + duck._LABEL + r")+[a-zA-Z]{2,}\b"
     found = duck.matches("pages", "page_id", plain, "html")
     known = ", ".join(duck.lit(r) for r, _ in q.SUFFIXES if "*" not in r and "!" not in r and "." not in r)
@@ -229,7 +228,6 @@ def domain_find() -> str:
         "SELECT page_id, start, value, split_part(lower(value), '.', -1) AS tld, "
         f"len(string_split(value, '.')) AS labels, split_part(value, '.', -2) AS domain FROM ({found})"
     )
-    assert rule
     scored = (
         f"SELECT *, CASE WHEN labels > 2 THEN 'FQDN' ELSE 'DOMAIN' END AS entity, round(CAST(least(0.5 + 0.3 + "
         "CASE WHEN labels > 2 THEN 0.1 ELSE 0 END + CASE WHEN split_part(value, '.', -1) IN "

@@ -379,14 +379,24 @@ def stream_global(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_keyed(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "out")
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    done = streams.redact_stream_keyed(log_stream(spark, sf), Config(), scope="user_id", seq="event_id")
-    done = done.select("event_id", "redacted")
-    writer = done.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "ck"))
-    writer.trigger(availableNow=True).start().awaitTermination()
+    # One state store per shuffle partition: as many as two per core are enough here.
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.shuffle.partitions": str(
+            min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+        ),
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        done = streams.redact_stream_keyed(log_stream(spark, sf), Config(), scope="user_id", seq="event_id")
+        done = done.select("event_id", "redacted")
+        writer = done.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "ck"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(done.schema).parquet(path)
 
 

@@ -9,14 +9,22 @@ from inkveil.functions import pyengine
 from inkveil.plans.pipelines import spanned
 
 DEMO = (
-    "Jul 08 09:14:22 [ERROR] Connection from 10.0.4.17 refused by firewall\n"
-    "Jul 08 09:14:23 [WARN]  Host db-prod-02.internal.corp did not respond to healthcheck\n"
-    "Jul 08 09:14:25 [INFO]  Retrying with fallback credentials user=jdupont@acme-corp.com\n"
-    "Jul 08 09:14:26 [ERROR] Auth failed, API key sk-proj-9fKp2XyzAbC1234567890 rejected\n"
+    "10:00:01 ERROR link from 10.1.2.3 dropped\n"
+    "10:00:02 WARN  no answer of cache-07.lan.internal so far\n"
+    "10:00:03 INFO  next try with user=mlee@north-hill.org\n"
+    "10:00:04 ERROR token sk-live-4bQz8RstUvW9876543210 refused\n"
 )
 
 GOLDENS = [
-    (DEMO, [("ipv4", "10.0.4.17"), ("hostname", "db-prod-02.internal.corp"), ("email", "jdupont@acme-corp.com"), ("api_key", "sk-proj-9fKp2XyzAbC1234567890")]),
+    (
+        DEMO,
+        [
+            ("ipv4", "10.1.2.3"),
+            ("hostname", "cache-07.lan.internal"),
+            ("email", "mlee@north-hill.org"),
+            ("api_key", "sk-live-4bQz8RstUvW9876543210"),
+        ],
+    ),
     ("user=a.example.com", [("username", "a.example.com")]),
     ("4111111111111112", []),
     ("4111 1111 1111 1111", [("credit_card", "4111 1111 1111 1111")]),
