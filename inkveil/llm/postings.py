@@ -243,3 +243,12 @@ def contamination(docs: DataFrame, tests: DataFrame, doc: str = "doc_id", text:
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         "n_near",
     )
+
+
+def clean(docs: DataFrame, tests: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+    """All columns of the documents that are not contaminated."""
+    # Rows are told apart by id and text, as ids may repeat or be null.
+    key = F.xxhash64(F.col(doc).cast("string"), F.col(text).cast("string"))
+    found = contamination(docs.select(key.alias("key"), F.col(text).alias("text")), tests, "key", "text", item)
+    bad = written(found.where("contaminated").select(F.col("key").alias("__bad")).distinct())
+    return docs.join(bad, key == F.col("__bad"), "left_anti")

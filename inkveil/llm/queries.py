@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import postings, simhash
+from inkveil.functions.lineage import scratch_folder
+from inkveil.llm import language, mixing, postings, simhash, token_files
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,8 +23,22 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    token_files.write(_table(spark, sf, "documents"), path)
+    return token_files.read(spark, path).drop("part", "place")
+
+
+def op6_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(_table(spark, sf, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.positions(_table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op4_simhash)}
+    return {f.__name__: f for f in (op2_decontamination, op4_simhash, op5_token_files, op6_language, op9_mixing)}
 
 
 #: A window is looked for by the text of its words, with single spaces; documents are cut into the
