@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkveil.functions.lineage import scratch_folder
-from inkveil.llm import language, mixing, postings, simhash, token_files
+from inkveil.llm import language, mixing, personal, postings, rules, simhash, token_files
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,12 +33,20 @@ def op6_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(_table(spark, sf, "documents"))
 
 
+def op8_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.judged(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.positions(_table(spark, sf, "documents"))
 
 
+def op10_personal(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.find(_table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op4_simhash, op5_token_files, op6_language, op9_mixing)}
+    return {f.__name__: f for f in (op2_decontamination, op4_simhash, op5_token_files, op6_language, op8_rules, op9_mixing, op10_personal)}
 
 
 #: A window is looked for by the text of its words, with single spaces; documents are cut into the
@@ -67,5 +75,85 @@ FROM folded LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def _rule_rows() -> str:
+    """The rules as a SQL list of (rule, measure, cutoff number from mild to strict, cutoff)."""
+    return " UNION ALL ".join(
+        f"SELECT stratum, content, '{name}' AS rule, {j} AS j, {float(cut)!r} AS cut, ({measure}) > {float(cut)!r} AS beyond FROM evidence"
+        for name, (measure, cuts) in rules.RULES.items()
+        for j, cut in enumerate(cuts)
+    )
+
+
+#: Equal windows are counted by their text; the binomial tail is summed by logarithms of factorials.
+_OP8 = rf"""
+WITH t AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS content FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(content, '[^\x20\x09-\x0D]+') AS w,
+    [y for y in string_split(content, chr(10)) if regexp_matches(y, '[^\x20\x09-\x0D]')] AS l FROM t),
+win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 3], ' ') AS win FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS i FROM w WHERE len(w) >= 3)),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+counted AS (
+  SELECT w.doc_id, stratum, content, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(content, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(length(regexp_replace(content, '[^\p{{Lu}}]+', '', 'g')) AS BIGINT) AS n_upper, CAST(len(l) AS BIGINT) AS n_lines,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (doc_id)),
+judged AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+evidence AS (
+  SELECT stratum, content, any_value(n_words) AS n_words, any_value(word_chars) AS word_chars, any_value(n_symbols) AS n_symbols,
+    any_value(n_upper) AS n_upper, any_value(n_lines) AS n_lines, any_value(n_dup_lines) AS n_dup_lines, any_value(n_repeat_words) AS n_repeat_words
+  FROM judged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY stratum, content),
+tested AS (
+  SELECT stratum, rule, j, cut, count(*) AS n, count(*) FILTER (beyond) AS k,
+    {rules.DELTA}::DOUBLE / (SELECT greatest(1, count(*)) FROM (SELECT DISTINCT stratum FROM evidence)) / {len(rules.RULES)} AS level
+  FROM (@RULES@) GROUP BY stratum, rule, j, cut),
+safe AS (
+  SELECT *, k < n * {rules.ALPHA / len(rules.RULES)!r}::DOUBLE AND level >= list_sum([
+    exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({rules.ALPHA / len(rules.RULES)!r}::DOUBLE) + (n - x) * ln({1 - rules.ALPHA / len(rules.RULES)!r}::DOUBLE))
+    for x in range(0, k + 1)]) AS safe
+  FROM tested),
+chosen AS (
+  SELECT stratum, rule, min(cut) AS cut FROM (
+    SELECT *, min(CASE WHEN safe THEN NULL ELSE j END) OVER (PARTITION BY stratum, rule) AS stop FROM safe) WHERE stop IS NULL OR j < stop GROUP BY stratum, rule),
+cuts AS (SELECT stratum, map_from_entries(list((rule, cut))) AS cuts FROM chosen GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (@BEYOND@) AS kept
+FROM judged LEFT JOIN cuts ON judged.stratum IS NOT DISTINCT FROM cuts.stratum
+"""
+
+
+def _op8() -> str:
+    beyond = " OR ".join(f"coalesce(({measure}) > cuts['{name}'], false)" for name, (measure, _) in rules.RULES.items())
+    return _OP8.replace("@RULES@", _rule_rows()).replace("@BEYOND@", beyond)
+
+
+#: Chunks and levels of sums are only for Spark: here one running sum per source gives the places, and
+#: a recursive query deals the slots one by one.
+_OP9 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, strlen(coalesce(text, '')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS k FROM documents),
+placed AS (
+  SELECT doc_id, source, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, CAST(doc_id AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d),
+sized AS (SELECT source, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY source),
+weighted AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS i,
+    greatest(1, CAST(floor({mixing.PERIOD} * sqrt(size) / greatest((SELECT sum(sqrt(size)) FROM sized), 1) + 0.5) AS BIGINT)) AS w FROM sized),
+constants AS (SELECT list(w ORDER BY i) AS ws, CAST(sum(w) AS BIGINT) AS total FROM weighted),
+dealt AS (
+  SELECT CAST(-1 AS BIGINT) AS t, [CAST(0 AS BIGINT) for x in ws] AS done, CAST(0 AS BIGINT) AS pick FROM constants
+  UNION ALL
+  SELECT t + 1, [done[i] + CASE WHEN i = p THEN 1 ELSE 0 END for i in range(1, len(done) + 1)], p FROM (
+    SELECT t, done, list_min([{{'due': ((done[i] + 1) * total + ws[i] - 1) // ws[i], 'i': i}}
+      for i in range(1, len(ws) + 1) if (done[i] * total) // ws[i] <= t + 1]).i AS p, total FROM dealt, constants) WHERE t + 1 < total),
+slots AS (SELECT pick, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM dealt WHERE t >= 0)
+SELECT doc_id, placed.source, before, before // {mixing.BLOCK} AS block, (before // {mixing.BLOCK} // w) * total + slot AS slot
+FROM placed JOIN weighted ON placed.source IS NOT DISTINCT FROM weighted.source CROSS JOIN constants
+JOIN slots ON pick = i AND turn = before // {mixing.BLOCK} % w
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2}
+    return {"op2_decontamination": _OP2, "op8_rules": _op8(), "op9_mixing": _OP9}
