@@ -8,17 +8,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkveil.functions.lineage import scratch_folder
-from inkveil.llm import language, mixing, personal, postings, rules, simhash, token_files
+from inkveil.llm import cotraining, language, lines, mixing, personal, postings, rules, simhash, token_files
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return cotraining.scored(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return postings.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark")).drop("n_near")
 
 
+def op3_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.cleaned(_table(spark, sf, "documents")).select("doc_id", "n_removed", "text")
+
+
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
@@ -46,7 +54,7 @@ def op10_personal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op4_simhash, op5_token_files, op6_language, op8_rules, op9_mixing, op10_personal)}
+    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_lines, op4_simhash, op5_token_files, op6_language, op8_rules, op9_mixing, op10_personal)}
 
 
 #: A window is looked for by the text of its words, with single spaces; documents are cut into the
@@ -155,5 +163,19 @@ JOIN slots ON pick = i AND turn = before // {mixing.BLOCK} % w
 """
 
 
+#: Sites are counted exactly; with so few sites the sketches are exact as well.
+_OP3 = rf"""
+WITH cut AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+line AS (
+  SELECT doc_id, source, i, l, trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')) AS h
+  FROM (SELECT doc_id, source, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l FROM cut)),
+wide AS (SELECT h FROM line WHERE length(h) >= {lines.MIN_CHARS} GROUP BY h HAVING count(DISTINCT source) >= {lines.SITES}),
+kept AS (
+  SELECT doc_id, count(*) FILTER (wide.h IS NOT NULL) AS n_removed, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (wide.h IS NULL), '') AS text
+  FROM line LEFT JOIN wide USING (h) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_removed, 0) AS n_removed, kept.text AS text FROM cut LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2, "op8_rules": _op8(), "op9_mixing": _OP9}
+    return {"op2_decontamination": _OP2, "op3_lines": _OP3, "op8_rules": _op8(), "op9_mixing": _OP9}
