@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkveil.functions.lineage import scratch_folder
-from inkveil.llm import cotraining, language, lines, mixing, personal, postings, rules, simhash, token_files
+from inkveil.llm import cotraining, language, lines, mixing, personal, postings, rules, simhash, token_files, wrappers
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(_table(spark, sf, "documents"))
 
 
+def op7_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.main_texts(_table(spark, sf, "pages"))
+
+
 def op8_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.judged(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
@@ -54,7 +58,7 @@ def op10_personal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_lines, op4_simhash, op5_token_files, op6_language, op8_rules, op9_mixing, op10_personal)}
+    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_lines, op4_simhash, op5_token_files, op6_language, op7_pages, op8_rules, op9_mixing, op10_personal)}
 
 
 #: A window is looked for by the text of its words, with single spaces; documents are cut into the
