@@ -202,5 +202,7 @@ def accepted(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str
     model = fit(docs.where(~held_out(doc)), text, lang)
     if model is None:
         return docs.where(F.col(text).cast("string").rlike(r"\p{L}"))
-    said = predict(docs, model, docs.columns, text, out=("__lang", "__score"))
-    return said.where(F.col("__lang") != UNKNOWN).drop("__lang", "__score")
+    # Names that no column of the documents has.
+    lang_pred, score = (max(docs.columns, key=len) + suffix for suffix in ("_l", "_s"))
+    said = predict(docs, model, docs.columns, text, out=(lang_pred, score))
+    return said.where(F.col(lang_pred) != UNKNOWN).select(*docs.columns)

@@ -64,14 +64,15 @@ def cleaned(
 ) -> DataFrame:
     """All columns, with ``out`` (the text without boilerplate lines) and ``removed``, the number of lines."""
     lines = occurrences(docs, doc, text, site)
-    drops = written(
-        _among(lines, boilerplate(lines, sites)).groupBy("doc_id").agg(F.collect_set("h").alias("__drop")).withColumnRenamed("doc_id", "__doc")
-    )
-    small = drops.agg(F.coalesce(F.sum(F.size("__drop") + 4), F.lit(0))).first()[0] <= BROADCAST_ROWS
-    found = docs.join(F.broadcast(drops) if small else drops, F.col(doc).eqNullSafe(F.col("__doc")), "left")
-    whole = F.col(text).cast("string")
+    wide = _among(lines, boilerplate(lines, sites))
+    drops = written(wide.groupBy("doc_id").agg(F.collect_set("h").alias("drop")).toDF("d", "drop"))
+    small = drops.agg(F.coalesce(F.sum(F.size("drop") + 4), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("whole"))
+    found = rows.join(F.broadcast(drops) if small else drops, F.col("doc_id").eqNullSafe(F.col("d")), "left")
     # Looked up in the document's own few hashes.
-    kept = F.filter(_lines(whole), lambda x: ~F.coalesce(F.array_contains("__drop", _hash(x)), F.lit(False)))
-    done = found.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
-    gone = F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size(_lines(whole)) - F.size("__kept")).cast("bigint")
-    return done.withColumn(removed, gone).withColumn(out, F.when(F.col("__drop").isNull(), whole).otherwise(F.array_join("__kept", "\n"))).drop("__drop", "__doc", "__kept")
+    kept = F.filter(_lines(F.col("whole")), lambda x: ~F.coalesce(F.array_contains("drop", _hash(x)), F.lit(False)))
+    done = found.withColumn("kept", F.when(F.col("drop").isNotNull(), kept))
+    gone = F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size(_lines(F.col("whole"))) - F.size("kept")).cast("bigint")
+    clean = F.when(F.col("drop").isNull(), F.col("whole")).otherwise(F.array_join("kept", "\n"))
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (out, removed)]
+    return done.select(*others, clean.alias(out), gone.alias(removed))

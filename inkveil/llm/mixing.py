@@ -158,7 +158,9 @@ def positions(docs: DataFrame, weights: dict[str, int] | None = None, doc: str =
 def mixed(docs: DataFrame, weights: dict[str, int] | None = None, doc: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """All rows and columns, partitioned and sorted so that the written files hold the mix in order."""
     order = ["__slot", "__src", "__before", "__key", "__id", "__hash"]
-    at = placed(docs, docs.columns, weights, doc, source, text)
+    # All columns go along as one, so that no name can clash.
+    packed = docs.select(F.struct("*").alias("__row"), F.col(doc).alias("d"), F.col(source).alias("s"), F.col(text).alias("t"))
+    at = placed(packed, ["__row"], weights, "d", "s", "t")
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     files = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
-    return at.repartitionByRange(files, *order).sortWithinPartitions(*order).select(*docs.columns)
+    return at.repartitionByRange(files, *order).sortWithinPartitions(*order).select("__row.*")

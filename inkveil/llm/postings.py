@@ -250,5 +250,5 @@ def clean(docs: DataFrame, tests: DataFrame, doc: str = "doc_id", text: str = "t
     # Rows are told apart by id and text, as ids may repeat or be null.
     key = F.xxhash64(F.col(doc).cast("string"), F.col(text).cast("string"))
     found = contamination(docs.select(key.alias("key"), F.col(text).alias("text")), tests, "key", "text", item)
-    bad = written(found.where("contaminated").select(F.col("key").alias("__bad")).distinct())
-    return docs.join(bad, key == F.col("__bad"), "left_anti")
+    bad = written(found.where("contaminated").select("key").distinct())
+    return docs.select(F.struct("*").alias("row"), key.alias("key")).join(bad, "key", "left_anti").select("row.*")

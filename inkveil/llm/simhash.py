@@ -171,8 +171,9 @@ def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     # one row per content.
     named = member.withColumn("group", F.when(F.col("component_id").isNull(), F.col("content")))
     head = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content"))
-    kept = named.groupBy("component_id", "group").agg(head.alias("h")).select(F.col("h.doc_id").alias("__id"), F.col("h.content").alias("__content"))
-    whole = F.xxhash64(F.col(text).cast("string"))
-    chosen = docs.join(kept, F.col(doc).cast("bigint").eqNullSafe(F.col("__id")) & (whole == F.col("__content")), "left_semi")
-    repeated = member.groupBy("doc_id", "content").count().where("count > 1").join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("content") == F.col("__content")), "left_semi")
-    return chosen if repeated.isEmpty() else chosen.withColumn("__content", whole).dropDuplicates([doc, "__content"]).drop("__content")
+    kept = written(named.groupBy("component_id", "group").agg(head.alias("h")).select("h.doc_id", "h.content"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("content"))
+    chosen = rows.join(kept.toDF("i", "c"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("content") == F.col("c")), "left_semi")
+    counted = member.groupBy(F.col("doc_id").alias("i"), F.col("content").alias("c")).count().where("count > 1")
+    repeated = kept.join(counted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("content") == F.col("c")), "left_semi")
+    return (chosen if repeated.isEmpty() else chosen.dropDuplicates(["doc_id", "content"])).select("row.*")

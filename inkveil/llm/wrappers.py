@@ -53,6 +53,7 @@ _OTHER = frozenset(
     "subscribe subscription toolbar widget widgets".split()
 )
 _MAIN = frozenset("article articlebody articletext content entry main maincontent maintext post postbody postcontent story storybody".split())
+_ABOUT = frozenset("has with no without".split())
 #: An element's start ends these open ones.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = frozenset("html body div article section main ul ol dl table tr td th nav aside header footer form blockquote".split())
@@ -246,9 +247,9 @@ def _optional(x):
 
 @functools.lru_cache(1 << 14)
 def _named(key: str) -> frozenset:
-    """The words of an element's names, and each name without its separators."""
-    names = key.partition(".")[2].split()
-    return frozenset(w for name in names for w in (*re.split("[^a-z]+", name), re.sub("[^a-z]", "", name)) if w)
+    """The words of an element's names, and each name without its separators; not of names like ``has-sidebar``."""
+    split = [re.split("[^a-z]+", name) for name in key.partition(".")[2].split()]
+    return frozenset(w for words in split if not _ABOUT & set(words) for w in (*words, "".join(words)) if w)
 
 
 def _marks_main(key: str) -> int:
