@@ -112,7 +112,9 @@ def candidates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tupl
     spans = found.select("row", F.inline("spans"))
     order = Window.partitionBy("row").orderBy("start", F.desc("base"))
     ended = F.max(F.when(F.col("base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.min(F.when(F.col("base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # Backwards, as a frame that reaches to the end is summed up anew for each row.
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.asc("base")).rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.min(F.when(F.col("base"), F.col("start"))).over(back)
     free = ~F.col("base") & (F.coalesce(ended, F.lit(0)) <= F.col("start")) & (F.coalesce(begins, F.col("end")) >= F.col("end"))
     return found.select("row", "doc_id"), written(spans.withColumn("free", free).dropDuplicates(["row", "kind", "start", "end", "base"]))
 
