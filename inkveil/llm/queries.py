@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from inkveil.functions.lineage import scratch_folder
 from inkveil.llm import cotraining, language, lines, mixing, personal, postings, rules, simhash, token_files, wrappers
 
@@ -57,8 +61,36 @@ def op10_personal(spark: SparkSession, sf: str) -> DataFrame:
     return personal.find(_table(spark, sf, "documents"))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, once per session: they need not have it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_inkveil_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(tempfile.mkdtemp(), "inkveil.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(os.path.join(top, "inkveil")):
+            for name in names:
+                if name.endswith(".py"):
+                    archive.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), top))
+    context.addPyFile(path)
+    context._inkveil_shipped = True
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_lines, op4_simhash, op5_token_files, op6_language, op7_pages, op8_rules, op9_mixing, op10_personal)}
+    operators = (
+        op1_quality, op2_decontamination, op3_lines, op4_simhash, op5_token_files,
+        op6_language, op7_pages, op8_rules, op9_mixing, op10_personal,
+    )
+    return {f.__name__: _shipped(f) for f in operators} | {"pipeline": _shipped(corpus_pipeline.run)}
 
 
 #: A window is looked for by the text of its words, with single spaces; documents are cut into the
@@ -182,4 +214,5 @@ SELECT doc_id, coalesce(n_removed, 0) AS n_removed, kept.text AS text FROM cut L
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2, "op3_lines": _OP3, "op8_rules": _op8(), "op9_mixing": _OP9}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {"op2_decontamination": _OP2, "op3_lines": _OP3, "op8_rules": _op8(), "op9_mixing": _OP9}
