@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,13 +22,35 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
+_RUNS: list[str] = []
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for all tables written within, removed at the end.
+
+    Intermediate tables hold the sensitive values. A job that has written its results before the block
+    ends leaves none of them behind; after a crash the folder ``inkveil-run-*`` is the cluster's to expire.
+    """
+    folder = f"{scratch_folder(spark).rstrip('/')}/inkveil-run-{uuid.uuid4().hex}"
+    _RUNS.append(folder)
+    try:
+        yield folder
+    finally:
+        _RUNS.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
     What follows is planned on real sizes, reads only the columns it needs and is never
-    recomputed from the text. The folder is the cluster's to expire.
+    recomputed from the text. It lies in the folder of the innermost ``scratch_run``, else in
+    one that is the cluster's to expire.
     """
     spark = df.sparkSession
-    path = f"{scratch_folder(spark).rstrip('/')}/inkveil-{uuid.uuid4().hex}"
+    folder = _RUNS[-1] if _RUNS else scratch_folder(spark).rstrip("/")
+    path = f"{folder}/inkveil-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

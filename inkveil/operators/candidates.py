@@ -69,8 +69,8 @@ _GUARDS = {
 # What a match can begin with: lets the JVM pass over most positions with one comparison.
 _BEGINS = {
     "connection_string": "[sdhj]",
-    "email": r"\b[a-z0-9][a-z0-9._%+-]*+@",
-    "hostname": r"\b[a-z0-9][a-z0-9-]*+\.",
+    "email": r"\b[a-z0-9][a-z0-9._%+-]{0,63}+@",
+    "hostname": catalog.NAME_START,
     "uuid": "[0-9a-f]",
     "ipv4": "[0-9]",
     "mac": "[0-9a-f]",

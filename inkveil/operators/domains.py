@@ -117,7 +117,7 @@ def find_domains(
     """Scored findings: dotted names whose domain and public suffix both exist."""
     body = f"`{text}`"
     guard = r"rlike(t, '(?iu)[a-z0-9]\\.[a-z]{2}')"
-    found = matching.hits("t", matching.jvm_regex(catalog.DOMAIN_PATTERN), 1, guard)
+    found = matching.hits("t", matching.jvm_regex(catalog.NAME_START + catalog.DOMAIN_PATTERN), 1, guard)
     located = let("t", body, let("n", "length(t)", matching.located(found, "n")))
     rows = df.select(doc, F.expr(f"explode({located})").alias("f")).select(
         doc, F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.value").alias("value")

@@ -39,11 +39,15 @@ def best_per_span(scored: DataFrame, doc: str) -> DataFrame:
     )
 
 
-def merge_scored(docs: DataFrame, scored: DataFrame, doc: str, out: str = "scored") -> DataFrame:
+def merge_scored(docs: DataFrame, scored: DataFrame, doc: str, out: str = "scored", text: str = "text") -> DataFrame:
     """Attach the scored findings of each document as an array for ``with_candidates``.
 
-    Spans without extent go here already, so they are not shuffled.
+    Sources are told apart by an integer column ``source_rank`` if there is one: those of a lower rank come first,
+    whatever their ``seq``. Spans without extent go here already, so they are not shuffled. Spans that reach
+    beyond the text are left out; ``outside_text`` lists them.
     """
+    if "source_rank" in scored.columns:
+        scored = scored.withColumn("seq", F.col("source_rank").cast("bigint") * F.lit(1 << 50) + F.col("seq"))
     prefixes = ", ".join(f"{quote(k)}, {quote(v)}" for k, v in catalog.PREFIXES.items())
     typed = (
         scored.where((F.col("start") >= 0) & (F.col("end") > F.col("start")))
@@ -60,7 +64,15 @@ def merge_scored(docs: DataFrame, scored: DataFrame, doc: str, out: str = "score
         "value",
     )
     arrays = typed.groupBy(doc).agg(F.array_sort(F.collect_list(row)).cast(CANDIDATES).alias(out))
-    return docs.join(arrays, doc, "left")
+    joined = docs.join(arrays, doc, "left")
+    return joined.withColumn(out, F.filter(out, lambda x: x.end <= F.length(text))) if text in docs.columns else joined
+
+
+def outside_text(docs: DataFrame, scored: DataFrame, doc: str, text: str = "text") -> DataFrame:
+    """The scored findings that ``merge_scored`` leaves out: empty, negative or beyond the text."""
+    lengths = docs.select(doc, F.length(text).alias("__n"))
+    bad = (F.col("start") < 0) | (F.col("end") <= F.col("start")) | (F.col("end") > F.col("__n"))
+    return scored.join(lengths, doc).where(bad).drop("__n")
 
 
 def recognise(
@@ -78,7 +90,7 @@ def recognise(
     known = (
         ("FR_SSN", catalog.FR_SSN_PATTERN, 0.85, "fr"),
         ("PHONE_NUMBER", catalog.FR_PHONE_PATTERN, 0.75, "fr"),
-        ("DOMAIN_NAME", catalog.DOMAIN_PATTERN, 0.60, "en"),
+        ("DOMAIN_NAME", catalog.NAME_START + catalog.DOMAIN_PATTERN, 0.60, "en"),
     )
     active = [
         (entity, pattern, score, lang)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-UPLOAD_CAP = 50 << 20
-
 
 def read_documents(spark: SparkSession, path: str, unit: str = "file", fold_newlines: bool = True) -> DataFrame:
     """``doc_id`` (the file, or file and line start), ``text``.
 
     ``unit='file'``: one row per file, so patterns see whole documents. ``unit='line'`` is a
-    different mode: patterns that span lines or start a document change meaning.
+    different mode: patterns that span lines or start a document change meaning. Its ids sort, as text,
+    in the order of the lines of a file.
     """
     if unit not in ("file", "line"):
         raise ValueError("unit must be 'file' or 'line'")
@@ -20,16 +19,17 @@ def read_documents(spark: SparkSession, path: str, unit: str = "file", fold_newl
     text = F.regexp_replace("value", "\r\n?", "\n") if fold_newlines else F.col("value")
     if unit == "file":
         return raw.select(file.alias("doc_id"), text.alias("text"))
-    return raw.select(F.concat_ws("#", file, F.monotonically_increasing_id()).alias("doc_id"), text.alias("text"))
+    return raw.select(F.concat_ws("#", file, F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0")).alias("doc_id"), text.alias("text"))
 
 
-def read_uploads(spark: SparkSession, path: str, cap: int = UPLOAD_CAP) -> tuple[DataFrame, DataFrame]:
-    """Files as UTF-8, else Latin-1; files over ``cap`` bytes are listed apart and not read."""
+def read_uploads(spark: SparkSession, path: str, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files as UTF-8, else Latin-1; with a ``cap``, files over so many bytes are listed apart and not read."""
     files = spark.read.format("binaryFile").load(path)
     raw = F.col("content").cast("string")
     text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode("content", "ISO-8859-1"))
-    accepted = files.where(F.col("length") <= cap).select(F.col("path").alias("doc_id"), text.alias("text"))
-    rejected = files.where(F.col("length") > cap).select(F.col("path").alias("doc_id"), "length")
+    within = F.lit(True) if cap is None else F.col("length") <= cap
+    accepted = files.where(within).select(F.col("path").alias("doc_id"), text.alias("text"))
+    rejected = files.where(~within).select(F.col("path").alias("doc_id"), "length")
     return accepted, rejected
 
 

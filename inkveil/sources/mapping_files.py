@@ -15,15 +15,22 @@ JSON_SCHEMA = T.StructType(
 TEXT_HEADER = ("# Mapping Table (Placeholder -> Original)", "=" * 60)
 
 
-def export_json(mapping: DataFrame, shard_rows: int = 50_000) -> DataFrame:
-    """``scope, shard, json``: one ``{mappings, reverse_mappings, counters}`` object per row.
+ENTRY = T.StructType(
+    [T.StructField(name, T.StringType()) for name in ("scope", "value", "placeholder", "prefix")]
+    + [T.StructField("n", T.LongType()), T.StructField("first_seq", T.LongType()), T.StructField("first_pos", T.IntegerType())]
+)
+
 
-    A scope is one object until a prefix has more than ``shard_rows`` values; larger scopes
-    come as several, because one object would have to fit into one task. Importing all of
-    them gives the scope back.
+def export_json(mapping: DataFrame, shard_rows: int | None = None) -> DataFrame:
+    """``scope, shard, json``: one ``{mappings, reverse_mappings, counters}`` object per scope.
+
+    The form for exchange with single programs: an object has to fit into one task. ``shard_rows``
+    asks for several objects, each with so many values of a prefix at most; importing all of them
+    gives the scope back. Mappings of any size go through ``write_entries``.
     """
     entry = F.struct("first_seq", (-F.col("first_pos")).alias("back"), "value", "placeholder")
-    sharded = mapping.withColumn("shard", F.floor((F.col("n") - 1) / shard_rows))
+    shard = F.floor((F.col("n") - 1) / shard_rows) if shard_rows else F.lit(0).cast("bigint")
+    sharded = mapping.withColumn("shard", shard)
     per_prefix = sharded.groupBy("scope", "shard", "prefix").agg(
         F.max("n").alias("top"), F.collect_list(entry).alias("part")
     )
@@ -59,15 +66,26 @@ def write_text(mapping: DataFrame, path: str, scope: str = "") -> None:
     head.unionByName(lines).orderBy("k", "key").select("line").write.text(path)
 
 
-def write_json(mapping: DataFrame, path: str) -> None:
+def write_entries(mapping: DataFrame, path: str) -> None:
+    """One JSON line per entry: the default export, the same at any size."""
+    mapping.select(ENTRY.names).write.json(path)
+
+
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The mapping table that ``write_entries`` wrote."""
+    return spark.read.schema(ENTRY).json(path)
+
+
+def write_json(mapping: DataFrame, path: str, shard_rows: int | None = None) -> None:
     """One JSON object per line, with its scope and shard as folders."""
-    export_json(mapping).write.partitionBy("scope", "shard").text(path)
+    export_json(mapping, shard_rows).write.partitionBy("scope", "shard").text(path)
 
 
-def import_json(spark: SparkSession, path: str, scope: str = "") -> tuple[DataFrame, DataFrame]:
+def import_json(spark: SparkSession, path: str, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
     """A mapping table from JSON files, and the files that are not such objects.
 
-    A missing key counts as empty. Numbers and prefixes come from the placeholders, so a
+    The scope is ``scope``, else the one whose folder holds the file, else the empty one. A missing
+    key counts as empty. Numbers and prefixes come from the placeholders, so a
     file without counters cannot make numbering start over.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
@@ -76,12 +94,17 @@ def import_json(spark: SparkSession, path: str, scope: str = "") -> tuple[DataFr
     parsed = files.withColumn(
         "j", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     )
+    # Folder names and the file's address each escape special characters once.
+    folder = F.regexp_extract("file", r"/scope=([^/]*)/", 1)
+    for _ in range(2):
+        folder = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+    of = F.lit(scope) if scope is not None else F.when(folder == "__HIVE_DEFAULT_PARTITION__", "").otherwise(folder)
     rejected = parsed.where("j is null or j._bad is not null").select("file")
     entries = (
         parsed.where("j._bad is null")
-        .select(F.posexplode("j.mappings").alias("pos", "value", "placeholder"))
+        .select("file", F.posexplode("j.mappings").alias("pos", "value", "placeholder"))
         .select(
-            F.lit(scope).alias("scope"),
+            of.alias("scope"),
             "value",
             "placeholder",
             F.regexp_extract("placeholder", r"^\[(.*)_[0-9]+\]$", 1).alias("prefix"),

@@ -28,9 +28,9 @@ class MappingStore:
         entries.select(self.schema.names).write.mode("overwrite").parquet(f"{self.path}/entries/batch={batch}")
 
     def forget(self, scopes: list[str], batch: int) -> None:
-        """Hide the scopes' entries up to ``batch``."""
+        """Hide the scopes' entries up to ``batch``; what was forgotten before stays forgotten."""
         rows = self.spark.createDataFrame([(s,) for s in scopes], "scope string")
-        rows.write.mode("overwrite").parquet(f"{self.path}/forgotten/batch={batch}")
+        rows.write.mode("append").parquet(f"{self.path}/forgotten/batch={batch}")
 
     def compact(self, batch: int) -> None:
         """Write all entries up to ``batch`` as one snapshot; later loads start from it."""

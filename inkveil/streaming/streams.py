@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from inkveil.config import Config
+from inkveil.functions.lineage import scratch_run
 from inkveil.operators.mapping import scope_column
 from inkveil.operators.numbering import values_of
 from inkveil.operators.restore import restore
@@ -44,11 +45,12 @@ def redact_stream_to(
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        result = redact(
-            batch, config, doc=doc, scope=scope, seq=seq, text=text, existing=store.load(before=batch_id)
-        )
-        store.append(result.added, batch_id)
-        result.redacted.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+        with scratch_run(batch.sparkSession):
+            result = redact(
+                batch, config, doc=doc, scope=scope, seq=seq, text=text, existing=store.load(before=batch_id)
+            )
+            store.append(result.added, batch_id)
+            result.redacted.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
     return df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
@@ -59,8 +61,9 @@ def restore_stream_to(
     """Restore each micro-batch against a static mapping table."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        restored = restore(batch, mapping, doc, scope, text)
-        restored.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+        with scratch_run(batch.sparkSession):
+            restored = restore(batch, mapping, doc, scope, text)
+            restored.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
     return df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 

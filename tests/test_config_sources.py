@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from inkveil import Config, compare_presets, find, preview, redact, redact_documents
+from inkveil import Config, compare_presets, find, preview, redact, redact_documents, restore
 from inkveil import catalog
 from inkveil.operators import mapping as maps
 from inkveil.sources import files, mapping_files, presets, session
@@ -167,6 +167,60 @@ def test_store_replay_forget_compact(spark, tmp_path):
     assert sorted((r.scope, r.value) for r in store.load().collect()) == [("a", "w"), ("b", "v")]
 
 
+def test_forgetting_twice_in_a_batch_forgets_both(spark, tmp_path):
+    store = session.MappingStore(spark, str(tmp_path / "s"))
+    store.append(sample(spark, [(s, "v", "[IP_001]", "IP", 1, 0, 0) for s in "abc"]), 0)
+    for scope in "aba":
+        store.forget([scope], 0)
+    assert [r.scope for r in store.load().collect()] == ["c"]
+
+
+def test_exports_keep_their_scopes(spark, tmp_path):
+    scopes = ["a", "b c", "x/y=z%+é", ""]
+    m = sample(spark, [(s, "v", "[IP_001]", "IP", 1, 0, 0) for s in scopes] + [("a", "w", "[IP_002]", "IP", 2, 1, 0)])
+    mapping_files.write_json(m, str(tmp_path / "objects"))
+    entries, rejected = mapping_files.import_json(spark, str(tmp_path / "objects"))
+    assert rejected.count() == 0
+    assert sorted((r.scope, r.value, r.placeholder) for r in entries.collect()) == sorted((r.scope, r.value, r.placeholder) for r in m.collect())
+    mapping_files.write_entries(m, str(tmp_path / "lines"))
+    assert sorted(mapping_files.read_entries(spark, str(tmp_path / "lines")).collect()) == sorted(m.collect())
+
+
+def test_large_exports_have_the_same_form(spark, tmp_path):
+    many = spark.range(60_000).selectExpr(
+        "'' AS scope", "concat('v', id) AS value", "concat('[IP_', lpad(id + 1, 3, '0'), ']') AS placeholder", "'IP' AS prefix",
+        "id + 1 AS n", "id AS first_seq", "0 AS first_pos",
+    )
+    assert mapping_files.export_json(many).count() == 1
+    mapping_files.write_entries(many, str(tmp_path / "lines"))
+    back = mapping_files.read_entries(spark, str(tmp_path / "lines"))
+    assert back.exceptAll(many).count() == 0 and back.count() == 60_000
+
+
+def test_uploads_have_no_cap_by_default(spark, tmp_path):
+    (tmp_path / "big.txt").write_bytes(b"x" * 100)
+    accepted, rejected = files.read_uploads(spark, str(tmp_path))
+    assert accepted.count() == 1 and rejected.count() == 0
+
+
+def test_lines_sort_in_order(spark, tmp_path):
+    (tmp_path / "a.log").write_text("".join(f"10.0.0.{i}\n" for i in range(12)))
+    done = redact(files.read_documents(spark, str(tmp_path), unit="line"), Config(), doc="doc_id")
+    assert {r.value: r.placeholder for r in done.mapping.collect()} == {f"10.0.0.{i}": f"[IP_{i + 1:03d}]" for i in range(12)}
+
+
+def test_a_run_leaves_nothing_behind(spark, docs):
+    from pathlib import Path
+
+    from inkveil.functions.lineage import scratch_folder, scratch_run
+
+    with scratch_run(spark) as folder:
+        done = redact(docs("10.0.0.1", "a@x.com"), Config(), doc="doc_id")
+        assert restore(done.redacted.select("doc_id", F.col("redacted").alias("text")), done.mapping, "doc_id").count() == 2
+        assert any(Path(folder).iterdir())
+    assert not Path(folder).exists() and Path(scratch_folder(spark)).exists()
+
+
 def test_preview_escapes(docs):
     html = preview(docs("<b> & 10.0.0.1\n\"x'"), Config()).first().html
     assert html.startswith("&lt;b&gt;&nbsp;&amp;&nbsp;<span class=\"detection\" data-type=\"ipv4\" style=\"background-color: #ff6b6b20;")

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -135,6 +136,22 @@ def test_long_runs_neither_overflow_nor_change(docs, kind):
     assert sorted((r.start, r.end) for r in rows) == expected
 
 
+RUNS = ("a.", "a-", "a-b.", "a" * 70 + ".", "-a.", "a..", "ab" * 40)
+
+
+@pytest.mark.parametrize("kind", ["hostname", "email"])
+@pytest.mark.parametrize("run", RUNS)
+def test_runs_without_a_name_take_linear_time(docs, kind, run):
+    small = run * (3_000 // len(run)) + " x.com b@x.com " + run * 20 + "y.org c@" + run * 3 + "z.net"
+    regex = re.compile(catalog.TYPE_BY_NAME[kind].pattern, re.I)
+    rows = find(docs(small), Config.of([kind]), ["doc_id"]).collect()
+    assert sorted((r.start, r.end) for r in rows) == pyengine.spans(regex, small)
+    began = time.time()
+    large = run * (1_000_000 // len(run)) + " x.com b@x.com"
+    assert find(docs(large), Config.of([kind]), ["doc_id"]).count() >= 1
+    assert time.time() - began < 20
+
+
 def test_many_findings_in_one_text(docs):
     n = 30_000
     text = "".join(f"10.{i // 65536}.{i // 256 % 256}.{i % 256} " for i in range(n))
