@@ -353,6 +353,11 @@ def oracle_sql() -> dict[str, str]:
         "CAST(user_id % 3 = 0 AS DOUBLE) AS risk_secret FROM events GROUP BY user_id)",
         "risk_by_conversation": risk_by_conversation(),
         "store_reset": store_reset(),
+        "forget_twice": f"SELECT {MAPPING} FROM ({SOURCE_MAPPING}) WHERE scope NOT IN ('src0', 'src1')",
+        "export_entries": f"SELECT {MAPPING} FROM ({SOURCE_MAPPING})",
+        "import_scopes": f"SELECT scope, value, placeholder, prefix, n FROM ({SOURCE_MAPPING})",
+        "session_mapping": f"SELECT {MAPPING} FROM ({SOURCE_MAPPING})",
+        "redacted_written": redacted_doc_scope,
         "sql_redact": redacted_doc_scope,
         "sql_findings": find_in("documents", "doc_id", "text", TYPES),
         "stream_document": redacted_logs(doc_scope(LOG_FOUND, "event_id"), "CAST(f.event_id AS VARCHAR)"),

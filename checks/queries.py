@@ -13,7 +13,8 @@ from inkveil.functions import sqlfuncs, validators
 from inkveil.functions.lineage import scratch_folder
 from inkveil.operators import audit, domains, mapping as maps, scored
 from inkveil.sources import mapping_files
-from inkveil.sources.session import MappingStore
+from inkveil.sources.files import write_redacted
+from inkveil.sources.session import MappingStore, load_session, save_session
 from inkveil.sources.tables import read_table
 from inkveil.streaming import streams
 
@@ -337,6 +338,44 @@ def store_reset(spark: SparkSession, sf: str) -> DataFrame:
     return store.load().select("scope", "value", "placeholder")
 
 
+def stored(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    return scratch(spark, "files"), redaction(spark, sf, "source").mapping
+
+
+def forget_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Two requests to forget for the same batch."""
+    path, mapping = stored(spark, sf)
+    store = MappingStore(spark, path, mapping.schema["first_seq"].dataType)
+    store.append(mapping, 0)
+    store.forget(["src0"], 0)
+    store.forget(["src1"], 0)
+    return store.load().select(*MAPPING)
+
+
+def export_entries(spark: SparkSession, sf: str) -> DataFrame:
+    path, mapping = stored(spark, sf)
+    mapping_files.write_entries(mapping, path)
+    return mapping_files.read_entries(spark, path).select(*MAPPING)
+
+
+def import_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    path, mapping = stored(spark, sf)
+    mapping_files.write_json(mapping, path)
+    return mapping_files.import_json(spark, path)[0].select(*MAPPING[:5])
+
+
+def session_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    path, mapping = stored(spark, sf)
+    save_session(spark, Config.of(REDACT_TYPES), mapping, path)
+    return load_session(spark, path, mapping.schema["first_seq"].dataType)[1].select(*MAPPING)
+
+
+def redacted_written(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "redacted")
+    write_redacted(redact_document_scope(spark, sf), path)
+    return spark.read.parquet(path)
+
+
 def sql_redact(spark: SparkSession, sf: str) -> DataFrame:
     sqlfuncs.register(spark, Config.of(REDACT_TYPES))
     documents(spark, sf).createOrReplaceTempView("inkveil_documents")
@@ -470,6 +509,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "risk_by_user": risk_by_user,
         "risk_by_conversation": risk_by_conversation,
         "store_reset": store_reset,
+        "forget_twice": forget_twice,
+        "export_entries": export_entries,
+        "import_scopes": import_scopes,
+        "session_mapping": session_mapping,
+        "redacted_written": redacted_written,
         "sql_redact": sql_redact,
         "sql_findings": sql_findings,
         "stream_document": stream_document,
