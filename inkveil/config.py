@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 
 from inkveil import catalog
+from inkveil.functions.portable import portable
 
 
 @dataclass(frozen=True)
@@ -24,8 +25,9 @@ class CustomPattern:
             raise ValueError(f"a prefix may not hold brackets: {self.prefix!r}")
 
     @property
-    def groups(self) -> int:
-        return re.compile(self.regex).groups
+    def portable(self) -> bool:
+        """Whether the JVM may search it; Python searches the others."""
+        return portable(self.regex)
 
 
 @dataclass(frozen=True)

@@ -1,6 +1,6 @@
 """Matching with Python's regex engine, in Arrow batches.
 
-For custom patterns with groups, for patterns the JVM cannot take, and as the
+For custom patterns that are not portable, and as the
 independent check of the JVM expressions in tests.
 """
 
@@ -21,11 +21,12 @@ LOCATED = "struct<ord:int,start:int,end:int,value:string>"
 
 
 def spans(regex: re.Pattern, text: str) -> list[tuple[int, int]]:
-    """Span of the first group that took part in each match, or of the whole match."""
+    """Span of the first group that took part in each match, or of the whole match; empty ones are none."""
     found = []
     for match in regex.finditer(text):
         group = next((g for g in range(1, regex.groups + 1) if match.group(g) is not None), 0)
-        found.append(match.span(group))
+        if match.start(group) < match.end(group):
+            found.append(match.span(group))
     return found
 
 

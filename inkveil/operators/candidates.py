@@ -89,14 +89,14 @@ _CHECKS = {"phone": validators.phone_sql, "credit_card": validators.card_sql}
 
 def candidates_sql(text: str, config: Config) -> str:
     """All candidates of ``text`` as one JVM expression, for SQL functions."""
-    if any(p.groups for p in config.custom):
-        raise ValueError("custom patterns with groups need a DataFrame job")
+    if not all(p.portable for p in config.custom):
+        raise ValueError("custom patterns that Python searches need a DataFrame job")
     names = [name for name in catalog.TYPE_NAMES if name in config.types]
     return _combined(text, config, names, _plain(config), None, None)
 
 
 def _plain(config: Config) -> list:
-    return [(ord_, p) for ord_, p in _custom(config) if not p.groups]
+    return [(ord_, p) for ord_, p in _custom(config) if p.portable]
 
 
 def _custom(config: Config) -> list:
@@ -144,7 +144,7 @@ def with_candidates(
     in_jvm = engine == "jvm"
     names = [name for name in catalog.TYPE_NAMES if name in config.types]
     slow = [] if in_jvm else [(catalog.RANK[n], catalog.TYPE_BY_NAME[n].pattern) for n in names]
-    slow += [(ord_, p.regex) for ord_, p in _custom(config) if not in_jvm or p.groups]
+    slow += [(ord_, p.regex) for ord_, p in _custom(config) if not in_jvm or not p.portable]
     if slow:
         df = df.withColumn("__found", pyengine.finder(slow)(F.col(text)))
     value = _combined(
