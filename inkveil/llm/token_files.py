@@ -20,14 +20,15 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 from tokenizers import Tokenizer
 
@@ -37,45 +38,54 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 1
 SHARD_BYTES = 32 << 20
 _MAGIC = b"flatids1"
-_CACHE = 1 << 19
-#: The splitting rule of the tokenizer file, a fixed value.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts for which lower-casing, composing and white space might differ between libraries, or that
-#: may spell a special token: they go through the tokenizer whole.
-_DELICATE = regex.compile("[\x1c-\x1f\x85ɐ-\U0010ffff]|<\\|")
+#: Entries of a worker's caches.
+_PIECES, _WORDS = 1 << 18, 3 << 18
+#: The splitting rule of the tokenizer file, a fixed value: no match holds white space.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts that libraries might lower, compose or split differently, or that may spell a special token.
+_DELICATE = re.compile("[^\x00-\x1b\x20-\u024f]|<\\|")
+_LETTERS, _NUMBERS = ("".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
+#: The same rule for all other texts, with the alternatives that begin with a letter first.
+_WORD = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}{_NUMBERS}]+")
+#: Words that a worker keeps.
+_KNOWN = 1 << 20
 
 
 class Encoder:
     """Ids of whole texts: what the tokenizer gives, but each distinct word is merged once.
 
-    Merging never crosses the words of the splitting rule, so a text's ids are its words' ids. The
-    ids of known words are kept (and forgotten all at once when there are too many).
+    The tokenizer never merges across the words of the splitting rule, so a text's ids are its words'
+    ids. The ids of known words are kept (and forgotten all at once when there are too many). Another
+    kind of tokenizer file, and delicate texts, are encoded whole.
     """
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.whole, self.dtype, self.known = Tokenizer.from_file(path), dtype, {}
-        form = json.loads(self.whole.to_str())
+        self.tokenizer, self.kind, self.known = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[dtype], {}
+        form = json.loads(self.tokenizer.to_str())
         parts = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
-        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         kinds = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
-        by_word = kinds == ["NFC", "Replace", "Lowercase"] and len(parts) == 2 and parts[0]["pattern"] == {"Regex": _SPLIT.pattern} and parts[1] == byte_level
-        self.word = Tokenizer.from_str(json.dumps(form | {"normalizer": None, "pre_tokenizer": byte_level, "added_tokens": []})) if by_word else None
+        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and bool(parts) and parts[0].get("pattern") == {"Regex": _SPLIT}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [self.word is not None and not _DELICATE.search(t) for t in texts]
-        split = [_SPLIT.findall(unicodedata.normalize("NFC", t).lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
-        whole = iter(self._bytes(self.whole, [t for t, p in zip(texts, plain, strict=True) if not p]))
-        if len(self.known) >= _CACHE:
+        return [self._words(t) if self.by_word and not _DELICATE.search(t) else self._whole(t) for t in texts]
+
+    def _words(self, text: str) -> bytes:
+        words = _WORD.findall(text.lower())
+        if len(self.known) >= _KNOWN:
             self.known.clear()
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        known.update(zip(new, self._bytes(self.word, new), strict=True))
-        return [b"".join([known[w] for w in words]) if p else next(whole) for words, p in zip(split, plain, strict=True)]
-
-    def _bytes(self, tokenizer: Tokenizer | None, texts: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        return [np.asarray(x.ids, dtype=self.dtype).tobytes() for x in found]
+        new = list(set(words).difference(known))
+        for at in range(0, len(new), 1000):
+            some = new[at : at + 1000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            # Words are numbered in the text that they are joined to.
+            ids, bounds = array(self.kind, found.ids), np.searchsorted(found.word_ids, np.arange(len(some) + 1)).tolist()
+            known.update((w, ids[bounds[i] : bounds[i + 1]].tobytes()) for i, w in enumerate(some))
+        return b"".join(map(known.__getitem__, words))
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 @functools.cache
