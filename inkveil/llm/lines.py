@@ -7,8 +7,8 @@ estimate. Lines on ``SITES`` or more sites are cross-site boilerplate and are re
 
 Texts are read twice (hashing, removal) and the lines' table is narrow. A line in a third of all
 documents is one sketch per task. For the removal each document's boilerplate lines are gathered by id;
-they are matched by hash, so documents that share an id (or have none) are served alike. What is looked up
-is broadcast only after it was measured.
+they are matched by hash, so documents that share an id (or have none) are served alike. Boilerplate hashes
+are broadcast only after they were counted.
 
 Defined results: a null text stays null, with no lines; empty texts stay. Null sites are no site. Lines
 that are too short or blank stay where they are, so does the order of the lines. Other columns
@@ -66,9 +66,9 @@ def cleaned(
     lines = occurrences(docs, doc, text, site)
     wide = _among(lines, boilerplate(lines, sites))
     drops = written(wide.groupBy("doc_id").agg(F.collect_set("h").alias("drop")).toDF("d", "drop"))
-    small = drops.agg(F.coalesce(F.sum(F.size("drop") + 4), F.lit(0))).first()[0] <= BROADCAST_ROWS
     rows = docs.select(F.struct("*").alias("row"), F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("whole"))
-    found = rows.join(F.broadcast(drops) if small else drops, F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    # A merge join at any size: the number of documents with boilerplate grows with the corpus.
+    found = rows.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")), "left")
     # Looked up in the document's own few hashes.
     kept = F.filter(_lines(F.col("whole")), lambda x: ~F.coalesce(F.array_contains("drop", _hash(x)), F.lit(False)))
     done = found.withColumn("kept", F.when(F.col("drop").isNotNull(), kept))
