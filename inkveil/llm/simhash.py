@@ -129,7 +129,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges``; ``root`` is the smallest node of its component.
 
     Rounds of large-star (each node links its larger neighbours to the smallest of all) and small-star
-    (links itself and its smaller neighbours to the smallest). They end when every edge goes to a root.
+    (links itself and its smaller neighbours to the smallest). They end when the edges are a star forest:
+    no root has a root, and every other node has exactly one.
     """
     edges = written(edges.select("a", "b"))
     while True:
@@ -142,7 +143,9 @@ def components(edges: DataFrame) -> DataFrame:
         after = written(
             smaller.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(smaller.select(F.col("m").alias("a"), "b")).where("a <> b").distinct()
         )
-        if after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
+        # A node met twice has two roots, or is a root and has one.
+        ends = after.select("b").unionByName(after.select(F.col("a").alias("b")).distinct())
+        if ends.groupBy("b").count().where("count > 1").isEmpty():
             break
         edges = after
     return after.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(after.select(F.col("a"), F.col("a").alias("root")).distinct().toDF("node", "root"))
