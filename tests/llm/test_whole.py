@@ -32,3 +32,23 @@ def test_given_weights_hold_for_small_sources(spark, monkeypatch):
     rows = [(i, "x" * (1 + i % 50), "en", f"s{i % 450}") for i in range(900)]
     weights = {f"s{int(i)}": int(w) for i, w in zip(r.permutation(450)[:40], r.integers(2, 12, 40), strict=True)}
     assert plain(mixing.positions(docs_of(spark, rows), weights).collect()) == sorted(map(repr, brute_positions(rows, weights)))
+
+
+# --- components
+
+
+def test_components_of_a_chain_with_two_roots_in_a_round(spark):
+    chain = spark.createDataFrame([(1, 3), (3, 4), (4, 5), (2, 5)], "a bigint, b bigint")
+    got = sorted(tuple(r) for r in simhash.components(chain).collect())
+    assert got == [(n, 1) for n in range(1, 6)]
+
+
+def test_components_of_random_chains(spark):
+    r = np.random.default_rng(2)
+    edges, want = [], []
+    for k in range(60):
+        nodes = [100 * k + int(x) for x in r.permutation(5 + k % 4)]
+        edges += [(min(p), max(p)) for p in zip(nodes, nodes[1:])]
+        want += [(n, 100 * k) for n in nodes]
+    got = sorted(tuple(r) for r in simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    assert got == sorted(want)
