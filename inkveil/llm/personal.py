@@ -4,12 +4,12 @@ Strict patterns with checks (``BASE``) give the spans that always stay. Generato
 many more spans, overlapping ones too: spelled-out addresses, numbers with other separators or side by
 side, checks not passed. Boosted trees learn from format and context (lengths, digits, groups, checks,
 neighbours, cue words) what separates strict spans from the other proposals.
-Proposals are unlabelled, not wrong: so the trees' score is divided by its mean over held-out strict
-spans of the kind, which makes it the chance that a proposal is such a span, and proposals
-of ``CHANCE`` or more are added.
+Proposals are unlabelled, not wrong: so the trees' score is divided by its mean over all strict
+spans of the kind that the trees have not learned from, which makes it the chance that a proposal is such a
+span, and proposals of ``CHANCE`` or more are added.
 
-The trees are fitted on a bounded sample of about ``SAMPLE`` spans, chosen by hash; all texts are
-searched whole and all proposals are scored.
+The trees are fitted on a bounded sample of at most about ``SAMPLE`` spans, chosen by hash alike from each kind and
+label, weighted by what they stand for; all texts are searched whole, and all strict spans and proposals are scored.
 
 Defined results: null and empty texts have no spans. Without strict spans or without proposals to
 learn from, nothing is added. Rows are documents; repeated or null ids stay. Offsets count code
@@ -126,22 +126,27 @@ def _assembled(spans: DataFrame) -> DataFrame:
 def added(spans: DataFrame) -> DataFrame:
     """``row``, ``kind``, ``start``, ``end`` of the proposals that the calibrated trees select."""
     usable = spans.where("base or free")
-    total, strict = usable.agg(F.count("*"), F.sum(F.col("base").cast("int"))).first()
+    groups = usable.groupBy("kind", "base").count().collect()  # eight at most
     none = spans.select("row", "kind", "start", "end").where("false")
-    if not strict or strict == total:
+    if len({r["base"] for r in groups}) < 2:
         return none
-    drawn = F.pmod(F.xxhash64("row", "start", "kind"), F.lit(1 << 20)) < F.lit(int(min(1.0, SAMPLE / total) * (1 << 20)))
-    sample = _assembled(written(usable.where(drawn).limit(2 * SAMPLE).coalesce(4))).withColumn("label", F.col("base").cast("double"))
-    side = F.pmod(F.xxhash64("start", "row"), F.lit(4)) == 0
-    train, holdout = sample.where(~side), sample.where(side & F.col("base"))
+    # Each kind and label has its part of the sample, and the weight that makes up for it.
+    shares = {(r["kind"], r["base"]): min(1.0, SAMPLE / len(groups) / r["count"]) for r in groups}
+    name = F.concat_ws(":", F.col("kind").cast("string"), F.col("base").cast("string"))
+    share = F.create_map(*(F.lit(v) for (kind, base), part in shares.items() for v in (f"{kind}:{str(base).lower()}", part)))
+    drawn = F.pmod(F.xxhash64("row", "start", "kind"), F.lit(1 << 20)) < F.try_element_at(share, name) * (1 << 20)
+    # A quarter of all spans never trains, however small the table.
+    trains = (F.pmod(F.xxhash64("start", "row"), F.lit(4)) != 0) & drawn
+    train = _assembled(written(usable.where(trains).withColumn("weight", 1 / F.try_element_at(share, name)).coalesce(4)))
+    train = train.withColumn("label", F.col("base").cast("double"))
     if train.select("label").distinct().count() < 2:
         return none
-    model = GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.3, seed=7, cacheNodeIds=False).fit(train)
+    model = GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.3, seed=7, cacheNodeIds=False, weightCol="weight").fit(train)
     score = vector_to_array("probability")[1]
-    mean = model.transform(holdout).groupBy("kind").agg(F.avg(score).alias("usual"))
+    # All strict spans that have not trained; a kind without any is measured by those that have.
+    strict = model.transform(_assembled(spans.where("base").withColumn("trained", trains)))
+    mean = strict.groupBy("kind").agg(F.coalesce(F.avg(F.when(~F.col("trained"), score)), F.avg(score)).alias("usual"))
     usual = {r["kind"]: r["usual"] for r in mean.collect()}  # four kinds at most
-    if not usual:
-        return none
     least = F.create_map(*(F.lit(v) for kind, m in usual.items() for v in (kind, CHANCE * m)))
     scored = model.transform(_assembled(spans.where("free"))).where(score >= F.try_element_at(least, "kind"))
     return scored.select("row", "kind", "start", "end")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from inkveil.llm import mixing, simhash
+from inkveil.llm import mixing, personal, simhash
 from tests.llm.test_models import brute_positions, docs_of, plain
 
 # --- mixing
@@ -52,3 +52,16 @@ def test_components_of_random_chains(spark):
         want += [(n, 100 * k) for n in nodes]
     got = sorted(tuple(r) for r in simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert got == sorted(want)
+
+
+# --- personal data
+
+
+def test_rare_kinds_are_calibrated_beside_many_loose_proposals(spark, monkeypatch):
+    monkeypatch.setattr(personal, "SAMPLE", 200)
+    names = [f for f in personal.FEATURES if f != "kind"]
+    good, bad = [1.0] * len(names), [0.0 if f == "valid" else 1.0 for f in names]
+    rows = [(i, 3, 5, 21, True, False, *good) for i in range(2000)] + [(i, 3, 40, 56, False, True, *bad) for i in range(6000)]
+    rows += [(i, 0, 70, 80, True, False, *good) for i in range(3)] + [(9, 0, 90, 99, False, True, *good), (9, 0, 190, 199, False, True, *bad)]
+    schema = "row bigint, kind int, start int, end int, base boolean, free boolean, " + ", ".join(f"{f} double" for f in names)
+    assert [tuple(r) for r in personal.added(spark.createDataFrame(rows, schema)).collect()] == [(9, 0, 90, 99)]
