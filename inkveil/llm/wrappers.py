@@ -10,8 +10,8 @@ on the template and not on the pages, and aligning is done in any order: all pag
 first, host by host, then the parts in two steps; a hot host is one small part per partition.
 
 The host's wrapper tells what is article: it has the marked container (``article``, ``main``, usual names) if the
-host's template has one; else the whole body without texts that are the same on all pages and without
-groups made of links. Elements for menus, headers, adverts, forms, comments and the like go, by tag, role and
+host's template has one; else the whole body without texts that are the same on all pages (of which ``FIXED_PAGES``
+must differ, as copies are no evidence of a template) and without groups made of links. Elements for menus, headers, adverts, forms, comments and the like go, by tag, role and
 name.
 
 Defined results: a null page is an empty one and has the empty text. Pages without a host (null or odd
@@ -270,11 +270,14 @@ def _unwanted(key: str, inside: bool, holds_main: bool) -> bool:
 class Wrapper:
     """What the host's regular expression says about its pages."""
 
-    def __init__(self, root: Node):
+    def __init__(self, root: Node, contents: int):
         self.grade, self.fixed, self.link_groups = 0, set(), set()
-        self._learn(root, False)
+        self.pages = root.pages
+        self._learn(root, False, contents >= FIXED_PAGES)
 
-    def _learn(self, node: Node, out: bool) -> None:
+    def _learn(self, node: Node, out: bool, always: bool) -> None:
+        """``always``: the element is on all pages, and they are enough different ones to tell."""
+        always = always and not node.opt and node.pages == self.pages
         for x in node.items:
             if isinstance(x, Node):
                 mark = _marks_main(x.key)
@@ -284,8 +287,8 @@ class Wrapper:
                     self.grade = max(self.grade, mark if x.chars else 0)
                     if x.chars and 2 * x.links > x.chars:
                         self.link_groups.add(x.key)
-                self._learn(x, gone)
-            elif x is not None and node.pages >= FIXED_PAGES and not node.rep:
+                self._learn(x, gone, always)
+            elif x is not None and always and not node.rep:
                 self.fixed.add((node.key, x))
 
 
@@ -295,7 +298,8 @@ def _holds_main(node: Node) -> bool:
 
 @functools.lru_cache(256)
 def _wrapper(plain: str) -> Wrapper:
-    return Wrapper(Node.of(json.loads(plain)))
+    contents, root = json.loads(plain)
+    return Wrapper(Node.of(root), contents)
 
 
 def extract(html: str | None, wrapper: Wrapper) -> str:
@@ -374,11 +378,16 @@ def _united(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """``host`` and ``wrapper`` of ``pages`` (``host``, ``html``), from all of them, written."""
+    """``host`` and ``wrapper`` of ``pages`` (``host``, ``html``), from all of them, written.
+
+    A wrapper is a JSON array: how many different pages the host has, and the expression.
+    """
+    contents = pages.select("host", F.xxhash64("html").alias("content")).distinct().groupBy("host").agg(F.count("*").alias("contents"))
     parts = written(pages.select("host", "html").mapInArrow(_partial, "host string, wrapper string"))
     some = parts.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
     some = some.groupBy("host", "part").applyInPandas(_united, "host string, wrapper string")
-    return written(some.groupBy("host").applyInPandas(_united, "host string, wrapper string"))
+    whole = some.groupBy("host").applyInPandas(_united, "host string, wrapper string")
+    return written(whole.join(contents, "host").select("host", F.format_string("[%d,%s]", "contents", "wrapper").alias("wrapper")))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

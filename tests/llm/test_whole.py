@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from inkveil.llm import mixing, personal, simhash
+from inkveil.llm import mixing, personal, simhash, wrappers
 from tests.llm.test_models import brute_positions, docs_of, plain
 
 # --- mixing
@@ -65,3 +65,23 @@ def test_rare_kinds_are_calibrated_beside_many_loose_proposals(spark, monkeypatc
     rows += [(i, 0, 70, 80, True, False, *good) for i in range(3)] + [(9, 0, 90, 99, False, True, *good), (9, 0, 190, 199, False, True, *bad)]
     schema = "row bigint, kind int, start int, end int, base boolean, free boolean, " + ", ".join(f"{f} double" for f in names)
     assert [tuple(r) for r in personal.added(spark.createDataFrame(rows, schema)).collect()] == [(9, 0, 90, 99)]
+
+
+# --- pages
+
+
+def texts_of(spark, pages):
+    table = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    return {r.page_id: r.text for r in wrappers.main_texts(table).collect()}
+
+
+def test_texts_of_some_pages_are_no_boilerplate(spark):
+    own = lambda i: f"<div><p>first {i}</p>{'<h2>Summary</h2>' if i % 2 else ''}<p>more {i}</p></div><address>The house</address>"
+    got = texts_of(spark, [(i, "http://a.example/", own(i)) for i in range(12)])
+    assert all(got[i] == f"first {i}\n" + "Summary\n" * (i % 2) + f"more {i}" for i in range(12))
+
+
+def test_copies_are_no_evidence_of_a_template(spark):
+    copy = "<h1>News</h1><div><p>The only paragraph.</p></div>"
+    got = texts_of(spark, [(i, "http://a.example/", copy) for i in range(5)] + [(9, "http://a.example/", copy.replace("only", "other"))])
+    assert all(got[i] == "News\nThe only paragraph." for i in range(5)) and got[9] == "News\nThe other paragraph."
