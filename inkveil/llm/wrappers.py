@@ -22,6 +22,7 @@ Rows are pages: repeated or null ids stay. Other columns are not read.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -38,6 +39,8 @@ LONGEST = 24
 FIXED_PAGES = 3
 FIXED_CHARS = 300
 HOSTS_HELD = 2000
+#: Longer names of an element are reduced in its key.
+NAME_CHARS = 100
 #: Elements nested deeper are read as siblings; their texts stay.
 DEPTH = 120
 BROADCAST_BYTES = 32 << 20
@@ -53,7 +56,7 @@ _OTHER = frozenset(
     "subscribe subscription toolbar widget widgets".split()
 )
 _MAIN = frozenset("article articlebody articletext content entry main maincontent maintext post postbody postcontent story storybody".split())
-_ABOUT = frozenset("has with no without".split())
+_ABOUT = frozenset("has with no without overflow".split())
 #: An element's start ends these open ones.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = frozenset("html body div article section main ul ol dl table tr td th nav aside header footer form blockquote".split())
@@ -138,10 +141,19 @@ def _key(tag: str, attrs: dict) -> str:
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
         return f"{tag}.hidden"
     names = " ".join(filter(None, (attrs.get("class"), attrs.get("id"), attrs.get("role"), attrs.get("itemprop"))))
-    names = re.sub(r"\d+", "0", _CAMEL.sub("-", names)).lower()[:100]
+    names = re.sub(r"\d+", "0", _CAMEL.sub("-", names)).lower()
+    if len(names) > NAME_CHARS:
+        names = _short(names)
     return f"{tag}.{names}" if names else tag
 
 
+@functools.lru_cache(1 << 14)
+def _short(names: str) -> str:
+    """Long names as the marker words among them and a number, which holds no word, that tells them apart."""
+    number = int.from_bytes(hashlib.blake2b(names.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+    return " ".join((*sorted(_named(f".{names}") & (_OTHER | _MAIN)), str(number)))
+
+
 def parse(html: str | None) -> Node:
     tree = _Tree()
     tree.feed(html or "")
@@ -247,7 +259,7 @@ def _optional(x):
 
 @functools.lru_cache(1 << 14)
 def _named(key: str) -> frozenset:
-    """The words of an element's names, and each name without its separators; not of names like ``has-sidebar``."""
+    """The words of an element's names, and each name without its separators; not of names like ``has-sidebar`` or ``overflow-hidden``."""
     split = [re.split("[^a-z]+", name) for name in key.partition(".")[2].split()]
     return frozenset(w for words in split if not _ABOUT & set(words) for w in (*words, "".join(words)) if w)
 

@@ -85,3 +85,14 @@ def test_copies_are_no_evidence_of_a_template(spark):
     copy = "<h1>News</h1><div><p>The only paragraph.</p></div>"
     got = texts_of(spark, [(i, "http://a.example/", copy) for i in range(5)] + [(9, "http://a.example/", copy.replace("only", "other"))])
     assert all(got[i] == "News\nThe only paragraph." for i in range(5)) and got[9] == "News\nThe other paragraph."
+
+
+def test_names_after_long_class_lists_count(spark):
+    utilities = " ".join(f"md-gap-{w} text-{w}" for w in ("alpha", "beta", "gamma", "delta", "epsilon", "zeta")) + " overflow-hidden"
+    assert len(utilities) > 100
+    own = lambda i: (
+        f"<div class='{utilities}' role=navigation><p>menu {i}</p></div><div class='{utilities}' id=pageSidebar><p>side {i}</p></div>"
+        f"<div class='{utilities}' itemprop=articleBody><p>text {i}</p></div><div class='{utilities}'><p>beside {i}</p></div>"
+    )
+    got = texts_of(spark, [(i, "http://a.example/", own(i)) for i in range(4)])
+    assert got == {i: f"text {i}" for i in range(4)}
