@@ -4,9 +4,9 @@ Features are the shares of hashed letter 1-, 2- and 3-grams of the lower-cased t
 The family is picked by one-versus-rest linear support vector machines, the language within a family
 by one-versus-one machines for each pair of its languages, whose votes (then margins) decide.
 
-The machines are fitted on a bounded sample: at most about ``SAMPLE`` labelled documents of each
-language, chosen by hash, of the ``LANGUAGES`` most frequent labels; whole texts. Everything is
-predicted, from the text alone.
+The machines are fitted on a bounded sample: of every label the ``SAMPLE`` distinct texts with the smallest
+hashes, or all if there are fewer; whole texts. Everything is predicted, from the text alone. The sample is held by
+the driver, so labels are not capped but cost memory and time there.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter. Without any label to
 learn from, all others are ``und`` too. Rows are documents; repeated or null ids are kept (a null
@@ -22,10 +22,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from inkveil.functions.lineage import written
 
 SAMPLE = 400
-LANGUAGES = 128
 BUCKETS = 1 << 13
 PIECE = 1 << 20
 UNKNOWN = "und"
@@ -152,13 +153,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
     """A model from rows with a non-null label and a text; None if there are none."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).dropna()
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return None
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, SAMPLE / r["count"]))))
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.try_element_at(share, "lang") * (1 << 20)
-    # The share keeps the sample near its size; the limit bounds it should many texts share one hash.
-    sample = rows.where(drawn).limit(2 * SAMPLE * len(counts))
+    hashed = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    # Hashes below a label's bound are about two samples of distinct texts, so no task ranks more of them.
+    share = 2.0 * SAMPLE / F.approx_count_distinct("h")
+    bounds = written(hashed.groupBy("lang").agg(F.when(share < 1, (share * 2.0**63).cast("bigint")).alias("bound")))
+    low = hashed.join(F.broadcast(bounds), "lang").where("bound is null or h < bound")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = written(low.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("lang", "h"))
+    # Any one of the copies of a text.
+    sample = low.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
     got = sorted((r["lang"], bytes(r["x"])) for r in sample.mapInArrow(_features, "lang string, x binary").collect())
     if not got:
         return None

@@ -1,9 +1,11 @@
 """Whole results where there are many groups, few rows of a kind, copies, or long names."""
 
+from collections import Counter
+
 import numpy as np
 
-from inkveil.llm import mixing, personal, simhash, wrappers
-from tests.llm.test_models import brute_positions, docs_of, plain
+from inkveil.llm import language, mixing, personal, simhash, wrappers
+from tests.llm.test_models import brute_positions, docs_of, plain, prose
 
 # --- mixing
 
@@ -96,3 +98,24 @@ def test_names_after_long_class_lists_count(spark):
     )
     got = texts_of(spark, [(i, "http://a.example/", own(i)) for i in range(4)])
     assert got == {i: f"text {i}" for i in range(4)}
+
+
+# --- language
+
+
+def test_all_labels_are_learned(spark):
+    rows = [(2 * k + j, " ".join(chr(0x4E00 + 5 * k + x) * 3 for x in (0, 1, 2, 3 + j)), f"l{k:03}", "s") for k in range(132) for j in range(2)]
+    model = language.fit(docs_of(spark, rows))
+    assert sorted(lang for group in model.members for lang in group) == [f"l{k:03}" for k in range(132)]
+    said = {r.doc_id: r.lang_pred for r in language.predict(docs_of(spark, rows), model, ["doc_id"]).collect()}
+    assert sum(said[i] == lang for i, _, lang, _ in rows) >= 260
+
+
+def test_copies_leave_no_label_out(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 4)
+    seen = []
+    monkeypatch.setattr(language.Model, "fit", staticmethod(lambda x, langs: seen.extend(langs)))
+    rows = [(i, prose("en", i), "en", "s") for i in range(300)]
+    rows += [(1000 + 400 * k + i, f"{prose('de', k)} {i % 2}", f"x{k}", "s") for k in range(5) for i in range(400)]
+    language.fit(docs_of(spark, rows))
+    assert Counter(seen) == {"en": 4} | {f"x{k}": 2 for k in range(5)}
