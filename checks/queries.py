@@ -360,7 +360,7 @@ def export_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 def import_scopes(spark: SparkSession, sf: str) -> DataFrame:
     path, mapping = stored(spark, sf)
-    mapping_files.write_json(mapping, path)
+    mapping_files.write_json(mapping, path, mapping_files.SHARD_ROWS)
     return mapping_files.import_json(spark, path)[0].select(*MAPPING[:5])
 
 
@@ -491,7 +491,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stats_by_source_lang": lambda spark, sf: audit.stats(document_findings(spark, sf), "source", "lang"),
         "total_replacements": lambda spark, sf: audit.total(document_findings(spark, sf), "doc_id"),
         "export_text": lambda spark, sf: mapping_files.export_text(redaction(spark, sf).mapping).select("placeholder", "line"),
-        "export_json": lambda spark, sf: mapping_files.export_json(log_redaction(spark, sf, "user_id").mapping),
+        "export_json": lambda spark, sf: mapping_files.export_json(log_redaction(spark, sf, "user_id").mapping, mapping_files.SHARD_ROWS),
         "preview_html": preview_html,
         "custom_token": custom_token,
         "custom_token_declared": custom_token_declared,

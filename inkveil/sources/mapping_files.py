@@ -12,6 +12,9 @@ JSON_SCHEMA = T.StructType(
     ]
 )
 
+#: Entries of one scope and prefix in an object, where scopes may be of any size.
+SHARD_ROWS = 10_000
+
 TEXT_HEADER = ("# Mapping Table (Placeholder -> Original)", "=" * 60)
 
 
@@ -26,7 +29,7 @@ def export_json(mapping: DataFrame, shard_rows: int | None = None) -> DataFrame:
 
     The form for exchange with single programs: an object has to fit into one task. ``shard_rows``
     asks for several objects, each with so many values of a prefix at most; importing all of them
-    gives the scope back. Mappings of any size go through ``write_entries``.
+    gives the scope back; with ``SHARD_ROWS`` scopes may be of any size. ``write_entries`` has no objects at all.
     """
     entry = F.struct("first_seq", (-F.col("first_pos")).alias("back"), "value", "placeholder")
     shard = F.floor((F.col("n") - 1) / shard_rows) if shard_rows else F.lit(0).cast("bigint")
