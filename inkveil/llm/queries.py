@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from inkveil.functions.lineage import scratch_folder
-from inkveil.llm import cotraining, language, lines, mixing, personal, postings, rules, simhash, token_files, wrappers
+from inkveil.llm import chat, codes, cotraining, language, lines, mixing, personal, postings, prefixes, rules, simhash, statements, token_files, wrappers
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -61,6 +61,18 @@ def op10_personal(spark: SparkSession, sf: str) -> DataFrame:
     return personal.find(_table(spark, sf, "documents"))
 
 
+def op11_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return codes.codes(_table(spark, sf, "embeddings"))
+
+
+def op12_chat(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.read_back(chat.formatted(chat.control_case(_table(spark, sf, "conversations")))).withColumnRenamed("id", "conv_id")
+
+
+def op13_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    return prefixes.trie(_table(spark, sf, "conversations"))
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the workers, once per session: they need not have it on their path."""
     context = spark.sparkContext
@@ -89,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_quality, op2_decontamination, op3_lines, op4_simhash, op5_token_files,
         op6_language, op7_pages, op8_rules, op9_mixing, op10_personal,
+        op11_codes, op12_chat, op13_prefixes,
     )
     return {f.__name__: _shipped(f) for f in operators} | {"pipeline": _shipped(corpus_pipeline.run)}
 
@@ -215,4 +228,8 @@ SELECT doc_id, coalesce(n_removed, 0) AS n_removed, kept.text AS text FROM cut L
 
 def oracle_sql() -> dict[str, str]:
     pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return pipeline | {"op2_decontamination": _OP2, "op3_lines": _OP3, "op8_rules": _op8(), "op9_mixing": _OP9}
+    return pipeline | {"op2_decontamination": _OP2, "op3_lines": _OP3, "op8_rules": _op8(), "op9_mixing": _OP9} | {
+        "op11_codes": statements.vector_codes(),
+        "op12_chat": statements.chat_formats(),
+        "op13_prefixes": statements.prefix_trie(),
+    }
