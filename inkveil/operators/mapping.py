@@ -65,11 +65,11 @@ def keyed_values(spanned: DataFrame, doc: str, scope: str, seq: str, spans: str
     return written(rows.select("doc", "scope", "seq", "e.of", "e.v.value", "e.v.last", "e.v.prefix", "e.v.at"))
 
 
-def assign(keyed: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def assign(keyed: DataFrame, existing: DataFrame | None = None, tops: DataFrame | None = None) -> DataFrame:
     """Mapping entries for the values that ``existing`` does not know yet.
 
     Known values keep their placeholder; new ones go on from the highest number of their
-    prefix. Only partial aggregates are shuffled, so a value found everywhere costs one row
+    prefix, which ``tops`` (``scope, prefix, top``) tells if it is given. Only partial aggregates are shuffled, so a value found everywhere costs one row
     per task.
     """
     first = keyed.groupBy("scope", "value").agg(
@@ -84,10 +84,12 @@ def assign(keyed: DataFrame, existing: DataFrame | None = None) -> DataFrame:
         F.col("first.seq").alias("first_seq"),
         (-F.col("first.back")).alias("first_pos"),
     )
-    return _numbered(fresh, existing)
+    if tops is None and existing is not None:
+        tops = existing.groupBy("scope", "prefix").agg(F.max("n").alias("top"))
+    return _numbered(fresh, tops)
 
 
-def _numbered(fresh: DataFrame, existing: DataFrame | None) -> DataFrame:
+def _numbered(fresh: DataFrame, tops: DataFrame | None) -> DataFrame:
     """Number rows per scope and prefix by order of appearance, without one task per prefix.
 
     A global sort splits even a single prefix over many tasks. Row ids ascend inside each
@@ -103,9 +105,8 @@ def _numbered(fresh: DataFrame, existing: DataFrame | None) -> DataFrame:
     parts = ordered.groupBy(*group, "part").agg(F.min("row").alias("low"), F.count("*").alias("rows"))
     earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.withColumn("base", F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - F.col("low") + 1)
-    if existing is not None:
-        top = existing.groupBy(*group).agg(F.max("n").alias("top"))
-        bases = bases.join(top, group, "left").withColumn("base", F.col("base") + F.coalesce("top", F.lit(0)))
+    if tops is not None:
+        bases = bases.join(tops, group, "left").withColumn("base", F.col("base") + F.coalesce("top", F.lit(0)))
     return (
         ordered.join(bases.select(*group, "part", "base"), [*group, "part"])
         .withColumn("n", F.col("row") + F.col("base"))

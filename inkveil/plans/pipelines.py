@@ -18,6 +18,7 @@ from inkveil.operators.mapping import assign, keyed_values
 from inkveil.operators.numbering import with_document_numbers
 from inkveil.operators.resolve import spans_sql, with_spans
 from inkveil.operators.rewrite import apply_edits, edits_by_lookup
+from inkveil.sources.versions import VersionedStore
 
 
 @dataclass(frozen=True)
@@ -73,11 +74,41 @@ def redact(
     must be unique within a scope. ``existing`` is an earlier mapping of the same scopes to
     go on from. Texts are searched once; they meet their edits in one join on ``doc``.
     """
-    seq = seq or doc
+    keyed = _keyed(df, config, doc, scope, seq or doc, text, scored, engine)
+    return _replaced(df, keyed, existing, written(assign(keyed, existing)), doc, text, out)
+
+
+def redact_into(
+    df: DataFrame,
+    config: Config,
+    store: VersionedStore,
+    *,
+    doc: str,
+    scope: str = "global",
+    seq: str | None = None,
+    text: str = "text",
+    out: str = "redacted",
+    writer: str = "",
+    batch: int = -1,
+) -> Redaction:
+    """``redact`` on top of a store that others may write to at the same time; new entries are committed.
+
+    Texts are searched once, however often numbering has to start over. Only stored entries that may concern
+    the scopes of ``df`` are read, so ``mapping`` holds those. A ``batch`` that ``writer`` has committed before gives
+    the same placeholders again.
+    """
+    keyed = _keyed(df, config, doc, scope, seq or doc, text, None, "jvm")
+    before, added = store.add(lambda known, tops: assign(keyed, known, tops), keyed.select("scope").distinct(), writer, batch)
+    return _replaced(df, keyed, before, added, doc, text, out)
+
+
+def _keyed(df: DataFrame, config: Config, doc: str, scope: str, seq: str, text: str, scored: str | None, engine: str) -> DataFrame:
     needed = [doc, text, seq, *([] if scope == "global" else [scope]), *([scored] if scored else [])]
     slim = df.select(*dict.fromkeys(needed))
-    keyed = keyed_values(spanned(slim, config, text, scored, engine), doc, scope, seq)
-    added = written(assign(keyed, existing))
+    return keyed_values(spanned(slim, config, text, scored, engine), doc, scope, seq)
+
+
+def _replaced(df: DataFrame, keyed: DataFrame, existing: DataFrame | None, added: DataFrame, doc: str, text: str, out: str) -> Redaction:
     mapping = added if existing is None else existing.select(added.columns).unionByName(added)
     edits = edits_by_lookup(keyed, mapping, ["scope", "value"], "placeholder", "doc", of="of")
     joined = df.join(edits.withColumnRenamed("doc", doc), doc, "left")

@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from inkveil import catalog
 from inkveil.config import Config, CustomPattern
 from inkveil.operators.mapping import mapping_schema
+from inkveil.sources.versions import VersionedStore
 
 
 class MappingStore:
@@ -87,10 +88,10 @@ def load_settings(spark: SparkSession, path: str) -> Config:
 
 
 def save_session(spark: SparkSession, config: Config, mapping: DataFrame, path: str) -> None:
-    """Settings and mapping under ``path``; the mapping becomes batch 0 of its store."""
+    """Settings and mapping under ``path``; the mapping replaces what an earlier session left there, in one version."""
     save_settings(spark, config, f"{path}/settings")
-    MappingStore(spark, f"{path}/mapping", mapping.schema["first_seq"].dataType).append(mapping, 0)
+    VersionedStore(spark, f"{path}/mapping", mapping.schema["first_seq"].dataType).replace(mapping)
 
 
 def load_session(spark: SparkSession, path: str, seq: T.DataType | None = None) -> tuple[Config, DataFrame]:
-    return load_settings(spark, f"{path}/settings"), MappingStore(spark, f"{path}/mapping", seq).load()
+    return load_settings(spark, f"{path}/settings"), VersionedStore(spark, f"{path}/mapping", seq).load()

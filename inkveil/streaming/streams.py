@@ -16,8 +16,8 @@ from inkveil.operators.mapping import scope_column
 from inkveil.operators.numbering import values_of
 from inkveil.operators.restore import restore
 from inkveil.operators.rewrite import apply_edits
-from inkveil.plans.pipelines import redact, redact_documents, spanned
-from inkveil.sources.session import MappingStore
+from inkveil.plans.pipelines import redact_documents, redact_into, spanned
+from inkveil.sources.versions import COMPACT_EVERY, VersionedStore
 
 
 def redact_stream(df: DataFrame, config: Config, text: str = "text", out: str = "redacted") -> DataFrame:
@@ -30,43 +30,59 @@ def redact_stream_to(
     config: Config,
     *,
     path: str,
-    store: MappingStore,
+    store: VersionedStore,
     checkpoint: str,
     doc: str,
     scope: str = "global",
     seq: str | None = None,
     text: str = "text",
+    compact_every: int = COMPACT_EVERY,
 ) -> DataStreamWriter:
-    """Global or column scope, batch by batch against a stored mapping.
+    """Global or column scope, batch by batch against a stored mapping that other writers may add to.
 
-    Each micro-batch numbers its new values after all earlier ones and writes its folders
-    anew, so a batch replayed after a failure gives the same files. One hot scope is still
-    spread over all tasks.
+    Each micro-batch numbers its new values after all stored ones, commits them as a version and writes its folder
+    anew; a batch replayed after a failure finds its values stored and gives the same files. It reads the counters and the
+    entries of its own scopes' buckets. One hot scope is still spread over all tasks. ``checkpoint`` names the writer.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         with scratch_run(batch.sparkSession):
-            result = redact(
-                batch, config, doc=doc, scope=scope, seq=seq, text=text, existing=store.load(before=batch_id)
-            )
-            store.append(result.added, batch_id)
+            result = redact_into(batch, config, store, doc=doc, scope=scope, seq=seq, text=text, writer=checkpoint, batch=batch_id)
             result.redacted.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+            # A replay needs no version of its own: its values are known by then, with the same placeholders.
+            if (batch_id + 1) % compact_every == 0:
+                store.compact()
 
     return df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
 def restore_stream_to(
-    df: DataFrame, mapping: DataFrame, *, path: str, checkpoint: str, doc: str, scope: str = "global", text: str = "text"
+    df: DataFrame,
+    mapping: DataFrame | VersionedStore,
+    *,
+    path: str,
+    checkpoint: str,
+    doc: str,
+    scope: str = "global",
+    text: str = "text",
 ) -> DataStreamWriter:
-    """Restore each micro-batch against a static mapping table."""
+    """Restore each micro-batch against a mapping table, or against a store as it is when the batch comes.
+
+    From a store, entries that were committed since the stream began are restored as well; only buckets of the
+    batch's scopes are read.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         with scratch_run(batch.sparkSession):
-            restored = restore(batch, mapping, doc, scope, text)
+            known = mapping
+            if isinstance(mapping, VersionedStore):
+                known = mapping.load(scopes=batch.select(scope_column(scope).alias("scope")))
+            restored = restore(batch, known, doc, scope, text)
             restored.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
     return df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
+
 # Ship this module's functions inside the job, so executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 

@@ -1,7 +1,7 @@
 import pytest
 
 from inkveil import Config, redact, redact_documents
-from inkveil.sources.session import MappingStore
+from inkveil.sources.versions import VersionedStore
 from inkveil.streaming import streams
 
 SCHEMA = "doc_id bigint, team string, text string"
@@ -46,7 +46,7 @@ def test_document_scope(spark, source, tmp_path):
 @pytest.mark.parametrize("scope", ["global", "team"])
 def test_stored_mapping_with_restart(spark, source, tmp_path, scope):
     folder, put, everything = source
-    out, store = str(tmp_path / "out"), MappingStore(spark, str(tmp_path / "store"))
+    out, store = str(tmp_path / "out"), VersionedStore(spark, str(tmp_path / "store"))
     for step in range(2):
         run(
             streams.redact_stream_to(
@@ -84,3 +84,17 @@ def test_restore(spark, source, tmp_path):
     )
     got = sorted((r.doc_id, r.restored) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted((r.doc_id, r.text) for r in everything.collect())
+
+
+def test_restoring_follows_the_store(spark, source, tmp_path):
+    """Placeholders that the second batch mentions were committed after the restoring stream began."""
+    folder, put, everything = source
+    out, store = str(tmp_path / "red"), VersionedStore(spark, str(tmp_path / "store"))
+    for step in range(2):
+        run(streams.redact_stream_to(stream(spark, folder), Config(), path=out, store=store, checkpoint=str(tmp_path / "ck"), doc="doc_id", scope="team"))
+        back = spark.readStream.schema("doc_id bigint, team string, redacted string").option("recursiveFileLookup", True).parquet(out)
+        run(streams.restore_stream_to(back, VersionedStore(spark, store.path), path=str(tmp_path / "out"), checkpoint=str(tmp_path / "ck2"), doc="doc_id", scope="team", text="redacted"))
+        if step == 0:
+            put(1, 30, 60)
+    got = sorted((r.doc_id, r.restored) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((r.doc_id, r.text) for r in everything.collect())
