@@ -16,6 +16,7 @@ from inkveil.operators import audit
 from inkveil.operators.candidates import with_candidates
 from inkveil.operators.mapping import assign, keyed_values
 from inkveil.operators.numbering import with_document_numbers
+from inkveil.operators.preserved import without_preserved
 from inkveil.operators.resolve import spans_sql, with_spans
 from inkveil.operators.rewrite import apply_edits, edits_by_lookup
 from inkveil.sources.versions import VersionedStore
@@ -37,14 +38,33 @@ def spanned(
     return with_spans(with_candidates(df, config, text, scored=scored, engine=engine))
 
 
+def spanned_without(
+    df: DataFrame, config: Config, keep: Iterable[str], preserved: DataFrame, text: str = "text", scored: str | None = None, engine: str = "jvm"
+) -> DataFrame:
+    """The columns ``keep`` and ``spans``, without values that hold a string of the one column of ``preserved``."""
+    found = with_candidates(df, config, text, scored=scored, engine=engine).select(*keep, "candidates")
+    return with_spans(without_preserved(found, preserved, preserved.columns[0]))
+
+
 def find(
-    df: DataFrame, config: Config, keys: Iterable[str], text: str = "text", scored: str | None = None, engine: str = "jvm"
+    df: DataFrame,
+    config: Config,
+    keys: Iterable[str],
+    text: str = "text",
+    scored: str | None = None,
+    engine: str = "jvm",
+    preserved: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per finding. Only the keys and the text are read."""
+    """One row per finding. Only the keys and the text are read.
+
+    ``preserved``: a table of preserved strings (its first column), beside those of ``config``.
+    """
     keys = list(keys)
     extra = [scored] if scored else []
     slim = df.select(*dict.fromkeys([*keys, text, *extra]))
-    return audit.findings(spanned(slim, config, text, scored, engine), *keys)
+    if preserved is None:
+        return audit.findings(spanned(slim, config, text, scored, engine), *keys)
+    return audit.findings(spanned_without(slim, config, dict.fromkeys(keys), preserved, text, scored, engine), *keys)
 
 
 def redact_documents(
@@ -67,14 +87,16 @@ def redact(
     out: str = "redacted",
     scored: str | None = None,
     engine: str = "jvm",
+    preserved: DataFrame | None = None,
 ) -> Redaction:
     """Redact with placeholders shared over a scope: ``'global'`` or the values of a column.
 
     ``doc`` must be unique; ``seq`` (default ``doc``) orders documents for numbering and
     must be unique within a scope. ``existing`` is an earlier mapping of the same scopes to
-    go on from. Texts are searched once; they meet their edits in one join on ``doc``.
+    go on from. Texts are searched once; they meet their edits in one join on ``doc``. ``preserved``: a table of
+    preserved strings, as in ``find``.
     """
-    keyed = _keyed(df, config, doc, scope, seq or doc, text, scored, engine)
+    keyed = _keyed(df, config, doc, scope, seq or doc, text, scored, engine, preserved)
     return _replaced(df, keyed, existing, written(assign(keyed, existing)), doc, text, out)
 
 
@@ -97,15 +119,19 @@ def redact_into(
     the scopes of ``df`` are read, so ``mapping`` holds those. A ``batch`` that ``writer`` has committed before gives
     the same placeholders again.
     """
-    keyed = _keyed(df, config, doc, scope, seq or doc, text, None, "jvm")
+    keyed = _keyed(df, config, doc, scope, seq or doc, text, None, "jvm", None)
     before, added = store.add(lambda known, tops: assign(keyed, known, tops), keyed.select("scope").distinct(), writer, batch)
     return _replaced(df, keyed, before, added, doc, text, out)
 
 
-def _keyed(df: DataFrame, config: Config, doc: str, scope: str, seq: str, text: str, scored: str | None, engine: str) -> DataFrame:
-    needed = [doc, text, seq, *([] if scope == "global" else [scope]), *([scored] if scored else [])]
-    slim = df.select(*dict.fromkeys(needed))
-    return keyed_values(spanned(slim, config, text, scored, engine), doc, scope, seq)
+def _keyed(
+    df: DataFrame, config: Config, doc: str, scope: str, seq: str, text: str, scored: str | None, engine: str, preserved: DataFrame | None
+) -> DataFrame:
+    keys = dict.fromkeys([doc, seq, *([] if scope == "global" else [scope])])
+    slim = df.select(*dict.fromkeys([*keys, text, *([scored] if scored else [])]))
+    if preserved is None:
+        return keyed_values(spanned(slim, config, text, scored, engine), doc, scope, seq)
+    return keyed_values(spanned_without(slim, config, keys, preserved, text, scored, engine), doc, scope, seq)
 
 
 def _replaced(df: DataFrame, keyed: DataFrame, existing: DataFrame | None, added: DataFrame, doc: str, text: str, out: str) -> Redaction:
