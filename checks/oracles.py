@@ -283,6 +283,59 @@ def redacted_logs(mapping: str, scope: str) -> str:
     return duck.redacted(LOG_TABLE, "event_id", LOG_FOUND, mapping, scope)
 
 
+def recogniser_plugged_in() -> str:
+    """The words before the address, and the address: they touch no more than in a space."""
+    return (
+        f"SELECT event_id, 'username' AS type, 'mail to' AS value, 0 AS start, 7 AS {END} FROM events UNION ALL {find_planted('email')}"
+    )
+
+
+def preserved_table() -> str:
+    """Without what holds a preserved string; the host of a preserved address is a finding then."""
+    strings = (
+        "SELECT lower(concat('U', c_custkey, '@')) AS p FROM customer WHERE c_custkey % 2 = 0 UNION "
+        "SELECT lower(concat('/APP', o_orderkey, '/')) FROM orders WHERE o_orderkey % 3 = 0"
+    )
+    held = f"SELECT value FROM (SELECT DISTINCT value FROM ({LOG_FOUND})) v WHERE EXISTS (SELECT 1 FROM ({strings}) k WHERE contains(lower(v.value), k.p))"
+    name = "length(split_part(value, '@', 1)) + 1"
+    return (
+        f"SELECT event_id, {SPAN} FROM ({LOG_FOUND}) WHERE value NOT IN ({held}) UNION ALL "
+        f"SELECT event_id, 'hostname' AS type, split_part(value, '@', 2) AS value, CAST(s + {name} AS INTEGER) AS start, CAST(e AS INTEGER) AS {END} "
+        f"FROM ({LOG_FOUND}) WHERE type = 'email' AND value IN ({held})"
+    )
+
+
+def store_two_writers() -> str:
+    """The odd events were committed first, whoever began."""
+    half = f"SELECT * FROM ({LOG_FOUND}) WHERE event_id % 2 = "
+    odd = duck.mapping(half + "1", "event_id", "user_scope")
+    even = duck.mapping(half + "0", "event_id", "user_scope", existing=odd)
+    return f"SELECT {MAPPING} FROM (({odd}) UNION ALL ({even}))"
+
+
+def stream_bounded() -> str:
+    """A scope starts over if as many others of its slot as the slot keeps came between two of its events."""
+    slot = f"CAST(concat('0x', substr(md5(CAST(user_id AS VARCHAR)), 1, 8)) AS UBIGINT) % {q.SLOTS}"
+    touched = f"SELECT event_id, user_id, {slot} AS slot, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events"
+    between = (
+        f"WITH t AS ({touched}) SELECT t.event_id, any_value(t.user_id) AS user_id, any_value(t.before) IS NULL OR count(DISTINCT o.user_id) >= {q.MAX_SCOPES // q.SLOTS} AS anew "
+        "FROM t LEFT JOIN t o ON o.slot = t.slot AND o.event_id > t.before AND o.event_id < t.event_id GROUP BY t.event_id"
+    )
+    eras = f"SELECT event_id, concat(user_id, '#', count(*) FILTER (anew) OVER (PARTITION BY user_id ORDER BY event_id)) AS era FROM ({between})"
+    found = f"SELECT f.*, era FROM ({LOG_FOUND}) f JOIN ({eras}) USING (event_id)"
+    return duck.redacted(LOG_TABLE, "event_id", found, duck.mapping(found, "event_id", "era"), "f.era")
+
+
+FILES = f"SELECT user_id, sum(strlen(text) + 1) AS size FROM {LOG_TABLE} GROUP BY user_id"
+
+
+def uploads_capped() -> str:
+    return (
+        f"SELECT user_id, count(*) AS n, true AS accepted FROM ({LOG_FOUND}) JOIN ({FILES}) USING (user_id) WHERE size <= {q.CAP} GROUP BY user_id "
+        f"UNION ALL SELECT user_id, CAST(size AS BIGINT), false FROM ({FILES}) WHERE size > {q.CAP}"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     doc_text = "SELECT doc_id, text AS restored FROM documents"
     log_text = f"SELECT event_id, text AS restored FROM {LOG_TABLE}"
@@ -317,7 +370,7 @@ def oracle_sql() -> dict[str, str]:
         "mapping_logs_by_user": f"SELECT {MAPPING} FROM ({USER_MAPPING})",
         "mapping_counters": f"SELECT scope, prefix, count(*) AS n_values FROM ({USER_MAPPING}) GROUP BY scope, prefix",
         "mapping_pairs": f"SELECT placeholder, value FROM ({DOC_MAPPING})",
-        "forget_scope": f"SELECT {MAPPING} FROM ({SOURCE_MAPPING}) WHERE scope NOT IN ('web', 'wiki')",
+        "forget_scope": f"SELECT {MAPPING} FROM ({SOURCE_MAPPING}) WHERE scope NOT IN ('src0', 'src1')",
         "redact_doc_scope": redacted_doc_scope,
         "redact_global": duck.redacted("documents", "doc_id", DOC_FOUND, DOC_MAPPING, GLOBAL),
         "redact_by_source": duck.redacted("documents", "doc_id", SOURCE_FOUND, SOURCE_MAPPING, "f.source"),
@@ -364,4 +417,16 @@ def oracle_sql() -> dict[str, str]:
         "stream_global": redacted_logs(LOG_MAPPING, GLOBAL),
         "stream_keyed": redacted_logs(USER_MAPPING, "f.user_scope"),
         "stream_restore": log_text,
+        "stream_restore_growing": log_text,
+        "stream_bounded": stream_bounded(),
+        "resolve_scored_odd": find_planted("email"),
+        "recogniser_plugged_in": recogniser_plugged_in(),
+        "preserved_table": preserved_table(),
+        "sql_table_function": find_in("documents", "doc_id", "text", TYPES),
+        "session_saved_twice": f"SELECT {MAPPING} FROM ({SOURCE_MAPPING})",
+        "store_two_writers": store_two_writers(),
+        "files_read_whole": f"SELECT user_id, type, value, count(*) AS n FROM ({LOG_FOUND}) GROUP BY user_id, type, value",
+        "files_read_by_line": f"SELECT user_id, type, value, count(*) AS n, count(DISTINCT event_id) AS n_lines FROM ({LOG_FOUND}) GROUP BY user_id, type, value",
+        "uploads_capped": uploads_capped(),
+        "presets_loaded": preset_compare(),
     }

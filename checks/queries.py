@@ -12,10 +12,13 @@ from inkveil import Config, catalog, compare_presets, find, preview, redact, red
 from inkveil.functions import sqlfuncs, validators
 from inkveil.functions.lineage import scratch_folder
 from inkveil.operators import audit, domains, mapping as maps, scored
+from inkveil.plans.pipelines import redact_into, spanned
 from inkveil.sources import mapping_files
-from inkveil.sources.files import write_redacted
+from inkveil.sources.files import read_documents, read_uploads, write_redacted
+from inkveil.sources.presets import load_presets, preset_table
 from inkveil.sources.session import MappingStore, load_session, save_session
 from inkveil.sources.tables import read_table
+from inkveil.sources.versions import VersionedStore
 from inkveil.streaming import streams
 
 SPAN = ("type", "value", "start", "end")
@@ -145,6 +148,54 @@ def resolve_scored(spark: SparkSession, sf: str) -> DataFrame:
     return find(merged, Config(), ["event_id"], scored="scored").select("event_id", *SPAN)
 
 
+def resolve_scored_odd(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored spans that are empty, turned round, negative or beyond the text: none is a finding."""
+    logs = events(spark, sf).selectExpr("event_id", f"{planted.text_sql('email', 'spark')} AS text")
+    spans = logs.select(
+        "event_id",
+        F.lit(0).alias("seq"),
+        F.expr("case event_id % 4 when 0 then 5 when 1 then 12 when 2 then -3 else 4 end").alias("start"),
+        F.expr("case event_id % 4 when 0 then 5 when 1 then 9 when 2 then 6 else 4000 end").alias("end"),
+        F.lit("x").alias("value"),
+        F.lit("PERSON").alias("entity"),
+        F.lit(0.9).alias("confidence"),
+    )
+    merged = scored.merge_scored(logs, spans, "event_id")
+    return find(merged, Config(), ["event_id"], scored="scored").select("event_id", *SPAN)
+
+
+def first_words(batches):
+    """A recogniser of another kind: takes the words before the address for a person."""
+    import pandas as pd
+
+    for batch in batches:
+        at = batch["text"].str.index(" u")
+        yield pd.DataFrame(
+            {"event_id": batch["event_id"], "seq": 0, "start": 0, "end": at, "value": [t[:n] for t, n in zip(batch["text"], at)], "entity": "PERSON", "confidence": 0.9}
+        )
+
+
+def recogniser_plugged_in(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of a recogniser that runs in Arrow batches, above the threshold, merged into the search."""
+    logs = events(spark, sf).selectExpr("event_id", f"{planted.text_sql('email', 'spark')} AS text")
+    schema = "event_id bigint, seq bigint, start int, end int, value string, entity string, confidence double"
+    spans = scored.above(logs.mapInPandas(first_words, schema))
+    merged = scored.merge_scored(logs, spans, "event_id")
+    return find(merged, Config(), ["event_id"], scored="scored").select("event_id", *SPAN)
+
+
+def preserved_strings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second customer's mail name, and a third of the orders' application folders, in capitals."""
+    names = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 2 = 0").selectExpr("concat('U', c_custkey, '@') AS p")
+    folders = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 3 = 0").selectExpr("concat('/APP', o_orderkey, '/') AS p")
+    return names.union(folders)
+
+
+def preserved_table(spark: SparkSession, sf: str) -> DataFrame:
+    found = find(service_logs(spark, sf), Config(), ["event_id"], preserved=preserved_strings(spark, sf))
+    return found.select("event_id", *SPAN)
+
+
 # --- mapping, redaction, restoring --------------------------------------------------------
 
 MAPPING = ("scope", "value", "placeholder", "prefix", "n", "first_seq", "first_pos")
@@ -391,6 +442,83 @@ def sql_findings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def sql_table_function(spark: SparkSession, sf: str) -> DataFrame:
+    sqlfuncs.register(spark, Config())
+    documents(spark, sf).createOrReplaceTempView("inkveil_documents")
+    types = ", ".join(f"'{t}'" for t in REDACT_TYPES)
+    return spark.sql(
+        f"SELECT doc_id, f.type, f.value, f.start, f.`end` FROM inkveil_documents, LATERAL findings_of(text, array({types})) AS f"
+    )
+
+
+def session_saved_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """A session saved over another one that holds other scopes, of which some were forgotten."""
+    path, mapping = stored(spark, sf)
+    seq = mapping.schema["first_seq"].dataType
+    save_session(spark, Config(), mapping.withColumn("scope", F.concat("scope", F.lit("-old"))), path)
+    VersionedStore(spark, f"{path}/mapping", seq).forget(["src0", "src0-old"])
+    save_session(spark, Config.of(REDACT_TYPES), mapping, path)
+    return load_session(spark, path, seq)[1].select(*MAPPING)
+
+
+def store_two_writers(spark: SparkSession, sf: str) -> DataFrame:
+    """A second writer commits the odd events while the first one numbers the even ones."""
+    path = scratch(spark, "store")
+    one, two = VersionedStore(spark, path), VersionedStore(spark, path)
+    logs = service_logs(spark, sf)
+    even, odd = (logs.where(f"event_id % 2 = {k}") for k in (0, 1))
+    keyed = maps.keyed_values(spanned(even.select("event_id", "user_id", "text"), Config()), "event_id", "user_id", "event_id")
+    waiting = [lambda: redact_into(odd, Config(), two, doc="event_id", scope="user_id")]
+
+    def make(known: DataFrame, tops: DataFrame) -> DataFrame:
+        if waiting:
+            waiting.pop()()
+        return maps.assign(keyed, known, tops)
+
+    one.add(make, keyed.select("scope").distinct())
+    return two.load().select(*MAPPING)
+
+
+def uploads(spark: SparkSession, sf: str) -> str:
+    """One file of log lines for every user."""
+    path = scratch(spark, "uploads")
+    service_logs(spark, sf).select("user_id", "text").repartition("user_id").write.partitionBy("user_id").text(path)
+    return path
+
+
+def of_user(path: str):
+    return F.regexp_extract(path, "user_id=([0-9]+)", 1).cast("bigint").alias("user_id")
+
+
+def files_read_whole(spark: SparkSession, sf: str) -> DataFrame:
+    found = find(read_documents(spark, uploads(spark, sf)), Config(), ["doc_id"])
+    return found.groupBy(of_user("doc_id"), "type", "value").agg(F.count("*").alias("n"))
+
+
+def files_read_by_line(spark: SparkSession, sf: str) -> DataFrame:
+    found = find(read_documents(spark, uploads(spark, sf), unit="line"), Config(), ["doc_id"])
+    return found.groupBy(of_user("doc_id"), "type", "value").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_lines"))
+
+
+CAP = 10_000
+
+
+def uploads_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of the files within the cap, and the lengths of the others."""
+    accepted, rejected = read_uploads(spark, uploads(spark, sf), CAP)
+    found = find(accepted, Config(), ["doc_id"]).groupBy(of_user("doc_id")).agg(F.count("*").alias("n"))
+    return found.withColumn("accepted", F.lit(True)).unionByName(rejected.select(of_user("doc_id"), F.col("length").alias("n"), F.lit(False).alias("accepted")))
+
+
+def presets_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """The built-in presets, written as JSON files and loaded from them."""
+    path = scratch(spark, "presets")
+    built_in = preset_table(spark).withColumn("folder", F.col("id"))
+    built_in.repartition("id").write.partitionBy("folder").json(path)
+    loaded = load_presets(spark, f"{path}/folder=*")
+    return compare_presets(documents(spark, sf), loaded.values(), ["doc_id"]).groupBy("preset", "type").agg(F.count("*").alias("n"))
+
+
 def log_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The service logs as a stream over the table's file."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
@@ -408,7 +536,7 @@ def stream_document(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_global(spark: SparkSession, sf: str) -> DataFrame:
-    path, store = scratch(spark, "out"), MappingStore(spark, scratch(spark, "store"))
+    path, store = scratch(spark, "out"), VersionedStore(spark, scratch(spark, "store"))
     writer = streams.redact_stream_to(
         log_stream(spark, sf), Config(), path=path, store=store, checkpoint=scratch(spark, "ck"), doc="event_id"
     )
@@ -416,7 +544,15 @@ def stream_global(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("event_id", "redacted")
 
 
-def stream_keyed(spark: SparkSession, sf: str) -> DataFrame:
+MAX_SCOPES, SLOTS = 32, 4
+
+
+def stream_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' scopes, of which fewer are remembered than there are."""
+    return stream_keyed(spark, sf, max_scopes=MAX_SCOPES, slots=SLOTS)
+
+
+def stream_keyed(spark: SparkSession, sf: str, **bounds) -> DataFrame:
     path = scratch(spark, "out")
     # One state store per shuffle partition: as many as two per core are enough here.
     settings = {
@@ -429,7 +565,7 @@ def stream_keyed(spark: SparkSession, sf: str) -> DataFrame:
     for name, value in settings.items():
         spark.conf.set(name, value)
     try:
-        done = streams.redact_stream_keyed(log_stream(spark, sf), Config(), scope="user_id", seq="event_id")
+        done = streams.redact_stream_keyed(log_stream(spark, sf), Config(), scope="user_id", seq="event_id", **bounds)
         done = done.select("event_id", "redacted")
         writer = done.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "ck"))
         writer.trigger(availableNow=True).start().awaitTermination()
@@ -451,6 +587,22 @@ def stream_restore(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("event_id", "restored")
 
 
+def stream_restore_growing(spark: SparkSession, sf: str) -> DataFrame:
+    """Two streams beside each other, twice: redaction adds to a store that restoring reads as it grows."""
+    source, red, out, at = (scratch(spark, name) for name in ("in", "red", "out", "store"))
+    marks, logs = [scratch(spark, "ck"), scratch(spark, "ck")], service_logs(spark, sf)
+    for step in range(2):
+        logs.where(f"event_id % 2 = {step}").write.parquet(f"{source}/part{step}")
+        first = streams.redact_stream_to(
+            spark.readStream.schema(logs.schema).parquet(f"{source}/*"), Config(), path=red, store=VersionedStore(spark, at), checkpoint=marks[0], doc="event_id", scope="user_id"
+        )
+        first.trigger(availableNow=True).start().awaitTermination()
+        back = spark.readStream.schema("event_id bigint, user_id bigint, redacted string").option("recursiveFileLookup", True).parquet(red)
+        second = streams.restore_stream_to(back, VersionedStore(spark, at), path=out, checkpoint=marks[1], doc="event_id", scope="user_id", text="redacted")
+        second.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("event_id", "restored")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         **{f"find_{kind}": find_planted(kind) for kind in planted.TEMPLATES},
@@ -478,7 +630,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mapping_logs_by_user": lambda spark, sf: log_redaction(spark, sf, "user_id").mapping.select(*MAPPING),
         "mapping_counters": lambda spark, sf: maps.counters(log_redaction(spark, sf, "user_id").mapping),
         "mapping_pairs": lambda spark, sf: maps.mapping_pairs(redaction(spark, sf).mapping).select("placeholder", "value"),
-        "forget_scope": lambda spark, sf: maps.forget(redaction(spark, sf, "source").mapping, ["web", "wiki"]).select(*MAPPING),
+        "forget_scope": lambda spark, sf: maps.forget(redaction(spark, sf, "source").mapping, ["src0", "src1"]).select(*MAPPING),
         "redact_doc_scope": redact_document_scope,
         "redact_global": lambda spark, sf: redaction(spark, sf).redacted.select("doc_id", "redacted"),
         "redact_by_source": lambda spark, sf: redaction(spark, sf, "source").redacted.select("doc_id", "redacted"),
@@ -520,4 +672,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_global": stream_global,
         "stream_keyed": stream_keyed,
         "stream_restore": stream_restore,
+        "stream_restore_growing": stream_restore_growing,
+        "stream_bounded": stream_bounded,
+        "resolve_scored_odd": resolve_scored_odd,
+        "recogniser_plugged_in": recogniser_plugged_in,
+        "preserved_table": preserved_table,
+        "sql_table_function": sql_table_function,
+        "session_saved_twice": session_saved_twice,
+        "store_two_writers": store_two_writers,
+        "files_read_whole": files_read_whole,
+        "files_read_by_line": files_read_by_line,
+        "uploads_capped": uploads_capped,
+        "presets_loaded": presets_loaded,
     }

@@ -52,5 +52,18 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = _RUNS[-1] if _RUNS else scratch_folder(spark).rstrip("/")
     path = f"{folder}/inkveil-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "2m") -> Iterator[None]:
+    """Python workers get Arrow batches of about ``size`` at most in jobs that start within; each task holds several at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

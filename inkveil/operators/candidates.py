@@ -87,12 +87,15 @@ _BEGINS = {
 _CHECKS = {"phone": validators.phone_sql, "credit_card": validators.card_sql}
 
 
-def candidates_sql(text: str, config: Config) -> str:
-    """All candidates of ``text`` as one JVM expression, for SQL functions."""
+def candidates_sql(text: str, config: Config, kinds: str | None = None) -> str:
+    """All candidates of ``text`` as one JVM expression, for SQL functions.
+
+    ``kinds`` is SQL for an array of type names: others are not searched for, and not even planned where it is a literal.
+    """
     if not all(p.portable for p in config.custom):
         raise ValueError("custom patterns that Python searches need a DataFrame job")
     names = [name for name in catalog.TYPE_NAMES if name in config.types]
-    return _combined(text, config, names, _plain(config), None, None)
+    return _combined(text, config, names, _plain(config), None, None, kinds)
 
 
 def _plain(config: Config) -> list:
@@ -103,10 +106,16 @@ def _custom(config: Config) -> list:
     return list(enumerate(config.custom, start=len(catalog.TYPES) + 1))
 
 
-def _combined(text: str, config: Config, names: list, custom: list, scored: str | None, found: str | None) -> str:
-    hits = [_builtin_hits("t", name) for name in names]
+def _combined(
+    text: str, config: Config, names: list, custom: list, scored: str | None, found: str | None, kinds: str | None = None
+) -> str:
+    def wanted(name: str) -> str | None:
+        return f"array_contains({kinds}, {quote(name)})" if kinds else None
+
+    hits = [_builtin_hits("t", name, wanted(name)) for name in names]
     hits += [
-        matching.hits("t", matching.jvm_custom_regex(p.regex), ord_, marked_text="g.separator") for ord_, p in custom
+        matching.hits("t", matching.jvm_custom_regex(p.regex), ord_, wanted(catalog.CUSTOM), marked_text="g.separator")
+        for ord_, p in custom
     ]
     parts = []
     if hits:
@@ -162,9 +171,11 @@ def _filled(guard: str, text: str) -> str:
     return guard.replace("{t}", text)
 
 
-def _builtin_hits(text: str, name: str) -> str:
+def _builtin_hits(text: str, name: str, wanted: str | None = None) -> str:
     spec = catalog.TYPE_BY_NAME[name]
     guard = _filled(_GUARDS[name], text) if name in _GUARDS else None
+    if wanted:
+        guard = f"{wanted} and ({guard})" if guard else wanted
     split = matching.jvm_regex(spec.split) if spec.split else None
     pattern = f"(?={_BEGINS[name]})(?:{spec.pattern})" if name in _BEGINS else spec.pattern
     return matching.hits(text, matching.jvm_regex(pattern), catalog.RANK[name], guard, split, "g.separator")

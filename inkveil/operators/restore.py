@@ -26,13 +26,16 @@ def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> DataF
 
 
 def restore(
-    df: DataFrame, mapping: DataFrame, doc: str, scope: str = "global", text: str = "text", out: str = "restored"
+    df: DataFrame, mapping: DataFrame, doc: str, scope: str = "global", text: str = "text", out: str = "restored", stored: bool = False
 ) -> DataFrame:
     """Replace every known placeholder of the row's scope; unknown ones stay.
 
     One pass: a restored value is not searched again. The text meets the edits once, by
-    ``doc``, which must be unique.
+    ``doc``, which must be unique. ``df`` is needed twice, for its tokens and for its texts, so it is written first
+    unless it is ``stored`` already and cheap to read again.
     """
+    if not stored:
+        df = written(df)
     tokens = (
         with_tokens(df.select(doc, text, *([] if scope in ("global", doc, text) else [scope])), text)
         .select(doc_column(doc).alias("doc"), scope_column(scope).alias("scope"), F.explode(values_of("tokens")).alias("v"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from inkveil.config import Config
@@ -132,6 +132,79 @@ class _Numberer(StatefulProcessor):
         pass
 
 
+class _BoundedNumberer(StatefulProcessor):
+    """Placeholders of the scopes of one slot, of which the ``most`` last used are remembered."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "scope string, value string", "placeholder string")
+        self.top = handle.getMapState("top", "scope string, prefix string", "n bigint")
+        self.used = handle.getMapState("used", "scope string", "at bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq_", kind="stable")
+        used = {scope[0]: at[0] for scope, at in self.used.iterator()}
+        before, clock = dict(used), max(used.values(), default=0)
+        # Scopes that began or began anew in this batch know nothing of what is stored under their name.
+        fresh: set[str] = set()
+        known: dict[str, dict[str, str]] = {}
+        top: dict[str, dict[str, int]] = {}
+        edits = []
+        for scope, values in zip(batch["scope_"], batch["values_"], strict=True):
+            if scope not in used:
+                if len(used) >= self.most:
+                    oldest = min(used, key=used.get)
+                    del used[oldest]
+                    known.pop(oldest, None)
+                    top.pop(oldest, None)
+                fresh.add(scope)
+            clock += 1
+            used[scope] = clock
+            mine, tops = known.setdefault(scope, {}), top.setdefault(scope, {})
+            made = []
+            for v in sorted(values, key=lambda v: -v["last"]):
+                value, prefix = v["value"], v["prefix"]
+                if value not in mine:
+                    old = None if scope in fresh else self.known.getValue((scope, value))
+                    if old is None and prefix not in tops:
+                        last = None if scope in fresh else self.top.getValue((scope, prefix))
+                        tops[prefix] = last[0] if last is not None else 0
+                    if old is None:
+                        tops[prefix] += 1
+                    mine[value] = old[0] if old is not None else f"[{prefix}_{tops[prefix]:03d}]"
+                made += [{"start": s["start"], "end": s["end"], "replacement": mine[value]} for s in v["at"]]
+            edits.append(sorted(made, key=lambda e: e["start"]))
+        self._store(before, used, fresh, known, top)
+        yield batch.drop(columns=["values_", "seq_", "scope_", "slot_"]).assign(edits=edits)
+
+    def _store(self, before: dict, used: dict, fresh: set, known: dict, top: dict) -> None:
+        gone = {scope for scope in before if scope not in used or scope in fresh}
+        if gone:
+            for state in (self.known, self.top):
+                for name in [k for k in state.keys() if k[0] in gone]:
+                    state.removeKey(tuple(name))
+            for scope in gone.difference(used):
+                self.used.removeKey((scope,))
+        for scope, mine in known.items():
+            for value, placeholder in mine.items():
+                self.known.updateValue((scope, value), (placeholder,))
+            for prefix, n in top[scope].items():
+                self.top.updateValue((scope, prefix), (n,))
+        for scope, at in used.items():
+            if before.get(scope) != at:
+                self.used.updateValue((scope,), (at,))
+
+    def close(self) -> None:
+        pass
+
+
+def slot_of(scope: Column, slots: int) -> Column:
+    """The slot that a scope belongs to."""
+    return F.conv(F.substring(F.md5(scope.cast("binary")), 1, 8), 16, 10).cast("bigint") % slots
+
+
 def redact_stream_keyed(
     df: DataFrame,
     config: Config,
@@ -141,15 +214,29 @@ def redact_stream_keyed(
     text: str = "text",
     out: str = "redacted",
     ttl_ms: int | None = None,
+    max_scopes: int | None = None,
+    slots: int = 64,
 ) -> DataFrame:
     """Column scope with the mapping as stream state (needs the RocksDB state store).
 
     ``ttl_ms`` forgets values and counters that were not written for that long. A scope is
     worked on by one task per batch; for very hot scopes use ``redact_stream_to``.
+
+    ``max_scopes`` bounds the number of remembered scopes: they are dealt out to ``slots``, and each slot, worked on by one
+    task per batch, keeps its share of the bound. When another scope comes up, the one that was not used for the longest
+    is forgotten; if it comes back it starts over. With one slot that is the order of use over all scopes.
     """
+    if max_scopes is not None and (ttl_ms is not None or max_scopes < slots):
+        raise ValueError("max_scopes goes without ttl_ms, and is at least the number of slots")
     slim = spanned(df, config, text).withColumn("values_", values_of("spans")).drop("spans")
     keyed = slim.withColumn("scope_", scope_column(scope)).withColumn("seq_", F.col(seq))
     result = T.StructType([*df.schema.fields, T.StructField("edits", _edits_type())])
+    if max_scopes is not None:
+        slotted = keyed.withColumn("slot_", slot_of(F.col("scope_"), slots))
+        numbered = slotted.groupBy("slot_").transformWithStateInPandas(
+            _BoundedNumberer(max_scopes // slots), result, outputMode="Append", timeMode="None"
+        )
+        return apply_edits(numbered, text, out)
     numbered = keyed.groupBy("scope_").transformWithStateInPandas(
         _Numberer(ttl_ms), result, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
     )

@@ -236,3 +236,32 @@ def test_sql_functions(spark, docs):
     assert [(r.r, r.n) for r in rows] == [("[EMAIL_001] [IP_001] [EMAIL_001]", 3), (None, 0)]
     assert spark.sql("SELECT is_card_value('4111 1111 1111 1111') AND NOT is_phone_value('123')").first()[0]
     assert spark.sql("SELECT is_preserved_value('LOCALHOST:1', array('localhost'))").first()[0]
+
+
+def test_table_function(spark, docs):
+    from inkveil.functions import sqlfuncs
+
+    sqlfuncs.register(spark, Config.of(["email", "ipv4", "hostname"], custom=[("x-[0-9]+", "X")]))
+    docs("a@x.com 10.0.0.1 x-7", None).createOrReplaceTempView("t")
+    ask = lambda kinds: spark.sql(f"SELECT f.type, f.value FROM t, LATERAL findings_of(text{kinds}) AS f ORDER BY f.start")
+    every = [("email", "a@x.com"), ("ipv4", "10.0.0.1"), ("custom", "x-7")]
+    assert [tuple(r) for r in ask("").collect()] == every and [tuple(r) for r in ask(", NULL").collect()] == every
+    # What the e-mail covered comes up; types that were not registered stay out.
+    assert [r.value for r in ask(", array('hostname', 'date')").collect()] == ["x.com"]
+    assert [r.type for r in ask(", array('custom')").collect()] == ["custom"]
+
+
+def test_restoring_reads_its_input_once(spark, docs):
+    from inkveil.functions.lineage import written
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    done = redact(docs("10.0.0.1", "none", "a@x.com"), Config(), doc="doc_id")
+    texts = written(done.redacted.select("doc_id", "redacted")).select("doc_id", counted("redacted").alias("text"))
+    back = restore(texts, done.mapping, "doc_id").select("doc_id", "restored")
+    assert sorted(map(tuple, back.collect())) == [(0, "10.0.0.1"), (1, "none"), (2, "a@x.com")] and seen.value == 3

@@ -98,3 +98,30 @@ def test_restoring_follows_the_store(spark, source, tmp_path):
             put(1, 30, 60)
     got = sorted((r.doc_id, r.restored) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted((r.doc_id, r.text) for r in everything.collect())
+
+
+def test_bounded_scopes(spark, tmp_path):
+    """The scope that was not used for the longest goes; what comes back starts over, also after a restart."""
+    teams = [str(int(c)) for c in "0120310244401205432100152"]
+    rows = [(i, t, f"10.0.0.{i % 3} 10.1.{t}.{i % 2} x") for i, t in enumerate(teams)]
+    want, kept = {}, {}
+    for i, t, text in rows:
+        if t not in kept and len(kept) == 3:
+            del kept[min(kept, key=lambda k: kept[k][0])]
+        known = kept.setdefault(t, [0, {}])
+        known[0] = i + 1
+        new = text
+        for v in sorted(text.split()[:2], key=text.index, reverse=True):
+            known[1].setdefault(v, f"[IP_{len(known[1]) + 1:03d}]")
+            new = new.replace(v, known[1][v])
+        want[i] = new
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for step in range(3):
+        part = rows[step * 9 : step * 9 + 9]
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{folder}/part{step}")
+        done = streams.redact_stream_keyed(stream(spark, folder), Config(), scope="team", seq="doc_id", max_scopes=3, slots=1)
+        done = done.select("doc_id", "redacted")
+        run(done.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")))
+    assert dict(pairs(spark.read.parquet(out))) == want
+    with pytest.raises(ValueError):
+        streams.redact_stream_keyed(stream(spark, folder), Config(), scope="team", seq="doc_id", max_scopes=3)
