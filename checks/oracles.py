@@ -336,6 +336,12 @@ def uploads_capped() -> str:
     )
 
 
+def file_in_pieces() -> str:
+    """Places in the lines plus all lines before, each with its line feed."""
+    lines = f"SELECT event_id, coalesce(sum(length(text) + 1) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM {LOG_TABLE}"
+    return f"SELECT type, value, CAST(base + s AS BIGINT) AS start, CAST(base + e AS BIGINT) AS {END} FROM ({LOG_FOUND}) JOIN ({lines}) USING (event_id)"
+
+
 def oracle_sql() -> dict[str, str]:
     doc_text = "SELECT doc_id, text AS restored FROM documents"
     log_text = f"SELECT event_id, text AS restored FROM {LOG_TABLE}"
@@ -428,5 +434,6 @@ def oracle_sql() -> dict[str, str]:
         "files_read_whole": f"SELECT user_id, type, value, count(*) AS n FROM ({LOG_FOUND}) GROUP BY user_id, type, value",
         "files_read_by_line": f"SELECT user_id, type, value, count(*) AS n, count(DISTINCT event_id) AS n_lines FROM ({LOG_FOUND}) GROUP BY user_id, type, value",
         "uploads_capped": uploads_capped(),
+        "file_in_pieces": file_in_pieces(),
         "presets_loaded": preset_compare(),
     }

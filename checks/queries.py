@@ -15,6 +15,7 @@ from inkveil.operators import audit, domains, mapping as maps, scored
 from inkveil.plans.pipelines import redact_into, spanned
 from inkveil.sources import mapping_files
 from inkveil.sources.files import read_documents, read_uploads, write_redacted
+from inkveil.sources.large_files import find_in_files
 from inkveil.sources.presets import load_presets, preset_table
 from inkveil.sources.session import MappingStore, load_session, save_session
 from inkveil.sources.tables import read_table
@@ -500,6 +501,13 @@ def files_read_by_line(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy(of_user("doc_id"), "type", "value").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_lines"))
 
 
+def file_in_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """All log lines in one file, searched by many tasks; their places count from the start of the file."""
+    path = scratch(spark, "one")
+    service_logs(spark, sf).orderBy("event_id").select("text").coalesce(1).write.text(path)
+    return find_in_files(spark, path, Config()).select(*SPAN)
+
+
 CAP = 10_000
 
 
@@ -683,5 +691,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "files_read_whole": files_read_whole,
         "files_read_by_line": files_read_by_line,
         "uploads_capped": uploads_capped,
+        "file_in_pieces": file_in_pieces,
         "presets_loaded": presets_loaded,
     }

@@ -28,14 +28,20 @@ def _rlike(regex: str) -> str:
     return f"rlike({{t}}, {quote(regex)})"
 
 
+#: How every account number begins, as in the catalog.
+IBAN_BEGINS = r"\b[A-Z]{2}[0-9]{2}"
+
 # Necessary conditions, much cheaper than the patterns they stand before. The shared ones
 # are computed once per document.
 _SHARED_GUARDS = {
     "two_digits": _rlike("[0-9]{2}"),
     "four_digits": _rlike("[0-9]{4}"),
     "separator": matching.holds_separator("{t}"),
+    "lower": "if(octet_length({t}) = length({t}), lower({t}), null)",
 }
 
+# Words of secrets, looked for as plain strings in lower case where the text is ASCII.
+_SECRET_PARTS = ("key", "token", "passw", "pwd", "credential", "secret", "xox", "aiza", "sk-", "sk_", "pk-", "pk_", "rk-", "rk_", "ak-", "ak_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 _LONG_TOKEN = _rlike(r"(?iu)(?<![a-z0-9_.=+/-])[a-z0-9_.=+/-]{15}")
 _SECRET_WORD = _rlike(
     _any("key", "token", "passw", "pwd", "credential", "secret", "xox", "aiza")
@@ -54,12 +60,12 @@ _GUARDS = {
     "hostname": _rlike(r"(?iU)\.(?:" + "|".join(catalog.HOST_SUFFIXES) + r")\b"),
     "mac": _rlike(r"[:-][0-9a-fA-F]{2}[:-]|\.[0-9a-fA-F]{4}\."),
     "phone": "g.two_digits",
-    "api_key": f"{_LONG_TOKEN} and {_SECRET_WORD}",
+    "api_key": "if(g.lower is null, " + _SECRET_WORD + ", " + " or ".join(f"contains(g.lower, '{w}')" for w in _SECRET_PARTS) + f") and {_LONG_TOKEN}",
     "path_windows": "contains({t}, ':\\\\')",
     "path_unix": _rlike("(?iu)/(?:" + "|".join(catalog.UNIX_ROOTS) + ")/"),
     "credit_card": "g.four_digits",
     "date": _rlike(r"(?U)\d[/-]\d"),
-    "iban": "g.two_digits",
+    "iban": f"g.two_digits and {_rlike(matching.jvm_regex(IBAN_BEGINS))}",
     "ssn": "g.four_digits",
     "username": _rlike(r"(?U)[uU](?:=|[sSſ][eE]?[rR])|[lL][oO][gG][iIİı][nN]|@\d"),
     "server_name": "contains({t}, '[') or contains({t}, '|') or "
