@@ -3,13 +3,15 @@
 One view sees the text alone (shares of hashed byte 3-grams), the other the page's metadata alone
 (source, language, size). Both start from the same labels. In each round each view labels the
 unlabelled documents of which it is surest, good and bad in the proportion of the labels, and
-hands them to the other view as training rows. At the end each view is calibrated on held-out labels
-(a logistic curve through its margins), and the log-odds of the views are added, less the prior's, as
-for views that are independent given the class.
+hands them to the other view as training rows; but only if, on the held-out labels beyond the same
+margins, it is wrong at most ``WRONG`` times as often as guessing each class would be. A view that says little
+hands over nothing, and the rounds end when neither does. At the end each view is calibrated on held-out labels
+(a logistic curve through its margins, kept flat where they say little), and the log-odds of the views are added,
+less the prior's, as for views that are independent given the class.
 
-The classifiers are fitted on bounded samples chosen by hash: at most about ``LABELLED`` labelled
-documents, a quarter of them held out, and a pool of about ``POOL`` unlabelled ones. Every document is
-scored, from its whole text.
+The classifiers are fitted on bounded samples, the smallest hashes of each class: ``LABELLED`` labelled
+documents, shared out by class but with ``FLOOR`` of each at least (rows are weighted back to the classes' shares), a
+quarter of them held out, and a pool of ``POOL`` unlabelled ones. Every document is scored, from its whole text.
 
 Defined results: a null text is an empty one, null metadata are values of their own, a document with
 several labels is good if all say so. Without labels of both classes every score is the share of good labels
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 from inkveil.functions.lineage import written
 
 LABELLED = 3000
+FLOOR = 500
+WRONG = 0.5
 POOL = 5000
 ROUNDS = 5
 SHARE = 0.04
@@ -57,13 +61,14 @@ def meta_view(source: str | None, lang: str | None, size: int | None) -> np.ndar
     return x
 
 
-def _fit(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, steps: int = 150) -> np.ndarray:
-    """Weights and, last, the bias of a logistic regression (accelerated gradient steps)."""
+def _fit(x: np.ndarray, y: np.ndarray, share: np.ndarray, decay: float = 1e-4, steps: int = 150) -> np.ndarray:
+    """Weights and, last, the bias of a logistic regression (accelerated gradient steps); rows count by ``share``."""
     x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
-    rate = 4.0 / (float((x * x).sum(axis=1).mean()) + 1.0)
+    share = (share / share.sum()).astype(np.float32)
+    rate = 4.0 / (float((x * x).sum(axis=1).max()) + 1.0)
     w = ahead = np.zeros(x.shape[1], dtype=np.float32)
     for k in range(steps):
-        gradient = x.T @ (_sigmoid(x @ ahead) - y) / len(y) + decay * ahead
+        gradient = x.T @ ((_sigmoid(x @ ahead) - y) * share) + decay * ahead
         new = (ahead - rate * gradient).astype(np.float32)
         ahead, w = new + (k / (k + 3)) * (new - w), new
     return w
@@ -77,20 +82,47 @@ def _margin(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def _curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through held-out margins, with smoothed targets (Platt)."""
+def _curve(margins: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through held-out margins, with smoothed targets (Platt).
+
+    Newton steps, halved until the loss falls. The loss holds the slope back, so margins without a word to say
+    get a flat curve, which is the prior.
+    """
     good, bad = int(y.sum()), int(len(y) - y.sum())
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
-    spread = max(float(margins.std()), 1e-6)
-    z, a, b = margins / spread, 1.0, 0.0
-    for _ in range(50):
+    centre, spread = float(np.average(margins, weights=share)), max(float(margins.std()), 1e-6)
+    z, share = (margins - centre) / spread, share / share.mean()
+
+    def loss(a: float, b: float) -> float:
+        return float((share * (np.logaddexp(0, a * z + b) - target * (a * z + b))).sum() + 0.5 * a * a)
+
+    a = b = 0.0
+    for _ in range(100):
         p = _sigmoid(a * z + b)
-        h = np.maximum(p * (1 - p), 1e-6)
-        ga, gb = ((p - target) * z).sum(), (p - target).sum()
-        haa, hab, hbb = (h * z * z).sum() + 1e-3, (h * z).sum(), h.sum() + 1e-3
+        h = share * p * (1 - p)
+        ga, gb = (share * (p - target) * z).sum() + a, (share * (p - target)).sum()
+        haa, hab, hbb = (h * z * z).sum() + 1, (h * z).sum(), h.sum() + 1e-9
         det = haa * hbb - hab * hab
-        a, b = a - (hbb * ga - hab * gb) / det, b - (haa * gb - hab * ga) / det
-    return max(a, 0.0) / spread, b
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        now, step = loss(a, b), 1.0
+        while step > 1e-6 and not loss(a - step * da, b - step * db) <= now:
+            step /= 2
+        if step <= 1e-6 or step * (abs(da) + abs(db)) < 1e-9:
+            break
+        a, b = a - step * da, b - step * db
+    if a <= 0:
+        share_good = float(np.average(target, weights=share))
+        return 0.0, float(np.log(share_good / (1 - share_good)))
+    return a / spread, b - a * centre / spread
+
+
+def _better(margins: np.ndarray, y: np.ndarray, share: np.ndarray, low: float, high: float, prior: float) -> bool:
+    """Whether held-out rows below ``low`` are bad and those above ``high`` good much more often than by chance."""
+    for beyond, wrong, chance in ((margins <= low, y > 0, prior), (margins >= high, y == 0, 1 - prior)):
+        weight = share[beyond].sum()
+        if not weight or share[beyond & wrong].sum() > WRONG * chance * weight:
+            return False
+    return True
 
 
 @dataclass(frozen=True)
@@ -100,19 +132,26 @@ class Model:
     prior: float
 
     @staticmethod
-    def fit(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray) -> Model:
-        """``y``: 1 good, 0 bad, -1 unlabelled; ``held`` marks the labelled rows to calibrate on."""
+    def fit(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray, prior: float | None = None, rounds: int = ROUNDS) -> Model:
+        """``y``: 1 good, 0 bad, -1 unlabelled; ``held`` marks the labelled rows to calibrate on.
+
+        ``prior`` is the share of good ones among all labels, if the rows were drawn in other shares.
+        """
         known = y >= 0
-        prior = float(y[known].mean()) if known.any() else 1.0
+        drawn = float(y[known].mean()) if known.any() else 1.0
+        prior = drawn if prior is None else prior
         train = np.flatnonzero(known & ~held)
         enough = all(len(set(y[rows].tolist())) == 2 for rows in (train, known & held))
         if not enough:
             return Model(None, None, prior)
+        # Rows of a class that was drawn too often count less.
+        share = np.where(y > 0, prior / drawn, np.where(y == 0, (1 - prior) / (1 - drawn), 1.0))
+        test = np.flatnonzero(known & held)
         # What each view learns from, and with which labels.
         rows, said = [train, train], [y[train].astype(np.float32)] * 2
         pool = np.flatnonzero(~known)
-        weights = [_fit(x[train], y[train]) for x in views]
-        for _ in range(ROUNDS):
+        weights = [_fit(x[train], y[train], share[train]) for x in views]
+        for _ in range(rounds):
             if not len(pool):
                 break
             n = max(1, int(len(pool) * SHARE))
@@ -120,16 +159,21 @@ class Model:
             n_bad = min(max(1, n - n_good), len(pool) // 2)
             taken = []
             for view in (0, 1):
-                order = pool[np.argsort(_margin(weights[view], views[view][pool]), kind="stable")]
-                sure = np.concatenate([order[:n_bad], order[len(order) - n_good :]])
+                margins = _margin(weights[view], views[view][pool])
+                order = np.argsort(margins, kind="stable")
+                low, high = margins[order[n_bad - 1]], margins[order[len(order) - n_good]]
+                if low >= high or not _better(_margin(weights[view], views[view][test]), y[test], share[test], low, high, prior):
+                    continue
+                sure = pool[np.concatenate([order[:n_bad], order[len(order) - n_good :]])]
                 labels = np.concatenate([np.zeros(n_bad), np.ones(n_good)]).astype(np.float32)
                 other = 1 - view
                 rows[other], said[other] = np.concatenate([rows[other], sure]), np.concatenate([said[other], labels])
                 taken.append(sure)
+            if not taken:
+                break
             pool = np.setdiff1d(pool, np.concatenate(taken))
-            weights = [_fit(x[r], s) for x, r, s in zip(views, rows, said, strict=True)]
-        test = np.flatnonzero(known & held)
-        curves = tuple(_curve(_margin(w, x[test]), y[test]) for w, x in zip(weights, views, strict=True))
+            weights = [_fit(x[r], s, share[r]) for x, r, s in zip(views, rows, said, strict=True)]
+        curves = tuple(_curve(_margin(w, x[test]), y[test], share[test]) for w, x in zip(weights, views, strict=True))
         return Model(tuple(weights), curves, min(max(prior, 1e-4), 1 - 1e-4))
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,27 +211,32 @@ def _score(model: Model):
     return run
 
 
-def _drawn(share: float, seed: int):
-    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(min(1.0, share) * (1 << 20)))
+def _smallest(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """The ``n`` rows with the smallest hashes, written."""
+    return written(rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n))
 
 
 def fit(rows: DataFrame, labels: DataFrame, doc: str = "doc_id", quality: str = "quality") -> Model:
     """``rows`` has ``id``, ``text``, ``source``, ``lang`` and ``size``."""
-    said = labels.groupBy(F.col(doc).alias("id")).agg(F.min(quality).cast("int").alias("y")).where("y in (0, 1)")
-    n_docs, n_labels = rows.count(), said.count()
-    some = written(said.where(_drawn(LABELLED / max(1, n_labels), 1)).limit(2 * LABELLED))
+    said = written(labels.groupBy(F.col(doc).alias("id")).agg(F.min(quality).cast("int").alias("y")).where("y in (0, 1)"))
+    sizes = {r.y: r["count"] for r in said.groupBy("y").count().collect()}
+    total = max(1, sum(sizes.values()))
     held = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(4)) == 0
-    # Both samples are bounded by the parameters, so they may be broadcast.
-    labelled = rows.join(F.broadcast(some), "id").withColumn("held", held).limit(2 * LABELLED)
-    drawn = written(rows.select("id").where(_drawn(1.5 * POOL / max(1, n_docs), 2)).limit(2 * POOL))
-    free = drawn.join(said, "id", "left_anti").distinct().limit(POOL)
-    pool = rows.join(F.broadcast(free), "id").withColumn("y", F.lit(-1)).withColumn("held", F.lit(False)).limit(2 * POOL)
+    quotas = {y: max(FLOOR, round(LABELLED * n / total)) for y, n in sizes.items()}
+    some = [_smallest(said.where(F.col("y") == y), n, 1) for y, n in sorted(quotas.items())]
+    # Both samples are bounded by the parameters, so they may be broadcast; rows that share an id are cut in the order of their texts.
     columns = ["text", "source", "lang", "size", "y", "held"]
-    sample = labelled.select(*columns).unionByName(pool.select(*columns))
-    got = sorted((r.y, r.held, bytes(r.text), bytes(r.meta)) for r in sample.mapInArrow(_features, "y int, held boolean, text binary, meta binary").collect())
+    first = [F.xxhash64("id", F.lit(1)), F.xxhash64("text")]
+    labelled = [rows.join(F.broadcast(part), "id").withColumn("held", held).orderBy(*first).limit(n).select(*columns) for part, n in zip(some, (quotas[y] for y in sorted(quotas)), strict=True)]
+    drawn = _smallest(rows.select("id").where("id is not null").distinct().join(said, "id", "left_anti"), POOL, 2)
+    pool = rows.join(F.broadcast(drawn), "id").withColumn("y", F.lit(-1)).withColumn("held", F.lit(False)).orderBy(*first).limit(POOL).select(*columns)
+    for part in labelled:
+        pool = pool.unionByName(part)
+    got = sorted((r.y, r.held, bytes(r.text), bytes(r.meta)) for r in pool.mapInArrow(_features, "y int, held boolean, text binary, meta binary").collect())
     texts = np.array([np.frombuffer(g[2], dtype=np.float32) for g in got]).reshape(len(got), BUCKETS)
     metas = np.array([np.frombuffer(g[3], dtype=np.float32) for g in got]).reshape(len(got), META)
-    return Model.fit((texts, metas), np.array([g[0] for g in got], dtype=np.int64), np.array([g[1] for g in got], dtype=bool))
+    known = np.array([g[0] for g in got], dtype=np.int64), np.array([g[1] for g in got], dtype=bool)
+    return Model.fit((texts, metas), *known, prior=sizes.get(1, 0) / total if sizes else None)
 
 
 def scored(
