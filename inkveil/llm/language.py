@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkveil.functions.lineage import written
+from inkveil.llm.workers import frugal
 
 SAMPLE = 400
 BUCKETS = 1 << 13
@@ -162,7 +163,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model |
     chosen = written(low.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("lang", "h"))
     # Any one of the copies of a text.
     sample = low.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
-    got = sorted((r["lang"], bytes(r["x"])) for r in sample.mapInArrow(_features, "lang string, x binary").collect())
+    got = sorted((r["lang"], bytes(r["x"])) for r in sample.mapInArrow(frugal(_features), "lang string, x binary").collect())
     if not got:
         return None
     return Model.fit(np.stack([np.frombuffer(x, dtype=np.float32) for _, x in got]), [lang for lang, _ in got])
@@ -189,7 +190,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
     # A kept text goes to the workers once.
     at = keep.index(text) if text in keep and dict(docs.dtypes)[text] == "string" else len(keep)
     wanted = wanted if at == len(keep) else wanted.drop("t")
-    said = wanted.mapInArrow(_predict(model, at, list(range(len(keep)))), f"{schema}{', ' if keep else ''}l string, s double")
+    said = wanted.mapInArrow(frugal(_predict(model, at, list(range(len(keep))))), f"{schema}{', ' if keep else ''}l string, s double")
     return said.toDF(*keep, *out)
 
 

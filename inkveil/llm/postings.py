@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from inkveil.functions.lineage import written
+from inkveil.llm.workers import frugal
 
 WINDOW = 13
 SLOP = 3
@@ -94,7 +95,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The stored index of whole texts, one row per segment."""
     wanted = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return written(wanted.mapInArrow(_segments, _INDEX))
+    return written(wanted.mapInArrow(frugal(_segments), _INDEX))
 
 
 class Windows:
@@ -209,7 +210,7 @@ def blocks(tests: DataFrame, item: str, text: str) -> Iterator[Windows]:
 
 def look_up(index: DataFrame, tests: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document: hit ranges, items with exact matches, number of loose matches."""
-    parts = [index.mapInArrow(_look_up(block), _HITS) for block in blocks(tests, item, text)]
+    parts = [index.mapInArrow(frugal(_look_up(block)), _HITS) for block in blocks(tests, item, text)]
     if len(parts) == 1:
         return parts[0]
     # Several blocks: every block's result is written before the next, then merged by document.
@@ -247,8 +248,8 @@ def contamination(docs: DataFrame, tests: DataFrame, doc: str = "doc_id", text:
 
 def clean(docs: DataFrame, tests: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """All columns of the documents that are not contaminated."""
-    # Rows are told apart by id and text, as ids may repeat or be null.
-    key = F.xxhash64(F.col(doc).cast("string"), F.col(text).cast("string"))
+    # Rows are told apart by id and text, as ids may repeat or be null; nulls are marked, since the hash passes over them.
+    key = F.xxhash64(*(part for c in (doc, text) for part in (F.col(c).isNull(), F.col(c).cast("string"))))
     found = contamination(docs.select(key.alias("key"), F.col(text).alias("text")), tests, "key", "text", item)
     bad = written(found.where("contaminated").select("key").distinct())
     return docs.select(F.struct("*").alias("row"), key.alias("key")).join(bad, "key", "left_anti").select("row.*")

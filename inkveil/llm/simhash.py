@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkveil.functions.lineage import written
+from inkveil.llm.workers import frugal
 
 SHINGLE = 3
 SEED = 42
@@ -70,7 +71,7 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     """``doc_id``, ``fp`` (the bits as a signed long) and ``content`` (a hash of the text), written."""
     whole = F.col(text).cast("string")
     wanted = docs.select(F.col(doc).cast("bigint").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("content"))
-    return written(wanted.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, content bigint"))
+    return written(wanted.mapInArrow(frugal(_fingerprints), "doc_id bigint, fp bigint, content bigint"))
 
 
 def _high(fp: str = "fp") -> Column:

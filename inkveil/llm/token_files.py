@@ -17,7 +17,6 @@ no files or files without documents. Other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -32,14 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 from tokenizers import Tokenizer
 
-from inkveil.functions.lineage import written
+from inkveil.functions.lineage import small_batches, written
+from inkveil.llm.workers import frugal, kept
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 1
 SHARD_BYTES = 32 << 20
 _MAGIC = b"flatids1"
-#: Entries of a worker's caches.
-_PIECES, _WORDS = 1 << 18, 3 << 18
 #: The splitting rule of the tokenizer file, a fixed value: no match holds white space.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts that libraries might lower, compose or split differently, or that may spell a special token.
@@ -47,8 +45,8 @@ _DELICATE = re.compile("[^\x00-\x1b\x20-\u024f]|<\\|")
 _LETTERS, _NUMBERS = ("".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
 #: The same rule for all other texts, with the alternatives that begin with a letter first.
 _WORD = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}{_NUMBERS}]+")
-#: Words that a worker keeps.
-_KNOWN = 1 << 20
+#: Words that a worker keeps, and their letters and ids in bytes: with what Python adds, some 50 MB at most.
+_KNOWN, _KNOWN_BYTES = 1 << 18, 8 << 20
 
 
 class Encoder:
@@ -61,10 +59,11 @@ class Encoder:
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.kind, self.known = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[dtype], {}
-        form = json.loads(self.tokenizer.to_str())
-        parts = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
-        kinds = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
+        self.tokenizer, self.kind, self.known, self.size = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[dtype], {}, 0
+        # Only these parts of the file, as the vocabulary would stay in the worker's memory as Python objects.
+        before, rule = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        parts = json.loads(rule.__getstate__()).get("pretokenizers", []) if rule else []
+        kinds = [x["type"] for x in json.loads(before.__getstate__()).get("normalizers", [])] if before else []
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and bool(parts) and parts[0].get("pattern") == {"Regex": _SPLIT}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -72,8 +71,6 @@ class Encoder:
 
     def _words(self, text: str) -> bytes:
         words = _WORD.findall(text.lower())
-        if len(self.known) >= _KNOWN:
-            self.known.clear()
         known = self.known
         new = list(set(words).difference(known))
         for at in range(0, len(new), 1000):
@@ -82,18 +79,17 @@ class Encoder:
             # Words are numbered in the text that they are joined to.
             ids, bounds = array(self.kind, found.ids), np.searchsorted(found.word_ids, np.arange(len(some) + 1)).tolist()
             known.update((w, ids[bounds[i] : bounds[i + 1]].tobytes()) for i, w in enumerate(some))
-        return b"".join(map(known.__getitem__, words))
+            self.size += sum(map(len, some)) + 2 * len(ids)
+        out = b"".join(map(known.__getitem__, words))
+        if len(known) >= _KNOWN or self.size >= _KNOWN_BYTES:
+            known.clear()
+            self.size = 0
+        return out
 
     def _whole(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-@functools.cache
-def encoder(path: str, dtype: str) -> Encoder:
-    """One for each worker, which keeps its words from task to task."""
-    return Encoder(path, dtype)
-
-
 def id_type(path: str = TOKENIZER) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
@@ -107,7 +103,7 @@ def _footer(docs: list, starts: list[int], dtype: str) -> bytes:
 
 def _encode(path: str, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, docs, starts = encoder(path, dtype), [], [0]
+        encode, docs, starts = kept(("encoder", path, dtype), lambda: Encoder(path, dtype)), [], [0]
         width = np.dtype(dtype).itemsize
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -135,8 +131,11 @@ def write(
     dtype = id_type(tokenizer)
     dealt = named.repartitionByRange(shards, *ks).sortWithinPartitions(*ks).select("doc_id", "text")
     separator = end.to_bytes(np.dtype(dtype).itemsize, "little").decode("latin-1")
-    ids = dealt.mapInArrow(_encode(tokenizer, dtype), "value binary").select(F.col("value").cast("string"))
-    ids.write.option("lineSep", separator).text(path)
+    if not separator.isascii():
+        raise ValueError(f"end id {end}: its bytes have to be below 128, as the sink encodes its separator")
+    ids = dealt.mapInArrow(frugal(_encode(tokenizer, dtype), keeps=True), "value binary").select(F.col("value").cast("string"))
+    with small_batches(docs.sparkSession):
+        ids.write.option("lineSep", separator).text(path)
     return path
 
 
@@ -175,7 +174,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     part = F.regexp_extract("path", r"part-(\d+)", 1).cast("bigint")
     schema = "doc_id bigint, part bigint, place bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    docs = written(files.select(part.alias("part"), "content").mapInArrow(_read, schema))
+    docs = written(files.select(part.alias("part"), "content").mapInArrow(frugal(_read), schema))
     totals = docs.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
