@@ -132,13 +132,10 @@ FROM folded LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
-def _rule_rows() -> str:
-    """The rules as a SQL list of (rule, measure, cutoff number from mild to strict, cutoff)."""
-    return " UNION ALL ".join(
-        f"SELECT stratum, content, '{name}' AS rule, {j} AS j, {float(cut)!r} AS cut, ({measure}) > {float(cut)!r} AS beyond FROM evidence"
-        for name, (measure, cuts) in rules.RULES.items()
-        for j, cut in enumerate(cuts)
-    )
+def _strict() -> str:
+    """How many steps reject a document, as SQL."""
+    each = (f"len([c for c in {rules.path(rule)} if ({measure}) > c])" for rule, (measure, _) in rules.RULES.items())
+    return f"CASE WHEN base_failed THEN NULL ELSE greatest({', '.join(each)}) END"
 
 
 #: Equal windows are counted by their text; the binomial tail is summed by logarithms of factorials.
@@ -159,32 +156,32 @@ counted AS (
   FROM w LEFT JOIN rep USING (doc_id)),
 judged AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+placed AS (SELECT *, @STRICT@ AS strict FROM judged),
 evidence AS (
-  SELECT stratum, content, any_value(n_words) AS n_words, any_value(word_chars) AS word_chars, any_value(n_symbols) AS n_symbols,
-    any_value(n_upper) AS n_upper, any_value(n_lines) AS n_lines, any_value(n_dup_lines) AS n_dup_lines, any_value(n_repeat_words) AS n_repeat_words
-  FROM judged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY stratum, content),
-tested AS (
-  SELECT stratum, rule, j, cut, count(*) AS n, count(*) FILTER (beyond) AS k,
-    {rules.DELTA}::DOUBLE / (SELECT greatest(1, count(*)) FROM (SELECT DISTINCT stratum FROM evidence)) / {len(rules.RULES)} AS level
-  FROM (@RULES@) GROUP BY stratum, rule, j, cut),
+  SELECT stratum, content, any_value(strict) AS strict FROM placed WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY stratum, content),
+sizes AS (SELECT stratum, count(*) AS own FROM evidence GROUP BY stratum),
+level AS (SELECT {rules.DELTA}::DOUBLE / greatest(1, count(*)) AS level FROM sizes),
+tried AS (SELECT stratum, own < ceil(ln(level) / ln({1 - rules.ALPHA!r}::DOUBLE)) AS joint FROM sizes, level),
+pooled AS (
+  SELECT joint, CASE WHEN joint THEN NULL ELSE tried.stratum END AS g, strict FROM evidence JOIN tried ON evidence.stratum IS NOT DISTINCT FROM tried.stratum),
+tested AS (SELECT joint, g, j, count(*) AS n, count(*) FILTER (strict >= {rules.STEPS} - j) AS k FROM pooled, range({rules.STEPS}) AS _(j) GROUP BY joint, g, j),
 safe AS (
-  SELECT *, k < n * {rules.ALPHA / len(rules.RULES)!r}::DOUBLE AND level >= list_sum([
-    exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({rules.ALPHA / len(rules.RULES)!r}::DOUBLE) + (n - x) * ln({1 - rules.ALPHA / len(rules.RULES)!r}::DOUBLE))
+  SELECT *, k < n * {rules.ALPHA!r}::DOUBLE AND level >= list_sum([
+    exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({rules.ALPHA!r}::DOUBLE) + (n - x) * ln({1 - rules.ALPHA!r}::DOUBLE))
     for x in range(0, k + 1)]) AS safe
-  FROM tested),
+  FROM tested, level),
 chosen AS (
-  SELECT stratum, rule, min(cut) AS cut FROM (
-    SELECT *, min(CASE WHEN safe THEN NULL ELSE j END) OVER (PARTITION BY stratum, rule) AS stop FROM safe) WHERE stop IS NULL OR j < stop GROUP BY stratum, rule),
-cuts AS (SELECT stratum, map_from_entries(list((rule, cut))) AS cuts FROM chosen GROUP BY stratum)
+  SELECT joint, g, max(j) AS step FROM (
+    SELECT *, min(CASE WHEN safe THEN NULL ELSE j END) OVER (PARTITION BY joint, g) AS stop FROM safe) WHERE stop IS NULL OR j < stop GROUP BY joint, g),
+steps AS (SELECT stratum, step FROM tried JOIN chosen ON tried.joint = chosen.joint AND (tried.joint OR tried.stratum IS NOT DISTINCT FROM chosen.g))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (@BEYOND@) AS kept
-FROM judged LEFT JOIN cuts ON judged.stratum IS NOT DISTINCT FROM cuts.stratum
+  NOT base_failed AND coalesce(strict < {rules.STEPS} - step, true) AS kept
+FROM placed LEFT JOIN steps ON placed.stratum IS NOT DISTINCT FROM steps.stratum
 """
 
 
 def _op8() -> str:
-    beyond = " OR ".join(f"coalesce(({measure}) > cuts['{name}'], false)" for name, (measure, _) in rules.RULES.items())
-    return _OP8.replace("@RULES@", _rule_rows()).replace("@BEYOND@", beyond)
+    return _OP8.replace("@STRICT@", _strict())
 
 
 #: Chunks and levels of sums are only for Spark: here one running sum per source gives the places, and

@@ -1,13 +1,16 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame operations only.
 
 Counts per text are array expressions within the row. A rule rejects a document whose measure is
-above the rule's cutoff. Cutoffs come from a fixed list per rule, from mild to strict, and are judged
-on labelled good documents: a cutoff is safe in a stratum if the exact binomial test refutes that it
-rejects more than ``ALPHA / rules`` of the stratum's good documents. The lists are tested in
-sequence, up to the first that isn't safe (which needs no correction), at the level ``DELTA`` over the
-number of strata and rules (Bonferroni). So with probability 1 - ``DELTA``, in every stratum at once,
-all rules together reject at most ``ALPHA`` of the good documents that pass the base rule. A rule without a safe
-cutoff is off in that stratum. Copies of a text count once as evidence.
+above the rule's cutoff. Each rule has a fixed list of cutoffs, from mild to strict, spread over ``STEPS`` steps, and all
+rules move along together: step j sets every rule's j-th cutoff. A step is safe in a stratum if the exact
+binomial test, on labelled good documents, refutes that the rules at that step reject more than ``ALPHA`` of the stratum's
+good documents. Steps are tested in sequence, up to the first that isn't safe, which needs no correction; nor do the rules, since a step
+is tested as a whole. Strata are corrected for, by the level ``DELTA`` over their number (Bonferroni). So with
+probability 1 - ``DELTA``, in every stratum at once, the rules reject at most ``ALPHA`` of the good documents that pass the base rule.
+
+A stratum with fewer good documents than the test needs at the least, even without a single rejection, can't have a safe step of its
+own. All such strata are tested as one joint stratum, and the guarantee then holds for what they hold together. Copies of a
+text count once as evidence.
 
 Defined results: null and empty texts have no words and fail the base rule. Null strata are a
 stratum of their own, strata without labels have no rules, a document with several labels is good if
@@ -17,6 +20,8 @@ repeated or null ids stay. Other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkveil.functions.arrays import indexes, let
@@ -25,6 +30,7 @@ from inkveil.functions.lineage import written
 ALPHA = 0.02
 DELTA = 0.05
 MIN_WORDS = 50
+STEPS = 18
 
 #: Per rule: the measure, and its cutoffs from mild to strict.
 RULES = {
@@ -98,37 +104,47 @@ def _upto(k: str) -> str:
     return f"if({k} >= 1, sequence(1L, {k}), cast(array() as array<bigint>))"
 
 
-def cutoffs(rows: DataFrame, labels: DataFrame, doc: str = "doc_id", quality: str = "quality") -> DataFrame:
-    """Per stratum and rule: ``n`` good documents, ``cut`` (null where the rule is off) and its ``rejected``."""
+def path(rule: str) -> list[float]:
+    """The rule's cutoff at every step."""
+    cuts = RULES[rule][1]
+    return [float(cuts[j * len(cuts) // STEPS]) for j in range(STEPS)]
+
+
+def strictness() -> Column:
+    """How many steps reject the document; as cutoffs fall, it is the strictest ones. Null where the base rule has failed."""
+    each = (f"size(filter(array({', '.join(f'{c!r}D' for c in path(rule))}), c -> {measure} > c))" for rule, (measure, _) in RULES.items())
+    return F.expr(f"if(base_failed, null, greatest({', '.join(each)}))")
+
+
+def least(strata: int) -> int:
+    """Good documents without which no step can be safe."""
+    return math.ceil(math.log(DELTA / max(1, strata)) / math.log(1 - ALPHA))
+
+
+def steps(rows: DataFrame, labels: DataFrame, doc: str = "doc_id", quality: str = "quality") -> DataFrame:
+    """Per stratum with labels: ``n`` good documents of the test, whether it was ``joint``, the ``step`` (from 0, null: none is safe) and its ``rejected``."""
     good = labels.groupBy(F.col(doc).alias("doc_id")).agg(F.min(quality).alias("q")).where("q = 1").select("doc_id")
     evidence = rows.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").dropDuplicates(["stratum", "content"])
-    each = [
-        F.struct(
-            F.lit(name).alias("rule"),
-            # How many cutoffs reject the document: always the mildest ones not, the strictest first.
-            F.expr(f"size(filter(array({', '.join(f'{float(c)!r}D' for c in cuts)}), c -> {measure} > c))").alias("strict"),
-        )
-        for name, (measure, cuts) in RULES.items()
-    ]
-    seen = evidence.select("stratum", F.inline(F.array(*each))).groupBy("stratum", "rule", "strict").count()
-    per = written(seen.groupBy("stratum", "rule").agg(F.sum("count").alias("n"), F.collect_list(F.struct("strict", "count")).alias("c")))
-    tests = max(1, per.select("stratum").distinct().count()) * len(RULES)
-    all_cuts = F.create_map(*(v for name, (_, cuts) in RULES.items() for v in (F.lit(name), F.array(*(F.lit(float(c)) for c in cuts)))))
-    # The j-th cutoff (from 0, of m) rejects documents that at least m - j cutoffs reject.
-    rejected = "transform(cuts, (x, j) -> aggregate(filter(c, y -> y.strict >= size(cuts) - j), 0L, (a, y) -> a + y.count))"
-    tested = per.withColumn("cuts", all_cuts[F.col("rule")]).withColumn("k", F.expr(rejected))
-    safe = f"transform(k, x -> {binomial_cdf('x', 'n', ALPHA / len(RULES))} <= {DELTA / tests!r}D)"
-    passed = written(tested.withColumn("safe", F.expr(safe)))
-    upto = "if(array_position(safe, false) = 0, size(safe), cast(array_position(safe, false) as int) - 1)"
-    return passed.select("stratum", "rule", "n", F.expr(f"get(cuts, {upto} - 1)").alias("cut"), F.expr(f"get(k, {upto} - 1)").alias("rejected"))
+    seen = written(evidence.groupBy("stratum", strictness().alias("strict")).count())
+    sizes = seen.groupBy("stratum").agg(F.sum("count").alias("own"))
+    strata = sizes.count()
+    tested = written(sizes.withColumn("joint", F.col("own") < least(strata)).withColumn("g", F.when(~F.col("joint"), F.col("stratum"))))
+    names = tested.select(F.col("stratum").alias("s"), "joint", "g")
+    pooled = seen.join(names, F.col("stratum").eqNullSafe(F.col("s"))).groupBy("joint", "g").agg(F.sum("count").alias("n"), F.collect_list(F.struct("strict", "count")).alias("c"))
+    k = f"transform(sequence(0, {STEPS - 1}), j -> aggregate(filter(c, y -> y.strict >= {STEPS} - j), 0L, (a, y) -> a + y.count))"
+    safe = f"transform(k, x -> {binomial_cdf('x', 'n', ALPHA)} <= {DELTA / max(1, strata)!r}D)"
+    upto = "if(array_position(safe, false) = 0, size(safe), cast(array_position(safe, false) as int) - 1) - 1"
+    found = pooled.withColumn("k", F.expr(k)).withColumn("safe", F.expr(safe)).withColumn("upto", F.expr(upto))
+    found = written(found.select(F.col("joint").alias("j2"), F.col("g").alias("g2"), "n", F.expr("if(upto >= 0, upto, null)").alias("step"), F.expr("get(k, upto)").alias("rejected")))
+    joined = tested.join(found, (F.col("joint") == F.col("j2")) & F.col("g").eqNullSafe(F.col("g2")))
+    return joined.select("stratum", "n", "joint", "step", "rejected")
 
 
 def judged(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """Per document: its counts, whether it fails the base rule, and whether it is kept."""
     rows = measured(docs, doc, text, stratum)
-    on = cutoffs(rows, labels).where("cut is not null").groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cuts"))
-    beyond = [f"coalesce({measure} > element_at(cuts, '{name}'), false)" for name, (measure, _) in RULES.items()]
-    verdict = rows.join(on.withColumnRenamed("stratum", "s"), F.col("stratum").eqNullSafe(F.col("s")), "left")
-    kept = ~F.col("base_failed") & ~F.expr(f"if(base_failed or cuts is null, false, {' or '.join(beyond)})")
+    on = steps(rows, labels).where("step is not null").select(F.col("stratum").alias("s"), "step")
+    verdict = rows.withColumn("strict", strictness()).join(on, F.col("stratum").eqNullSafe(F.col("s")), "left")
+    kept = ~F.col("base_failed") & F.coalesce(F.col("strict") < STEPS - F.col("step"), F.lit(True))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return verdict.select(F.col("doc_id").alias(doc), *names, kept.alias("kept"))
