@@ -131,18 +131,29 @@ def test_binomial_tail(spark):
         assert spark.sql(f"SELECT {rules.binomial_cdf(f'{k}L', f'{n}L', p)}").first()[0] == pytest.approx(exact, rel=1e-6, abs=1e-300)
 
 
-def test_cutoffs_limit_false_rejection(spark, monkeypatch):
-    monkeypatch.setattr(rules, "ALPHA", 0.3)
+def test_steps_limit_false_rejection(spark):
+    """The real levels: a stratum with enough labels has a step of its own, small ones share one, without labels none."""
     clean = [(i, f"{prose('en', i, 60)} w{i}", "en", "s") for i in range(400)]
-    noisy = [(1000 + i, " ".join(f"{w}###" for w in prose("en", 5000 + i, 60).split()), "en", "s") for i in range(100)]
-    few = [(2000 + i, f"{prose('de', i, 60)} w{i}", "de", "s") for i in range(5)]
+    noisy = [(1000 + i, " ".join(f"{w}###" for w in prose("en", 5000 + i, 60).split()), ("en", "de", None, "fr", "es")[i % 5], "s") for i in range(100)]
+    few = [(2000 + i, f"{prose('de', i, 60)} w{i}", ("de", None, "fr")[i % 3], "s") for i in range(270)]
+    other = [(3000 + i, f"{prose('es', i, 60)} w{i}", "es", "s") for i in range(9)]
     labels = spark.createDataFrame([(i, 1) for i, *_ in [*clean[:300], *few]] + [(i, 0) for i, *_ in noisy[:50]], "doc_id bigint, quality int")
-    docs = docs_of(spark, [*clean, *noisy, *few])
-    cuts = {(r.stratum, r.rule): r for r in rules.cutoffs(rules.measured(docs), labels).collect()}
-    assert cuts["en", "symbols"].cut is not None and cuts["en", "symbols"].n == 300 and cuts["en", "symbols"].rejected == 0
-    assert cuts["de", "symbols"].cut is None
+    docs = docs_of(spark, [*clean, *noisy, *few, *other])
+    found = {r.stratum: r for r in rules.steps(rules.measured(docs), labels).collect()}
+    assert rules.least(4) == 217 and set(found) == {"en", "de", None, "fr"}
+    assert (found["en"].n, found["en"].joint) == (300, False) and found["en"].step > 0
+    assert all((found[s].n, found[s].joint, found[s].step) == (270, True, found["fr"].step) for s in ("de", None, "fr"))
+    for r in found.values():
+        assert r.rejected < rules.ALPHA * r.n
     kept = {r.doc_id: r.kept for r in rules.judged(docs, labels).collect()}
-    assert not any(kept[i] for i, *_ in noisy) and sum(kept[i] for i, *_ in clean) >= 280 and all(kept[i] for i, *_ in few)
+    assert not any(kept[i] for i, _, lang, _ in noisy if lang != "es") and all(kept[i] for i, _, lang, _ in noisy if lang == "es")
+    assert sum(not kept[i] for i, *_ in clean) <= 8 and sum(not kept[i] for i, *_ in few) <= 6 and all(kept[i] for i, *_ in other)
+
+
+def test_too_few_labels_switch_all_rules_off(spark):
+    rows = [(i, f"{prose('en', i, 60)} w{i}", "en", "s") for i in range(100)] + [(500, "a### " * 60, "en", "s")]
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id bigint, quality int")
+    assert [r.step for r in rules.steps(rules.measured(docs_of(spark, rows)), labels).collect()] == [None]
 
 
 # --- personal data
@@ -263,12 +274,6 @@ def test_mixed_keeps_rows_and_writes_them_in_order(spark, monkeypatch, tmp_path)
     assert seen == sorted(seen)
 
 
-def test_sources_beyond_the_largest_share_an_entry(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SOURCES", 2)
-    rows = [(i, "x" * 30, "en", f"s{i % 5}" if i % 5 else None) for i in range(60)]
-    assert mixing.positions(docs_of(spark, rows)).count() == 60
-
-
 # --- token files
 
 

@@ -1,15 +1,10 @@
 """Whole results where there are many groups, few rows of a kind, copies, or long names."""
 
-import json
 from collections import Counter
-from types import SimpleNamespace
 
 import numpy as np
 
-from checks import queries
 from inkveil.llm import language, mixing, personal, simhash, wrappers
-from inkveil.operators import mapping as maps
-from inkveil.sources import mapping_files
 from tests.llm.test_models import brute_positions, docs_of, plain, prose
 
 # --- mixing
@@ -124,19 +119,3 @@ def test_copies_leave_no_label_out(spark, monkeypatch):
     rows += [(1000 + 400 * k + i, f"{prose('de', k)} {i % 2}", f"x{k}", "s") for k in range(5) for i in range(400)]
     language.fit(docs_of(spark, rows))
     assert Counter(seen) == {"en": 4} | {f"x{k}": 2 for k in range(5)}
-
-
-# --- exports
-
-
-def test_registered_exports_write_bounded_objects(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(mapping_files, "SHARD_ROWS", 2, raising=False)
-    rows = [(s, f"v{i}", f"[IP_{i:03}]", "IP", i, i, 0) for s in ("a", "b c") for i in range(1, 6)]
-    table = spark.createDataFrame(rows, maps.empty_mapping(spark).schema)
-    monkeypatch.setattr(queries, "stored", lambda *_: (str(tmp_path / "out"), table))
-    monkeypatch.setattr(queries, "log_redaction", lambda *_: SimpleNamespace(mapping=table))
-    back = queries.import_scopes(spark, "")
-    assert plain(back.collect()) == plain(table.select(*back.columns).collect())
-    assert len(list(tmp_path.glob("out/scope=*/shard=*/part-*"))) == 6
-    objects = queries.queries()["export_json"](spark, "").collect()
-    assert len(objects) == 6 and all(len(json.loads(o.json)["mappings"]) <= 2 for o in objects)
