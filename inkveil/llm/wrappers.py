@@ -9,10 +9,12 @@ sequence that alternates for long becomes a repeated group of optional elements.
 on the template and not on the pages, and aligning is done in any order: all pages of a partition
 first, host by host, then the parts in two steps; a hot host is one small part per partition.
 
-The host's wrapper tells what is article: it has the marked container (``article``, ``main``, usual names) if the
-host's template has one; else the whole body without texts that are the same on all pages (of which ``FIXED_PAGES``
-must differ, as copies are no evidence of a template) and without groups made of links. Elements for menus, headers, adverts, forms, comments and the like go, by tag, role and
-name.
+A page is read along its host's expression, element by element. What varies over the host's pages and isn't links is
+prose; what is the same on all pages (of which ``FIXED_PAGES`` must differ, as copies are no evidence of a template) or is
+mostly links is template. The article is the marked container (``article``, ``main``, usual names) if the expression shows
+enough of the host's prose in it (``TRUST``), else the whole body without the template. Menus, adverts, forms, reader comments and
+the like are containers that go by tag, role and name. Names that may as well mean parts of an article (``_UNSURE``), and
+names of paragraphs, headings and other texts, only count where the expression shows template; names inside a line never do.
 
 Defined results: a null page is an empty one and has the empty text. Pages without a host (null or odd
 addresses) share the host ''. Pages that fit no container of their host are taken by the second rule.
@@ -37,7 +39,10 @@ from inkveil.functions.lineage import written
 PARTS = 64
 LONGEST = 24
 FIXED_PAGES = 3
+#: Longer texts stand in the expression as their length and a digest.
 FIXED_CHARS = 300
+#: Share of the host's prose that a marked container must hold, by how surely it is one (named, ``main``, ``article``).
+TRUST = (0.5, 0.25, 0.1)
 HOSTS_HELD = 2000
 #: Longer names of an element are reduced in its key.
 NAME_CHARS = 100
@@ -55,6 +60,10 @@ _OTHER = frozenset(
     "popup promo promotion recommendations recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored "
     "subscribe subscription toolbar widget widgets".split()
 )
+#: Of these, names that parts of articles have too.
+_UNSURE = frozenset("header related replies reply respond".split())
+#: Elements that hold a text and not a part of the page.
+_TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption dl dt dd table tbody thead tfoot tr td th caption summary".split())
 _MAIN = frozenset("article articlebody articletext content entry main maincontent maintext post postbody postcontent story storybody".split())
 _ABOUT = frozenset("has with no without overflow".split())
 #: An element's start ends these open ones.
@@ -66,11 +75,11 @@ _CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 class Node:
     """An element of a page, or of a wrapper: then with ``opt`` and ``rep``, and what its pages hold."""
 
-    __slots__ = ("key", "chars", "items", "links", "opt", "pages", "rep")
+    __slots__ = ("key", "chars", "items", "links", "opt", "pages", "prose", "rep")
 
     def __init__(self, key: str, items=None, opt=False, rep=False, pages=1, chars=0, links=0):
         self.key, self.items, self.opt, self.rep = key, items if items is not None else [], opt, rep
-        self.pages, self.chars, self.links = pages, chars, links
+        self.pages, self.chars, self.links, self.prose = pages, chars, links, 0
 
     def plain(self) -> list:
         return [self.key, int(self.opt), int(self.rep), self.pages, self.chars, self.links, [x.plain() if isinstance(x, Node) else x for x in self.items]]
@@ -181,10 +190,21 @@ def page_wrapper(node: Node, linked: bool = False) -> Node:
                 if items and not isinstance(items[-1], Node):
                     items[-1] = None
                 else:
-                    items.append(text if len(text) <= FIXED_CHARS else None)
+                    items.append(_said(text))
     return Node(node.key, _grouped(items), chars=chars, links=links)
 
 
+def _said(text: str) -> str:
+    """A text as it stands in an expression."""
+    if len(text) <= FIXED_CHARS:
+        return text
+    return f"\0{len(text)} {hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+
+
+def _length(said: str) -> int:
+    return int(said[1:].partition(" ")[0]) if said.startswith("\0") else len(said)
+
+
 def _inlined(node: Node, linked: bool) -> Iterator:
     """The block elements and texts below; inline elements are opened (a stack, as pages may nest deeply)."""
     stack = [(iter(node.items), linked)]
@@ -194,7 +214,7 @@ def _inlined(node: Node, linked: bool) -> Iterator:
             stack.pop()
         elif not isinstance(x, Node):
             yield x, stack[-1][1]
-        elif _tag(x.key) in _INLINE and not _named(x.key) & _OTHER:
+        elif _tag(x.key) in _INLINE and not _hidden(x.key):
             stack.append((iter(x.items), stack[-1][1] or _tag(x.key) == "a"))
         elif not _ignored(x.key):
             yield x
@@ -272,36 +292,75 @@ def _marks_main(key: str) -> int:
     return 3 if tag == "article" or "articlebody" in names else 2 if tag == "main" or "main" in names else 1 if names & _MAIN and tag not in _INLINE and tag not in ("html", "body") else 0
 
 
-def _unwanted(key: str, inside: bool, holds_main: bool) -> bool:
+def _hidden(key: str) -> bool:
+    return key.endswith(".hidden")
+
+
+def _unwanted(key: str, inside: bool, holds_main: bool, template: bool) -> bool:
+    """``template``: the host's expression shows that the element has the same text on all pages, or links for the most part."""
     tag = _tag(key)
-    if tag in _DROPPED or (tag == "header" and not inside):
+    if tag in _DROPPED or _hidden(key) or (tag == "header" and not inside and not _named(key) & _MAIN):
         return True
-    return not holds_main and tag not in ("html", "body") and bool(_named(key) & _OTHER)
+    if holds_main or tag in ("html", "body") or tag in _INLINE:
+        return False
+    other = _named(key) & _OTHER
+    return bool(other) and (template or (tag not in _TEXTS and bool(other - _UNSURE)))
 
 
 class Wrapper:
-    """What the host's regular expression says about its pages."""
+    """What the host's regular expression says about its pages: paths are keys from the top, joined by ``>``."""
 
     def __init__(self, root: Node, contents: int):
-        self.grade, self.fixed, self.link_groups = 0, set(), set()
-        self.pages = root.pages
-        self._learn(root, False, contents >= FIXED_PAGES)
-
-    def _learn(self, node: Node, out: bool, always: bool) -> None:
-        """``always``: the element is on all pages, and they are enough different ones to tell."""
+        self.grade, self.fixed, self.link_groups, self.template = 0, set(), set(), set()
+        self.pages, self.enough = root.pages, contents >= FIXED_PAGES
+        self._weigh(root, True)
+        self.held = [0, 0, 0]
+        self.total = 0
+        self._learn(root, "", False, True, False)
+        for grade in (3, 2, 1):
+            if self.held[grade - 1] and self.held[grade - 1] >= TRUST[grade - 1] * self.total:
+                self.grade = grade
+                break
+
+    def _weigh(self, node: Node, always: bool) -> int:
+        """Sets ``prose``: characters of all pages that are no links and not the same everywhere."""
         always = always and not node.opt and node.pages == self.pages
+        own, own_links, same = node.chars, node.links, 0
+        node.prose = 0
         for x in node.items:
             if isinstance(x, Node):
-                mark = _marks_main(x.key)
-                gone = out or (not mark and _unwanted(x.key, False, _holds_main(x)))
+                own, own_links = own - x.chars, own_links - x.links
+                node.prose += self._weigh(x, always)
+            elif x is not None and self.enough and node.pages >= FIXED_PAGES and always:
+                same += _length(x) * node.pages
+        node.prose += max(0, own - max(own_links, same))
+        return node.prose
+
+    def _learn(self, node: Node, path: str, out: bool, always: bool, marked: bool) -> None:
+        """``always``: the element is on all pages. ``marked``: a container holds it."""
+        always = always and not node.opt and node.pages == self.pages
+        for x in node.items:
+            if isinstance(x, Node):
+                at, mark = f"{path}>{x.key}", _marks_main(x.key)
+                if x.chars and (2 * x.links > x.chars or (self.enough and 10 * x.prose < x.chars)):
+                    self.template.add(at)
+                gone = out or (not mark and _unwanted(x.key, marked, _holds_main(x), at in self.template))
                 if not gone:
-                    # Containers must hold text, so an empty marked one does not hide the article.
-                    self.grade = max(self.grade, mark if x.chars else 0)
-                    if x.chars and 2 * x.links > x.chars:
-                        self.link_groups.add(x.key)
-                self._learn(x, gone, always)
-            elif x is not None and always and not node.rep:
-                self.fixed.add((node.key, x))
+                    # A container must hold text, so an empty marked one does not hide the article.
+                    if mark and x.chars:
+                        self.held[mark - 1] += max(1, x.prose)
+                    if x.chars and 2 * x.links > x.chars and not _has_paragraph(x):
+                        self.link_groups.add(at)
+                self._learn(x, at, gone, always, marked or bool(mark))
+            elif x is not None and always and self.enough and not node.rep:
+                self.fixed.add((path, x))
+        if not out:
+            inner = sum(x.prose for x in node.items if isinstance(x, Node))
+            self.total += node.prose - inner
+
+
+def _has_paragraph(node: Node) -> bool:
+    return any(isinstance(x, Node) and _tag(x.key) == "p" and x.chars and 2 * x.links <= x.chars for x in node.items)
 
 
 def _holds_main(node: Node) -> bool:
@@ -318,20 +377,20 @@ def extract(html: str | None, wrapper: Wrapper) -> str:
     root = parse(html)
     blocks: list[str] = []
     if wrapper.grade:
-        _walk(root, wrapper, False, blocks)
+        _walk(root, "", wrapper, False, blocks)
     if not blocks:
-        _walk(root, wrapper, None, blocks)
+        _walk(root, "", wrapper, None, blocks)
     return "\n".join(blocks)
 
 
-def _walk(node: Node, wrapper: Wrapper, inside: bool | None, blocks: list[str]) -> None:
+def _walk(node: Node, path: str, wrapper: Wrapper, inside: bool | None, blocks: list[str]) -> None:
     """Collect blocks; ``inside`` the marked container, or None if there is none to look for."""
     held: list[str] = []
 
     def flush():
         text = " ".join("".join(held).split())
         held.clear()
-        if text and inside is not False and not (inside is None and (node.key, text) in wrapper.fixed):
+        if text and inside is not False and not (inside is None and (path, _said(text)) in wrapper.fixed):
             blocks.append(text)
 
     stack = [iter(node.items)]
@@ -343,16 +402,19 @@ def _walk(node: Node, wrapper: Wrapper, inside: bool | None, blocks: list[str])
             held.append(x)
         elif _tag(x.key) == "br":
             held.append(" ")
-        elif _unwanted(x.key, bool(inside), inside is not True and _holds_main(x)):
-            if _tag(x.key) not in _INLINE:
-                flush()
-        elif _tag(x.key) in _INLINE:
-            stack.append(iter(x.items))
         else:
-            flush()
-            if inside is None and x.key in wrapper.link_groups and _linked(x):
-                continue
-            _walk(x, wrapper, inside if inside is not False else _marks_main(x.key) == wrapper.grade, blocks)
+            line = _tag(x.key) in _INLINE
+            at = path if line else f"{path}>{x.key}"
+            if _unwanted(x.key, bool(inside), inside is not True and not line and _holds_main(x), not line and at in wrapper.template):
+                if not line:
+                    flush()
+            elif line:
+                stack.append(iter(x.items))
+            else:
+                flush()
+                if inside is None and at in wrapper.link_groups and _linked(x):
+                    continue
+                _walk(x, at, wrapper, inside if inside is not False else _marks_main(x.key) == wrapper.grade, blocks)
     flush()
 
 
