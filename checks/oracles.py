@@ -425,6 +425,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_restore": log_text,
         "stream_restore_growing": log_text,
         "stream_bounded": stream_bounded(),
+        "stream_counts": f"SELECT user_id, type, count(*) AS n FROM ({LOG_FOUND}) GROUP BY user_id, type",
         "resolve_scored_odd": find_planted("email"),
         "recogniser_plugged_in": recogniser_plugged_in(),
         "preserved_table": preserved_table(),

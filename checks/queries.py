@@ -595,6 +595,17 @@ def stream_restore(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("event_id", "restored")
 
 
+def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Running counts over two halves of the logs, with a restart between them."""
+    source, out, mark, logs = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "ck"), service_logs(spark, sf)
+    for step in range(2):
+        logs.where(f"event_id % 2 = {step}").write.parquet(f"{source}/part{step}")
+        stream = spark.readStream.schema(logs.schema).parquet(f"{source}/*")
+        writer = streams.count_stream_to(stream, Config(), path=out, checkpoint=mark, keys=("user_id",))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return streams.counted(spark, out)
+
+
 def stream_restore_growing(spark: SparkSession, sf: str) -> DataFrame:
     """Two streams beside each other, twice: redaction adds to a store that restoring reads as it grows."""
     source, red, out, at = (scratch(spark, name) for name in ("in", "red", "out", "store"))
@@ -682,6 +693,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_restore": stream_restore,
         "stream_restore_growing": stream_restore_growing,
         "stream_bounded": stream_bounded,
+        "stream_counts": stream_counts,
         "resolve_scored_odd": resolve_scored_odd,
         "recogniser_plugged_in": recogniser_plugged_in,
         "preserved_table": preserved_table,

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from inkveil.config import Config
 from inkveil.functions.lineage import scratch_run
+from inkveil.operators import audit
 from inkveil.operators.mapping import scope_column
 from inkveil.operators.numbering import values_of
 from inkveil.operators.restore import restore
@@ -83,6 +84,29 @@ def restore_stream_to(
     return df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
+def count_stream_to(
+    df: DataFrame, config: Config, *, path: str, checkpoint: str, keys: tuple[str, ...] = (), text: str = "text"
+) -> DataStreamWriter:
+    """Running counts of findings by type and ``keys``; the counts after batch ``k`` are ``path/batch=k``.
+
+    The counts are stream state, kept with the batches that went into it, so a batch replayed after a failure or a restart
+    isn't counted twice. Findings are counted where they are found; only counts are shuffled, and state has a row for each
+    type and combination of keys. ``counted`` reads the last ones.
+    """
+    counts = audit.stats(audit.findings(spanned(df.select(*keys, text), config, text), *keys), *keys)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+    return counts.writeStream.outputMode("complete").foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def counted(spark: SparkSession, path: str) -> DataFrame:
+    """The counts after the last batch of ``count_stream_to``."""
+    every = spark.read.parquet(path)
+    return every.where(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
+
+
 # Ship this module's functions inside the job, so executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 

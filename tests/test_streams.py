@@ -1,6 +1,7 @@
 import pytest
 
-from inkveil import Config, redact, redact_documents
+from inkveil import Config, find, redact, redact_documents
+from inkveil.operators import audit
 from inkveil.sources.versions import VersionedStore
 from inkveil.streaming import streams
 
@@ -125,3 +126,21 @@ def test_bounded_scopes(spark, tmp_path):
     assert dict(pairs(spark.read.parquet(out))) == want
     with pytest.raises(ValueError):
         streams.redact_stream_keyed(stream(spark, folder), Config(), scope="team", seq="doc_id", max_scopes=3)
+
+
+def test_counts_survive_a_restart_and_a_replay(spark, source, tmp_path):
+    folder, put, everything = source
+    out, mark = tmp_path / "out", tmp_path / "ck"
+    go = lambda: run(streams.count_stream_to(stream(spark, folder), Config(), path=str(out), checkpoint=str(mark), keys=("team",)))
+    go()
+    put(1, 30, 60)
+    go()
+    want = audit.stats(find(everything, Config(), ["team"]), "team")
+    same = lambda: sorted(map(tuple, streams.counted(spark, str(out)).collect())) == sorted(map(tuple, want.collect()))
+    assert same()
+    # As after a crash before the last batch was noted as done.
+    last = max((p for p in (mark / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    go()
+    assert same()
