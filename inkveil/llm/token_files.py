@@ -45,21 +45,22 @@ _DELICATE = re.compile("[^\x00-\x1b\x20-\u024f]|<\\|")
 _LETTERS, _NUMBERS = ("".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
 #: The same rule for all other texts, with the alternatives that begin with a letter first.
 _WORD = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}{_NUMBERS}]+")
-#: Words that a worker keeps, and their letters and ids in bytes: with what Python adds, some 50 MB at most.
-_KNOWN, _KNOWN_BYTES = 1 << 18, 8 << 20
+#: Words that a worker keeps, twice over, and their letters and ids in bytes: with what Python adds, some 50 MB at most.
+_KNOWN, _KNOWN_BYTES = 1 << 17, 4 << 20
 
 
 class Encoder:
     """Ids of whole texts: what the tokenizer gives, but each distinct word is merged once.
 
     The tokenizer never merges across the words of the splitting rule, so a text's ids are its words'
-    ids. The ids of known words are kept (and forgotten all at once when there are too many). Another
-    kind of tokenizer file, and delicate texts, are encoded whole.
+    ids. The ids of known words are kept; when there are too many, those that weren't met since the last time are
+    forgotten. Another kind of tokenizer file, and delicate texts, are encoded whole.
     """
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.kind, self.known, self.size = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[dtype], {}, 0
+        self.before: dict[str, bytes] = {}
         # Only these parts of the file, as the vocabulary would stay in the worker's memory as Python objects.
         before, rule = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         parts = json.loads(rule.__getstate__()).get("pretokenizers", []) if rule else []
@@ -72,7 +73,10 @@ class Encoder:
     def _words(self, text: str) -> bytes:
         words = _WORD.findall(text.lower())
         known = self.known
-        new = list(set(words).difference(known))
+        new = set(words).difference(known)
+        again = self.before.keys() & new
+        known.update((w, self.before[w]) for w in again)
+        new = list(new - again)
         for at in range(0, len(new), 1000):
             some = new[at : at + 1000]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -82,8 +86,7 @@ class Encoder:
             self.size += sum(map(len, some)) + 2 * len(ids)
         out = b"".join(map(known.__getitem__, words))
         if len(known) >= _KNOWN or self.size >= _KNOWN_BYTES:
-            known.clear()
-            self.size = 0
+            self.before, self.known, self.size = known, {}, 0
         return out
 
     def _whole(self, text: str) -> bytes:
