@@ -6,9 +6,9 @@ estimate is near the threshold, within ``BAND`` of it, are counted exactly; the
 estimate. Lines on ``SITES`` or more sites are cross-site boilerplate and are removed from all documents.
 
 Texts are read twice (hashing, removal) and the lines' table is narrow. A line in a third of all
-documents is one sketch per task. For the removal each document's boilerplate lines are gathered by id;
-they are matched by hash, so documents that share an id (or have none) are served alike. Boilerplate hashes
-are broadcast only after they were counted.
+documents is one sketch per task. For the removal each document's boilerplate lines are gathered by id and text hash,
+so there are no more of them than lines of one text, however many documents share an id (or have none). Boilerplate
+hashes are broadcast only after they were counted.
 
 Defined results: a null text stays null, with no lines; empty texts stay. Null sites are no site. Lines
 that are too short or blank stay where they are, so does the order of the lines. Other columns
@@ -39,9 +39,10 @@ def _lines(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, doc: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    """``doc_id``, ``site``, ``h`` of the distinct lines of every row, written."""
+    """``doc_id``, ``content`` (a hash of the text), ``site``, ``h`` of the distinct lines of every row, written."""
+    whole = F.xxhash64(F.col(text).cast("string")).alias("content")
     hashes = F.array_distinct(F.filter(F.transform(_lines(F.col(text).cast("string")), _hash), lambda h: h.isNotNull()))
-    return written(docs.select(F.col(doc).alias("doc_id"), F.col(site).cast("string").alias("site"), F.explode(hashes).alias("h")))
+    return written(docs.select(F.col(doc).alias("doc_id"), whole, F.col(site).cast("string").alias("site"), F.explode(hashes).alias("h")))
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
@@ -65,10 +66,10 @@ def cleaned(
     """All columns, with ``out`` (the text without boilerplate lines) and ``removed``, the number of lines."""
     lines = occurrences(docs, doc, text, site)
     wide = _among(lines, boilerplate(lines, sites))
-    drops = written(wide.groupBy("doc_id").agg(F.collect_set("h").alias("drop")).toDF("d", "drop"))
+    drops = written(wide.groupBy("doc_id", "content").agg(F.collect_set("h").alias("drop")).toDF("d", "c", "drop"))
     rows = docs.select(F.struct("*").alias("row"), F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("whole"))
     # A merge join at any size: the number of documents with boilerplate grows with the corpus.
-    found = rows.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    found = rows.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("whole") == F.col("c")), "left")
     # Looked up in the document's own few hashes.
     kept = F.filter(_lines(F.col("whole")), lambda x: ~F.coalesce(F.array_contains("drop", _hash(x)), F.lit(False)))
     done = found.withColumn("kept", F.when(F.col("drop").isNotNull(), kept))

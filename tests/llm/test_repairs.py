@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from inkveil.llm import cotraining, postings, token_files, wrappers, workers
+from pyspark.sql import functions as F
+
+from inkveil.llm import cotraining, lines, postings, token_files, workers, wrappers
 from tests.llm.test_models import docs_of, prose
 
 # --- co-training
@@ -93,7 +95,7 @@ def test_words_are_forgotten_in_time(monkeypatch):
     for name, bound in (("_KNOWN", 500), ("_KNOWN_BYTES", 4000)):
         monkeypatch.setattr(token_files, name, bound)
         encoder = token_files.Encoder(token_files.TOKENIZER, "<u2")
-        assert [x for t in texts for x in encoder([t])] == want and len(encoder.known) < 1000
+        assert [x for t in texts + texts[:9] for x in encoder([t])] == want + want[:9] and len(encoder.known) + len(encoder.before) < 1600
         monkeypatch.undo()
 
 
@@ -148,3 +150,17 @@ def test_the_host_decides(spark):
     assert all(got[i] == f"Story {i}\nSomething {i} happened." for i in range(6))
     assert all(got[10 + i] == f"Read on {i}.\nStory {i}\n" + there.replace("{i}", str(i)).strip() for i in range(6))
     assert got[20].startswith("The same long words")
+
+
+# --- lines
+
+
+def test_many_documents_without_an_id(spark):
+    """Their lines are gathered text by text, not all under one id."""
+    line = "the very same line that stands everywhere {k}"
+    rows = [(None if i % 2 else 7, f"{line.format(k=i % 9)}\nown words of number {i} here", "en", f"s{i}") for i in range(200)]
+    docs = docs_of(spark, rows)
+    sizes = lines.occurrences(docs).groupBy("doc_id", "content").agg(F.collect_set("h").alias("hs")).select(F.max(F.size("hs"))).first()[0]
+    assert sizes == 2
+    got = sorted(r.text for r in lines.cleaned(docs).collect())
+    assert got == sorted(f"own words of number {i} here" for i in range(200))
