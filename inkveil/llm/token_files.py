@@ -22,7 +22,6 @@ import os
 import re
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from inkveil.functions.lineage import small_batches, written
 from inkveil.llm.workers import frugal, kept
@@ -41,14 +41,55 @@ _MAGIC = b"flatids1"
 #: The splitting rule of the tokenizer file, a fixed value: no match holds white space.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts that libraries might lower, compose or split differently, or that may spell a special token.
-_DELICATE = re.compile("[^\x00-\x1b\x20-\u024f]|<\\|")
-_LETTERS, _NUMBERS = ("".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
-#: The same rule for all other texts, with the alternatives that begin with a letter first.
-_WORD = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}{_NUMBERS}]+")
+_DELICATE = re.compile("[^\x00-\x1b\x20-\u024f\u2010-\u2027\u2030-\u205e]|<\\|")
+#: How vocabularies of bytes spell them: visible characters as they are, the others as the characters from 256 on. Spaces stay.
+_SPELLED = np.arange(256, dtype="<u2")
+_UNSEEN = [*range(33), *range(127, 161), 173]
+_SPELLED[_UNSEEN] = 256 + np.arange(len(_UNSEEN))
+_SPELLED[32] = 32
+#: Where a long text may be cut.
+_SPACE = re.compile(r"\s")
+#: Kinds of the characters that the other texts have after lowering: white space, letters, numbers, anything else.
+_KINDS = np.array([0 if chr(c).isspace() else {"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 3) for c in range(0x3000)], dtype=np.uint8)
+#: Letters that join an apostrophe which begins a word: one or two of them.
+_JOINED = ("s", "t", "m", "d"), ("re", "ve", "ll")
+#: Texts are cut into words together, about so many characters at a time.
+_PIECE = 1 << 19
 #: Words that a worker keeps, twice over, and their letters and ids in bytes: with what Python adds, some 50 MB at most.
 _KNOWN, _KNOWN_BYTES = 1 << 17, 4 << 20
 
 
+def _cut(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words of lowered text that ends with a space, by the rule above."""
+    kinds = _KINDS[chars]
+    edges = np.flatnonzero((np.diff(kinds, prepend=255, append=255) != 0) | (np.append(kinds, 0) == 2))
+    begins, ends = edges[:-1], edges[1:]
+    words = kinds[begins] != 0
+    begins, ends = begins[words], ends[words]
+    # A lone apostrophe takes what it shortens from the letters behind it.
+    lone = np.flatnonzero((ends - begins == 1) & (chars[begins] == ord("'")))
+    lone = lone[(lone + 1 < len(begins)) & (ends[lone] == begins[np.minimum(lone + 1, len(begins) - 1)])]
+    lone = lone[kinds[ends[lone]] == 1]
+    first, second = chars[ends[lone]], chars[ends[lone] + 1]
+    takes = np.isin(first, [ord(x) for x in _JOINED[0]]).astype(np.int64)
+    for pair in _JOINED[1]:
+        takes[(first == ord(pair[0])) & (second == ord(pair[1]))] = 2
+    lone, takes = lone[takes > 0], takes[takes > 0]
+    ends[lone] += takes
+    begins[lone + 1] += takes
+    some = begins < ends
+    return begins[some], ends[some]
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """Long texts, cut at white space."""
+    at = 0
+    while len(text) - at > 2 * _PIECE and (space := _SPACE.search(text, at + _PIECE)):
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:]
+
+
 class Encoder:
     """Ids of whole texts: what the tokenizer gives, but each distinct word is merged once.
 
@@ -59,40 +100,95 @@ class Encoder:
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.kind, self.known, self.size = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[dtype], {}, 0
-        self.before: dict[str, bytes] = {}
+        self.tokenizer, self.dtype, self.known, self.size = Tokenizer.from_file(path), dtype, {}, 0
         # Only these parts of the file, as the vocabulary would stay in the worker's memory as Python objects.
         before, rule = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         parts = json.loads(rule.__getstate__()).get("pretokenizers", []) if rule else []
         kinds = [x["type"] for x in json.loads(before.__getstate__()).get("normalizers", [])] if before else []
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and bool(parts) and parts[0].get("pattern") == {"Regex": _SPLIT}
+        # The same merges for words that are cut, lowered and spelled in bytes already.
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = WhitespaceSplit()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.by_word = self.by_word and bool(suffix)
+        # Ids that end a word; asked one by one, for the same reason.
+        names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())) if self.by_word else ()
+        self.lasts = np.array([n.endswith(suffix) for n in names], dtype=bool)
+        self.before: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [self._words(t) if self.by_word and not _DELICATE.search(t) else self._whole(t) for t in texts]
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, places, size = [], [], 0
+        for i, text in enumerate(texts):
+            if not self.by_word or _DELICATE.search(text):
+                out[i].append(self._whole(text))
+                continue
+            for piece in _pieces(text):
+                held.append(piece)
+                places.append(i)
+                size += len(piece)
+                if size >= _PIECE:
+                    for place, ids in zip(places, self._words(held), strict=True):
+                        out[place].append(ids)
+                    held, places, size = [], [], 0
+        for place, ids in zip(places, self._words(held), strict=True):
+            out[place].append(ids)
+        return [b"".join(x) for x in out]
+
+    def _words(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, whose words are numbered together; the words' letters are two bytes each."""
+        low = [t.lower() for t in texts]
+        raw = " ".join([*low, ""]).encode("utf-16-le")
+        chars = np.frombuffer(raw, dtype="<u2")
+        begins, ends = _cut(chars)
+        if not len(begins):
+            return [b""] * len(texts)
+        # The spaces between words leave the buffer, so that words are a binary array.
+        marks = np.zeros(len(chars) + 1, dtype=np.int8)
+        marks[begins] += 1
+        marks[ends] -= 1
+        letters = chars[np.cumsum(marks[:-1], dtype=np.int8).astype(bool)]
+        offsets = np.concatenate([[0], np.cumsum(ends - begins) * 2]).astype(np.int32)
+        every = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        ids = self._ids(every.dictionary.to_numpy(zero_copy_only=False).tolist())
+        codes = every.indices.to_numpy(zero_copy_only=False)
+        lengths = np.array([len(x) for x in ids]) // np.dtype(self.dtype).itemsize
+        flat = np.frombuffer(b"".join(ids), dtype=self.dtype)
+        firsts = np.cumsum(lengths) - lengths
+        n = lengths[codes]
+        sums = np.cumsum(n)
+        whole = flat[np.arange(sums[-1]) + np.repeat(firsts[codes] - sums + n, n)]
+        bounds = np.cumsum([len(t) + 1 for t in low])
+        upto = np.concatenate([[0], sums])[np.searchsorted(begins, bounds)].tolist()
+        return [whole[a:b].tobytes() for a, b in zip([0, *upto[:-1]], upto, strict=True)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _words(self, text: str) -> bytes:
-        words = _WORD.findall(text.lower())
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
         known = self.known
-        new = set(words).difference(known)
-        again = self.before.keys() & new
-        known.update((w, self.before[w]) for w in again)
-        new = list(new - again)
+        out = list(map(known.get, words))
+        unmet = [i for i, ids in enumerate(out) if ids is None]
+        for i in unmet:
+            out[i] = self.before.get(words[i])
+        known.update((words[i], out[i]) for i in unmet if out[i] is not None)
+        absent = [i for i in unmet if out[i] is None]
+        new = [words[i] for i in absent]
         for at in range(0, len(new), 1000):
             some = new[at : at + 1000]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            # Words are numbered in the text that they are joined to.
-            ids, bounds = array(self.kind, found.ids), np.searchsorted(found.word_ids, np.arange(len(some) + 1)).tolist()
-            known.update((w, ids[bounds[i] : bounds[i + 1]].tobytes()) for i, w in enumerate(some))
-            self.size += sum(map(len, some)) + 2 * len(ids)
-        out = b"".join(map(known.__getitem__, words))
+            joined = _SPELLED[np.frombuffer(b" \x00".join(some).decode("utf-16-le").encode(), dtype=np.uint8)].tobytes()
+            found = self.merger.encode_batch_fast([joined.decode("utf-16-le")], add_special_tokens=False)[0]
+            ids = np.array(found.ids, dtype=self.dtype)
+            bounds = [0, *(np.flatnonzero(self.lasts[ids]) + 1).tolist()]
+            width, raw = ids.itemsize, ids.tobytes()
+            for i, word, begin, end in zip(absent[at : at + 1000], some, bounds, bounds[1:], strict=False):
+                out[i] = known[word] = raw[begin * width : end * width]
+            self.size += sum(map(len, some)) // 2 + len(raw)
         if len(known) >= _KNOWN or self.size >= _KNOWN_BYTES:
             self.before, self.known, self.size = known, {}, 0
         return out
 
-    def _whole(self, text: str) -> bytes:
-        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-
 def id_type(path: str = TOKENIZER) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 

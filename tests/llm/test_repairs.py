@@ -1,9 +1,11 @@
 """Cases that earlier versions of the operators got wrong."""
 
+import random
+
 import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from inkveil.llm import cotraining, lines, postings, token_files, workers, wrappers
 from tests.llm.test_models import docs_of, prose
@@ -88,6 +90,19 @@ def test_end_ids_that_the_sink_would_change_are_refused(spark, tmp_path):
     assert [int(token_files.Shard(str(p)).ids[-1]) for p in shard if len(token_files.Shard(str(p)).ids)] == [127]
 
 
+def test_words_are_cut_as_the_tokenizer_cuts_them(monkeypatch):
+    signs = [*"abcXYZ'’–— \t\n.,-!?019sStTmMdDrReEvVlL", "'s", "'LL", *"ÄÖé×÷²½ªº", *"İȺƏƁ\x85\xa0\x00\x1b\x1c", "re", "ve", "<|", *"ſ中\u0307"]
+    draw = random.Random(3)
+    texts = ["".join(draw.choices(signs, k=draw.randrange(60))) for _ in range(3000)]
+    texts += [f"a{chr(c)}b'{chr(c)}" for c in range(0x250)] + ["", "'l", "don't'", "x " * 5000 + "y'"]
+    whole = Tokenizer.from_file(token_files.TOKENIZER)
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in texts]
+    encoder = token_files.Encoder(token_files.TOKENIZER, "<u2")
+    assert encoder.by_word and encoder(texts) == want
+    monkeypatch.setattr(token_files, "_PIECE", 7)
+    assert encoder(texts) == want
+
+
 def test_words_are_forgotten_in_time(monkeypatch):
     texts = [" ".join(f"w{i}x{j}" for j in range(300)) for i in range(20)]
     whole = token_files.Encoder(token_files.TOKENIZER, "<u2")
