@@ -1,9 +1,10 @@
 """Benchmark decontamination over a positional inverted index.
 
 The index is partitioned by document: each row of the index table is a segment, the postings of a
-few megabytes of neighbouring documents (its terms, and for each term its sorted positions). Tests
-are taken in blocks of bounded size and every block is looked up in every segment, so postings are
-never shuffled and a segment is all that a task holds. Within a segment a window (13 consecutive
+few megabytes of neighbouring documents (its terms, and for each term its sorted positions). The
+windows of all test items are made in tasks, sorted and stored as a table of blocks of bounded size,
+cut between windows or owners of a window, never by items, so an item may be of any length. The driver takes one block at a time
+and has it looked up in every segment, so postings are never shuffled and a segment and a block are all that a task holds. Within a segment a window (13 consecutive
 words of a test item) starts from the postings of its rarest term, and the lists of the other terms,
 rarest first, each less the term's offset, are intersected with it until nothing is left.
 
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Row
 
 from inkveil.functions.lineage import written
 from inkveil.llm.workers import frugal
@@ -30,7 +31,8 @@ WINDOW = 13
 SLOP = 3
 GAP = WINDOW + SLOP
 SEGMENT_BYTES = 2 << 20
-BLOCK_BYTES = 4 << 20
+#: Bytes of windows and owners in a block, some 400,000 windows; a single window beyond it is a block of its own.
+BLOCK_BYTES = 32 << 20
 #: Starts that a task follows at a time.
 CANDIDATES = 1 << 20
 
@@ -38,6 +40,7 @@ CANDIDATES = 1 << 20
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 _INDEX = "segment bigint, docs array<bigint>, starts binary, terms binary, ends binary, positions binary"
+_BLOCK = "block bigint, lengths binary, codes binary, terms binary, owners array<array<string>>, again boolean"
 _HITS = (
     "segment bigint, place int, doc_id bigint, n_words bigint, hits array<struct<s:bigint,e:bigint>>, "
     "items array<string>, n_near bigint"
@@ -98,23 +101,68 @@ def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     return written(wanted.mapInArrow(frugal(_segments), _INDEX))
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of every item, each with the item."""
+    for batch in batches:
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            w = words(text)
+            n = max(1, len(w) - WINDOW + 1) if w else 0
+            for at in range(0, n, 10_000):
+                made = [b" ".join(w[i : i + WINDOW]).decode() for i in range(at, min(at + 10_000, n))]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array([item] * len(made), pa.string())], names=["window", "item"])
+
+
+def _block(number: int, held: list[tuple[str, list[str]]], again: bool) -> pa.RecordBatch:
+    cut = pc.split_pattern(pa.array([w for w, _ in held], pa.string()), " ")
+    lengths, terms = cut.value_lengths().to_numpy(), cut.flatten().dictionary_encode()
+    # Short windows are filled up with a code that every segment is taken to hold.
+    codes = np.full((len(held), WINDOW), len(terms.dictionary), dtype="<i4")
+    codes[np.arange(WINDOW) < lengths[:, None]] = terms.indices.to_numpy()
+    row = {
+        "block": number,
+        "lengths": lengths.astype("<i8").tobytes(),
+        "codes": codes.tobytes(),
+        "terms": " ".join(terms.dictionary.to_pylist()).encode(),
+        "owners": [owners for _, owners in held],
+        "again": again,
+    }
+    binary = [(n, pa.binary()) for n in ("lengths", "codes", "terms")]
+    schema = pa.schema([("block", pa.int64()), *binary, ("owners", pa.list_(pa.list_(pa.string()))), ("again", pa.bool_())])
+    return pa.RecordBatch.from_pylist([row], schema)
+
+
+def _packed(size: int):
+    """Sorted windows and owners, packed into blocks of ``size`` bytes; ``again``: the first window also ends the block before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, weight, again = TaskContext.get().partitionId() << 32, [], 0, False
+        for batch in batches:
+            for window, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                same = bool(held) and held[-1][0] == window
+                if held and weight + len(window) + len(item) > size:
+                    yield _block(number, held, again)
+                    number, held, weight, again, same = number + 1, [], 0, same, False
+                if same:
+                    held[-1][1].append(item)
+                else:
+                    held.append((window, [item]))
+                weight += len(window) + len(item)
+        if held:
+            yield _block(number, held, again)
+
+    return run
+
+
 class Windows:
-    """The distinct windows of a block of test items."""
+    """The distinct windows of a block."""
 
-    def __init__(self, items: list[tuple[str, str | None]]):
-        owners: dict[tuple, set] = {}
-        for item, text in items:
-            w = words(text)
-            for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
-                owners.setdefault(tuple(w[i : i + WINDOW]), set()).add(item)
-        self.owners = [sorted(x) for x in owners.values()]
-        self.terms = sorted({t for w in owners for t in w})
-        code = {t: i for i, t in enumerate(self.terms)}
-        self.lengths = np.array([len(w) for w in owners], dtype=np.int64)
-        # Short windows are filled up with a code that every segment is taken to hold.
-        self.codes = np.full((len(owners), WINDOW), len(code), dtype=np.int64)
-        for i, w in enumerate(owners):
-            self.codes[i, : len(w)] = [code[t] for t in w]
+    def __init__(self, row: Row | None):
+        """``row``: of the table of blocks; None: no windows."""
+        self.owners = row.owners if row else []
+        self.terms = bytes(row.terms).split() if row else []
+        self.lengths = np.frombuffer(bytes(row.lengths) if row else b"", dtype="<i8")
+        self.codes = np.frombuffer(bytes(row.codes) if row else b"", dtype="<i4").reshape(-1, WINDOW)
+        self.again = bool(row and row.again)
 
     def matches(self, terms: list[bytes], ends: np.ndarray, positions: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Windows found in a segment, their starts, and which of them are exact; the others are loose.
@@ -181,7 +229,7 @@ def _rows(block: Windows, row: dict) -> Iterator[dict]:
             if whole:
                 hits.setdefault(d, []).append((start, start + int(block.lengths[w])))
                 items.setdefault(d, set()).update(block.owners[w])
-            else:
+            elif w or not block.again:
                 near[d] = near.get(d, 0) + 1
     for d, doc in enumerate(row["docs"]):
         merged: list[dict] = []
@@ -196,27 +244,31 @@ def _rows(block: Windows, row: dict) -> Iterator[dict]:
         }
 
 
-def blocks(tests: DataFrame, item: str, text: str) -> Iterator[Windows]:
-    """Test items in blocks of at most ``BLOCK_BYTES`` (a longer item is a block of its own)."""
-    held, size = [], 0
-    for row in tests.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).toLocalIterator():
-        if held and size + len(row.t or "") > BLOCK_BYTES:
-            yield Windows(held)
-            held, size = [], 0
-        held.append((row.i, row.t))
-        size += len(row.t or "")
-    yield Windows(held)
+def blocks(tests: DataFrame, item: str, text: str) -> DataFrame:
+    """The stored table of blocks: the distinct windows of all items, with the items."""
+    named = tests.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).cast("string").alias("text"))
+    windows = written(named.mapInArrow(frugal(_windows), "window string, item string").distinct())
+    size = windows.agg(F.sum(F.length("window") + F.length("item"))).first()[0] or 0
+    # Equal windows meet in one part, so that one with very many owners is cut knowingly.
+    ordered = windows.repartitionByRange(-(-size // BLOCK_BYTES) or 1, "window").sortWithinPartitions("window", "item")
+    return written(ordered.mapInArrow(frugal(_packed(BLOCK_BYTES)), _BLOCK))
 
 
 def look_up(index: DataFrame, tests: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document: hit ranges, items with exact matches, number of loose matches."""
-    parts = [index.mapInArrow(frugal(_look_up(block)), _HITS) for block in blocks(tests, item, text)]
-    if len(parts) == 1:
-        return parts[0]
-    # Several blocks: every block's result is written before the next, then merged by document.
-    whole = written(parts[0])
-    for part in parts[1:]:
-        whole = whole.unionByName(written(part))
+    stored = blocks(tests, item, text)
+    numbers = sorted(r.block for r in stored.select("block").collect())  # a number for each 32 MB of windows
+
+    def looked_up(number: int | None) -> DataFrame:
+        block = Windows(stored.where(F.col("block") == number).first() if number is not None else None)
+        return index.mapInArrow(frugal(_look_up(block)), _HITS)
+
+    if len(numbers) < 2:
+        return looked_up(numbers[0] if numbers else None)
+    # Several blocks: every block's result is written before the next is taken, then merged by document.
+    whole = written(looked_up(numbers[0]))
+    for number in numbers[1:]:
+        whole = whole.unionByName(written(looked_up(number)))
     return whole.groupBy("segment", "place").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),

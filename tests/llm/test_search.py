@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -78,6 +79,13 @@ def test_loose_matches_and_empty_tables(spark):
     tests = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
     row = postings.contamination(docs_of(spark, [(1, " ".join(moved), "a"), (2, " ".join(words), "a"), (3, words[0], "a")]), tests).orderBy("doc_id").collect()
     assert [(r.n_hit, r.n_near) for r in row] == [(0, 1), (13, 0), (0, 0)]
+    # A window with many owners fills several blocks and counts once.
+    owners = spark.createDataFrame([(i, " ".join(words)) for i in range(40)], "item_id bigint, text string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(postings, "BLOCK_BYTES", 300)
+        assert postings.blocks(owners, "item_id", "text").count() > 2
+        many = postings.contamination(docs_of(spark, [(1, " ".join(moved), "a"), (2, " ".join(words), "a")]), owners).orderBy("doc_id").collect()
+        assert [(r.n_hit, r.n_near, r.n_items) for r in many] == [(0, 1, 0), (13, 0, 40)]
     none = tests.where("false")
     assert postings.contamination(docs_of(spark, [(1, "a b", "a")]), none).first().n_items == 0
     assert postings.contamination(docs_of(spark, []), tests).count() == 0
