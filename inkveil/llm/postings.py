@@ -3,8 +3,9 @@
 The index is partitioned by document: each row of the index table is a segment, the postings of a
 few megabytes of neighbouring documents (its terms, and for each term its sorted positions). The
 windows of all test items are made in tasks, sorted and stored as a table of blocks of bounded size,
-cut between windows or owners of a window, never by items, so an item may be of any length. The driver takes one block at a time
-and has it looked up in every segment, so postings are never shuffled and a segment and a block are all that a task holds. Within a segment a window (13 consecutive
+cut between windows or owners of a window, never by items, so an item may be of any length. The driver takes as many blocks at a time
+as stay within that size, however many parts they were made in, and has them looked up in every segment, so postings are never
+shuffled and a segment and the windows of one block's size are all that a task holds. Within a segment a window (13 consecutive
 words of a test item) starts from the postings of its rarest term, and the lists of the other terms,
 rarest first, each less the term's offset, are intersected with it until nothing is left.
 
@@ -40,7 +41,7 @@ CANDIDATES = 1 << 20
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 _INDEX = "segment bigint, docs array<bigint>, starts binary, terms binary, ends binary, positions binary"
-_BLOCK = "block bigint, lengths binary, codes binary, terms binary, owners array<array<string>>, again boolean"
+_BLOCK = "block bigint, lengths binary, codes binary, terms binary, owners array<array<string>>, again boolean, size bigint"
 _HITS = (
     "segment bigint, place int, doc_id bigint, n_words bigint, hits array<struct<s:bigint,e:bigint>>, "
     "items array<string>, n_near bigint"
@@ -112,7 +113,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array([item] * len(made), pa.string())], names=["window", "item"])
 
 
-def _block(number: int, held: list[tuple[str, list[str]]], again: bool) -> pa.RecordBatch:
+def _block(number: int, held: list[tuple[str, list[str]]], again: bool, size: int) -> pa.RecordBatch:
     cut = pc.split_pattern(pa.array([w for w, _ in held], pa.string()), " ")
     lengths, terms = cut.value_lengths().to_numpy(), cut.flatten().dictionary_encode()
     # Short windows are filled up with a code that every segment is taken to hold.
@@ -125,9 +126,10 @@ def _block(number: int, held: list[tuple[str, list[str]]], again: bool) -> pa.Re
         "terms": " ".join(terms.dictionary.to_pylist()).encode(),
         "owners": [owners for _, owners in held],
         "again": again,
+        "size": size,
     }
     binary = [(n, pa.binary()) for n in ("lengths", "codes", "terms")]
-    schema = pa.schema([("block", pa.int64()), *binary, ("owners", pa.list_(pa.list_(pa.string()))), ("again", pa.bool_())])
+    schema = pa.schema([("block", pa.int64()), *binary, ("owners", pa.list_(pa.list_(pa.string()))), ("again", pa.bool_()), ("size", pa.int64())])
     return pa.RecordBatch.from_pylist([row], schema)
 
 
@@ -140,7 +142,7 @@ def _packed(size: int):
             for window, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 same = bool(held) and held[-1][0] == window
                 if held and weight + len(window) + len(item) > size:
-                    yield _block(number, held, again)
+                    yield _block(number, held, again, weight)
                     number, held, weight, again, same = number + 1, [], 0, same, False
                 if same:
                     held[-1][1].append(item)
@@ -148,21 +150,30 @@ def _packed(size: int):
                     held.append((window, [item]))
                 weight += len(window) + len(item)
         if held:
-            yield _block(number, held, again)
+            yield _block(number, held, again, weight)
 
     return run
 
 
 class Windows:
-    """The distinct windows of a block."""
-
-    def __init__(self, row: Row | None):
-        """``row``: of the table of blocks; None: no windows."""
-        self.owners = row.owners if row else []
-        self.terms = bytes(row.terms).split() if row else []
-        self.lengths = np.frombuffer(bytes(row.lengths) if row else b"", dtype="<i8")
-        self.codes = np.frombuffer(bytes(row.codes) if row else b"", dtype="<i4").reshape(-1, WINDOW)
-        self.again = bool(row and row.again)
+    """The windows of some blocks that follow each other."""
+
+    def __init__(self, rows: list[Row]):
+        """``rows``: of the table of blocks, in order."""
+        self.owners = [owners for row in rows for owners in row.owners]
+        self.lengths = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(bytes(row.lengths), dtype="<i8") for row in rows)])
+        places: dict[bytes, int] = {}
+        codes = [np.zeros((0, WINDOW), dtype="<i4")]
+        for row in rows:
+            # -1 stands for the code that fills short windows up.
+            place = np.array([*(places.setdefault(term, len(places)) for term in bytes(row.terms).split()), -1], dtype="<i4")
+            codes.append(place[np.frombuffer(bytes(row.codes), dtype="<i4")].reshape(-1, WINDOW))
+        self.terms = list(places)
+        self.codes = np.concatenate(codes)
+        self.codes[self.codes < 0] = len(self.terms)
+        #: Windows that end the block before as well.
+        firsts = np.cumsum([0, *(len(row.owners) for row in rows)])[:-1].tolist()
+        self.again = {first for first, row in zip(firsts, rows, strict=True) if row.again}
 
     def matches(self, terms: list[bytes], ends: np.ndarray, positions: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Windows found in a segment, their starts, and which of them are exact; the others are loose.
@@ -229,7 +240,7 @@ def _rows(block: Windows, row: dict) -> Iterator[dict]:
             if whole:
                 hits.setdefault(d, []).append((start, start + int(block.lengths[w])))
                 items.setdefault(d, set()).update(block.owners[w])
-            elif w or not block.again:
+            elif w not in block.again:
                 near[d] = near.get(d, 0) + 1
     for d, doc in enumerate(row["docs"]):
         merged: list[dict] = []
@@ -254,21 +265,34 @@ def blocks(tests: DataFrame, item: str, text: str) -> DataFrame:
     return written(ordered.mapInArrow(frugal(_packed(BLOCK_BYTES)), _BLOCK))
 
 
+def _together(sizes: list[tuple[int, int]]) -> list[list[int]]:
+    """Numbers of blocks, in order, put together as long as their sizes stay within ``BLOCK_BYTES``."""
+    groups: list[list[int]] = []
+    room = 0
+    for number, size in sizes:
+        if not groups or size > room:
+            groups.append([])
+            room = BLOCK_BYTES
+        groups[-1].append(number)
+        room -= size
+    return groups
+
+
 def look_up(index: DataFrame, tests: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document: hit ranges, items with exact matches, number of loose matches."""
     stored = blocks(tests, item, text)
-    numbers = sorted(r.block for r in stored.select("block").collect())  # a number for each 32 MB of windows
+    together = _together(sorted(map(tuple, stored.select("block", "size").collect())))  # a number for each block
 
-    def looked_up(number: int | None) -> DataFrame:
-        block = Windows(stored.where(F.col("block") == number).first() if number is not None else None)
+    def looked_up(numbers: list[int]) -> DataFrame:
+        block = Windows(stored.where(F.col("block").isin(numbers)).orderBy("block").collect() if numbers else [])
         return index.mapInArrow(frugal(_look_up(block)), _HITS)
 
-    if len(numbers) < 2:
-        return looked_up(numbers[0] if numbers else None)
-    # Several blocks: every block's result is written before the next is taken, then merged by document.
-    whole = written(looked_up(numbers[0]))
-    for number in numbers[1:]:
-        whole = whole.unionByName(written(looked_up(number)))
+    if len(together) < 2:
+        return looked_up(together[0] if together else [])
+    # Every result is written before the next blocks are taken, then merged by document.
+    whole = written(looked_up(together[0]))
+    for numbers in together[1:]:
+        whole = whole.unionByName(written(looked_up(numbers)))
     return whole.groupBy("segment", "place").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),

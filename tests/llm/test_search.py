@@ -91,6 +91,20 @@ def test_loose_matches_and_empty_tables(spark):
     assert postings.contamination(docs_of(spark, []), tests).count() == 0
 
 
+def test_small_blocks_are_looked_up_together(spark, monkeypatch):
+    """As many parts as the cluster likes make as many small blocks, but the index is read once for them all."""
+    rows = contaminated_rows()
+    tests = spark.createDataFrame([*TESTS, (7, sentence(3, 30, 500))], "item_id bigint, text string")
+    expected = sorted(repr((i, *hits(t, [*TESTS, (7, sentence(3, 30, 500))]))) for i, t, _ in rows)
+    dealt = type(tests).repartitionByRange
+    monkeypatch.setattr(type(tests), "repartitionByRange", lambda df, n, *by: dealt(df, 40, *by))
+    assert postings.blocks(tests, "item_id", "text").count() > 10
+    reads, run = [], postings._look_up
+    monkeypatch.setattr(postings, "_look_up", lambda block: reads.append(len(block.owners)) or run(block))
+    out = postings.contamination(docs_of(spark, rows), tests).drop("n_near").collect()
+    assert sorted(repr(tuple(r)) for r in out) == expected and len(reads) == 1
+
+
 def test_clean_keeps_columns_and_clean_rows(spark):
     docs, tests = docs_of(spark, contaminated_rows()), spark.createDataFrame(TESTS, "item_id bigint, text string")
     kept = postings.clean(docs, tests)
