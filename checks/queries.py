@@ -18,7 +18,7 @@ from inkveil.sources.files import read_documents, read_uploads, write_redacted
 from inkveil.sources.large_files import find_in_files
 from inkveil.sources.presets import load_presets, preset_table
 from inkveil.sources.session import MappingStore, load_session, save_session
-from inkveil.sources.tables import read_table
+from inkveil.sources.tables import parts_needed, read_table
 from inkveil.sources.versions import VersionedStore
 from inkveil.streaming import streams
 
@@ -532,6 +532,10 @@ def log_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     source = spark.readStream.schema(schema).parquet(f"{sf}/events.parque*")
     line = planted.line_sql(planted.SERVICE_LOG, "spark")
+    # A micro-batch takes the whole file, and a row group is one task's: rows are dealt out before they are searched.
+    parts = parts_needed(spark.read.parquet(f"{sf}/events.parquet"))
+    if parts:
+        source = source.repartition(parts, "event_id")
     return source.selectExpr("event_id", "user_id", f"{line} AS text")
 
 

@@ -38,6 +38,7 @@ _SHARED_GUARDS = {
     "four_digits": _rlike("[0-9]{4}"),
     "separator": matching.holds_separator("{t}"),
     "lower": "if(octet_length({t}) = length({t}), lower({t}), null)",
+    "ascii": "octet_length({t}) = length({t})",
 }
 
 # Words of secrets, looked for as plain strings in lower case where the text is ASCII.
@@ -184,7 +185,8 @@ def _builtin_hits(text: str, name: str, wanted: str | None = None) -> str:
         guard = f"{wanted} and ({guard})" if guard else wanted
     split = matching.jvm_regex(spec.split) if spec.split else None
     pattern = f"(?={_BEGINS[name]})(?:{spec.pattern})" if name in _BEGINS else spec.pattern
-    return matching.hits(text, matching.jvm_regex(pattern), catalog.RANK[name], guard, split, "g.separator")
+    plain = ("g.ascii", matching.ascii_regex(pattern))
+    return matching.hits(text, matching.jvm_regex(pattern), catalog.RANK[name], guard, split, "g.separator", plain)
 
 
 def _checked(found: str, config: Config) -> str:

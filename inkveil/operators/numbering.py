@@ -13,12 +13,13 @@ NUMBERED = "array<struct<value:string,placeholder:string,prefix:string,n:bigint,
 
 def placeholder_sql(prefix: str, n: str) -> str:
     """``[PREFIX_001]``, wider past 999."""
-    return f"format_string('[%s_%03d]', {prefix}, {n})"
+    digits = f"cast({n} as string)"
+    return f"concat('[', {prefix}, '_', if({n} > 99, {digits}, lpad({digits}, 3, '0')), ']')"
 
 
 def values_sql(spans: str) -> str:
     """Findings grouped by value: where each occurs, and the prefix of its last occurrence."""
-    ordered = f"array_sort(transform({spans}, x -> struct(x.value, x.start, x.end, x.prefix)))"
+    ordered = f"sort_array(transform({spans}, x -> struct(x.value, x.start, x.end, x.prefix)))"
     groups = runs(ordered, "pq.p.value <> pq.q.value")
     entry = (
         "struct(g[0].value as value, element_at(g, -1).start as last, element_at(g, -1).prefix as prefix, "
@@ -33,7 +34,7 @@ def values_of(spans: str = "spans") -> Column:
 
 def numbered_sql(values: str) -> str:
     """Number the values of one document per prefix, the last one in the text first."""
-    ordered = f"array_sort(transform({values}, x -> struct(x.prefix, -x.last as back, x.value, x.at)))"
+    ordered = f"sort_array(transform({values}, x -> struct(x.prefix, -x.last as back, x.value, x.at)))"
     groups = runs(ordered, "pq.p.prefix <> pq.q.prefix")
     entry = (
         "named_struct('value', x.value, 'placeholder', " + placeholder_sql("x.prefix", "i + 1") + ", "
@@ -45,7 +46,7 @@ def numbered_sql(values: str) -> str:
 def edits_sql(items: str, replacement: str) -> str:
     """Occurrences of ``items`` (each with ``at``) as replacements ordered by position."""
     each = f"transform({items}, v -> transform(v.at, s -> struct(s.start, s.end, {replacement})))"
-    return f"cast(array_sort(flatten({each})) as {EDITS})"
+    return f"cast(sort_array(flatten({each})) as {EDITS})"
 
 
 def document_edits_sql(spans: str) -> str:

@@ -25,7 +25,7 @@ def _settled(cluster: str) -> str:
     refused = f"exists(kept, e -> {_OVERLAP} and not {_X_COVERS} and ({_E_COVERS} or not {_X_LONGER}))"
     admitted = f"concat(filter(kept, e -> not {_OVERLAP}), array(x))"
     return (
-        f"aggregate(array_sort({cluster}), cast(array() as {CANDIDATES}), "
+        f"aggregate(sort_array({cluster}), cast(array() as {CANDIDATES}), "
         f"(kept, x) -> if({refused}, kept, {admitted}))"
     )
 
@@ -37,15 +37,15 @@ def spans_sql(candidates: str) -> str:
     i-th by start opens a group exactly when the i-1 smallest ends all lie at or before its
     start. Groups are settled apart, so the work follows their sizes.
     """
-    by_start = f"array_sort(transform({candidates}, x -> struct(x.start as s, x as c)))"
-    ends = f"array_sort(transform({candidates}, x -> x.end))"
+    by_start = f"sort_array(transform({candidates}, x -> struct(x.start as s, x as c)))"
+    ends = f"sort_array(transform({candidates}, x -> x.end))"
     opens = f"filter({indexes('1', 'size(ends) - 1')}, i -> ends[i - 1] <= by_start[i].s)"
     span = "struct({0}.start, {0}.end, {0}.type, {0}.prefix, {0}.value)"
     alone = f"transform(by_start, y -> {span.format('y.c')})"
     groups = cut_at("by_start", "concat(array(0), opens)")
     group = f"if(size(g) = 1, transform(g, y -> y.c), {_settled('transform(g, y -> y.c)')})"
     settled = f"flatten(transform({groups}, g -> {group}))"
-    apart = f"array_sort(transform({settled}, x -> {span.format('x')}))"
+    apart = f"sort_array(transform({settled}, x -> {span.format('x')}))"
     spans = let(
         "by_start",
         by_start,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from inkveil import Config, compare_presets, find, preview, redact, redact_documents, restore
 from inkveil import catalog
 from inkveil.operators import mapping as maps
-from inkveil.sources import files, mapping_files, presets, session
+from inkveil.sources import files, mapping_files, presets, session, tables
 
 
 def found(df, config):
@@ -282,3 +282,22 @@ def test_registered_exports_write_bounded_objects(spark, tmp_path, monkeypatch):
     assert len(list(tmp_path.glob("out/scope=*/shard=*/part-*"))) == 6
     objects = queries.queries()["export_json"](spark, "").collect()
     assert len(objects) == 6 and all(len(json.loads(o.json)["mappings"]) <= 2 for o in objects)
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    """A file of one row group has as many splits as there are cores, of which one holds all rows."""
+    path = str(tmp_path / "t")
+    spark.range(20_000).withColumn("text", F.sha2(F.col("id").cast("string"), 256)).coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        table = spark.read.parquet(path)
+        assert table.rdd.getNumPartitions() > 4
+        rows = [r["count"] for r in tables.read_table(spark, path, "id").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(rows) == 20_000 and len(rows) == 8 and max(rows) < 5_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    even = spark.range(0, 20_000, 1, 6)
+    assert tables.spread(even, "id") is even
+    assert tables.parts_needed(spark.range(0, 2_000_000, 1, 4)) == 20
+    assert tables.spread(spark.createDataFrame([], "id int"), "id").count() == 0

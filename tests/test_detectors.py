@@ -6,7 +6,7 @@ import pytest
 
 from checks import duck
 from inkveil import Config, catalog, find
-from inkveil.functions import pyengine
+from inkveil.functions import matching, pyengine
 from inkveil.plans.pipelines import spanned
 
 DEMO = (
@@ -158,3 +158,20 @@ def test_many_findings_in_one_text(docs):
     rows = find(docs(text), Config(), ["doc_id"]).collect()
     assert len(rows) == n
     assert all(text[r.start : r.end] == r.value for r in rows)
+
+
+def test_ascii_forms_find_the_same(spark):
+    """Texts with and without a letter beyond ASCII take different forms of a pattern."""
+    assert matching.ascii_regex(r"\[([A-C_-]+)[^\s\]][\s\S]\d") == (
+        r"(?id)\[([\x2d\x5f\x61\x62\x63]+)[^\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x5d][\s\S]\d"
+    )
+    r = random.Random(5)
+    parts = [t for t, _ in GOLDENS if t and t.isascii()] + [chr(c) for c in range(128)] + ["\x1c\x1f", "\\", "[", "]", "K", "k=", "S"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(400)]
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    wide = spark.createDataFrame([(i, t + " \u4e2d") for i, t in enumerate(texts)], "doc_id int, text string")
+    for config in (Config(), *(Config.of([name]) for name in ("username", "server_name", "iban", "api_key", "hostname"))):
+        one, two = ({tuple(x) for x in find(df, config, ["doc_id"]).collect()} for df in (plain, wide))
+        assert one == two and len(one) > 20
+    got = {tuple(x) for x in find(plain, Config(), ["doc_id"]).collect()}
+    assert got == {tuple(x) for x in find(plain, Config(), ["doc_id"], engine="python").collect()}
