@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from inkveil.config import Config
 from inkveil.functions.lineage import scratch_run
 from inkveil.operators import audit
 from inkveil.operators.mapping import scope_column
-from inkveil.operators.numbering import values_of
+from inkveil.operators.numbering import EDITS, values_of
 from inkveil.operators.restore import restore
 from inkveil.operators.rewrite import apply_edits
 from inkveil.plans.pipelines import redact_documents, redact_into, spanned
@@ -111,46 +112,63 @@ def counted(spark: SparkSession, path: str) -> DataFrame:
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+OUT_ROWS = 10_000
+
+
+def _with_edits(batch: pd.DataFrame, edits: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows with their edits, as JSON, some at a time."""
+    slim = batch.drop(columns=[c for c in ("values_", "seq_", "scope_", "slot_") if c in batch.columns])
+    for at in range(0, len(slim), OUT_ROWS):
+        yield slim.iloc[at : at + OUT_ROWS].assign(edits=edits[at : at + OUT_ROWS])
+
+
+def _edits(values: list[dict], known: dict[str, str]) -> str:
+    made = [{"start": s["start"], "end": s["end"], "replacement": known[v["value"]]} for v in values for s in v["at"]]
+    return json.dumps(sorted(made, key=lambda e: e["start"]))
+
+
 class _Numberer(StatefulProcessor):
-    """Placeholders of one scope: value to placeholder, prefix to highest number."""
+    """Placeholders of one scope: values with placeholders, prefix to highest number.
+
+    A call to the state store costs more than reading some ten entries, so those of a scope are read and added to
+    in one call each and not value by value; only values that the batch holds are kept in memory. Values come and edits go as JSON, which is small in pandas.
+    """
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "value string", "placeholder string", self.ttl_ms)
+        self.entries = handle.getListState("entries", "value string, placeholder string", self.ttl_ms)
         self.top = handle.getMapState("top", "prefix string", "n bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values("seq_", kind="stable")
         known: dict[str, str] = {}
+        if self.entries.exists():
+            wanted = {v["value"] for values in batch["values_"] for v in json.loads(values)}
+            known = {value: placeholder for value, placeholder in self.entries.get() if value in wanted}
         top: dict[str, int] = {}
-        edits = []
-        for values in batch["values_"]:
-            made = []
+        added, edits = [], []
+        for text in batch["values_"]:
+            values = json.loads(text)
             for v in sorted(values, key=lambda v: -v["last"]):
                 if v["value"] not in known:
-                    known[v["value"]] = self._placeholder(v["value"], v["prefix"], top)
-                made += [
-                    {"start": s["start"], "end": s["end"], "replacement": known[v["value"]]} for s in v["at"]
-                ]
-            edits.append(sorted(made, key=lambda e: e["start"]))
+                    known[v["value"]] = self._placeholder(v["prefix"], top)
+                    added.append((v["value"], known[v["value"]]))
+            edits.append(_edits(values, known))
+        if added:
+            self.entries.appendList(added)
         for prefix, n in top.items():
             self.top.updateValue((prefix,), (n,))
-        yield batch.drop(columns=["values_", "seq_", "scope_"]).assign(edits=edits)
+        yield from _with_edits(batch, edits)
 
-    def _placeholder(self, value: str, prefix: str, top: dict[str, int]) -> str:
-        """The stored placeholder, or the next one; state is asked once per value and batch."""
-        stored = self.known.getValue((value,))
-        if stored is not None:
-            return stored[0]
+    def _placeholder(self, prefix: str, top: dict[str, int]) -> str:
+        """The next placeholder; state is asked once per prefix and batch."""
         if prefix not in top:
             last = self.top.getValue((prefix,))
             top[prefix] = last[0] if last is not None else 0
         top[prefix] += 1
-        placeholder = f"[{prefix}_{top[prefix]:03d}]"
-        self.known.updateValue((value,), (placeholder,))
-        return placeholder
+        return f"[{prefix}_{top[prefix]:03d}]"
 
     def close(self) -> None:
         pass
@@ -176,7 +194,8 @@ class _BoundedNumberer(StatefulProcessor):
         known: dict[str, dict[str, str]] = {}
         top: dict[str, dict[str, int]] = {}
         edits = []
-        for scope, values in zip(batch["scope_"], batch["values_"], strict=True):
+        for scope, text in zip(batch["scope_"], batch["values_"], strict=True):
+            values = json.loads(text)
             if scope not in used:
                 if len(used) >= self.most:
                     oldest = min(used, key=used.get)
@@ -187,7 +206,6 @@ class _BoundedNumberer(StatefulProcessor):
             clock += 1
             used[scope] = clock
             mine, tops = known.setdefault(scope, {}), top.setdefault(scope, {})
-            made = []
             for v in sorted(values, key=lambda v: -v["last"]):
                 value, prefix = v["value"], v["prefix"]
                 if value not in mine:
@@ -198,10 +216,9 @@ class _BoundedNumberer(StatefulProcessor):
                     if old is None:
                         tops[prefix] += 1
                     mine[value] = old[0] if old is not None else f"[{prefix}_{tops[prefix]:03d}]"
-                made += [{"start": s["start"], "end": s["end"], "replacement": mine[value]} for s in v["at"]]
-            edits.append(sorted(made, key=lambda e: e["start"]))
+            edits.append(_edits(values, mine))
         self._store(before, used, fresh, known, top)
-        yield batch.drop(columns=["values_", "seq_", "scope_", "slot_"]).assign(edits=edits)
+        yield from _with_edits(batch, edits)
 
     def _store(self, before: dict, used: dict, fresh: set, known: dict, top: dict) -> None:
         gone = {scope for scope in before if scope not in used or scope in fresh}
@@ -252,23 +269,16 @@ def redact_stream_keyed(
     """
     if max_scopes is not None and (ttl_ms is not None or max_scopes < slots):
         raise ValueError("max_scopes goes without ttl_ms, and is at least the number of slots")
-    slim = spanned(df, config, text).withColumn("values_", values_of("spans")).drop("spans")
+    slim = spanned(df, config, text).withColumn("values_", F.to_json(values_of("spans"))).drop("spans")
     keyed = slim.withColumn("scope_", scope_column(scope)).withColumn("seq_", F.col(seq))
-    result = T.StructType([*df.schema.fields, T.StructField("edits", _edits_type())])
+    result = T.StructType([*df.schema.fields, T.StructField("edits", T.StringType())])
     if max_scopes is not None:
         slotted = keyed.withColumn("slot_", slot_of(F.col("scope_"), slots))
         numbered = slotted.groupBy("slot_").transformWithStateInPandas(
             _BoundedNumberer(max_scopes // slots), result, outputMode="Append", timeMode="None"
         )
-        return apply_edits(numbered, text, out)
+        return apply_edits(numbered.withColumn("edits", F.from_json("edits", EDITS)), text, out)
     numbered = keyed.groupBy("scope_").transformWithStateInPandas(
         _Numberer(ttl_ms), result, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
     )
-    return apply_edits(numbered, text, out)
-
-
-def _edits_type() -> T.ArrayType:
-    edit = T.StructType(
-        [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("replacement", T.StringType())]
-    )
-    return T.ArrayType(edit)
+    return apply_edits(numbered.withColumn("edits", F.from_json("edits", EDITS)), text, out)

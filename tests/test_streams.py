@@ -1,3 +1,6 @@
+import json
+
+import pandas as pd
 import pytest
 
 from inkveil import Config, find, redact, redact_documents
@@ -144,3 +147,37 @@ def test_counts_survive_a_restart_and_a_replay(spark, source, tmp_path):
     (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
     go()
     assert same()
+
+
+def test_state_of_a_scope_is_one_call_each_way():
+    """Values of a scope are read and added to together, however many there are."""
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.rows = name, {}
+
+        def __getattr__(self, call):
+            def run(*args):
+                calls.append(call)
+                if call == "appendList":
+                    self.rows.update(args[0])
+                return {"exists": bool(self.rows), "get": iter(self.rows.items()), "getValue": None}.get(call)
+
+            return run
+
+    class Handle:
+        def getListState(self, name, *rest):
+            return State(name)
+
+        getMapState = getListState
+
+    one = streams._Numberer(None)
+    one.init(Handle())
+    for lap in range(2):
+        calls.clear()
+        values = [json.dumps([{"value": f"v{i}\x00\u00e9", "last": 3, "prefix": "IP", "at": [{"start": 3, "end": 5}]}]) for i in range(500)]
+        rows = pd.DataFrame({"doc_id": range(500), "seq_": range(500), "scope_": "a", "values_": values})
+        done = pd.concat(list(one.handleInputRows(None, iter([rows]), None)))
+        assert [json.loads(e)[0]["replacement"] for e in done["edits"]] == [f"[IP_{i:03d}]" for i in range(1, 501)]
+        assert len(calls) < 8
