@@ -174,11 +174,39 @@ class _Numberer(StatefulProcessor):
         pass
 
 
+def _in_order(rows: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
+    """All rows, sorted, some at a time. Texts are held as Arrow strings, which take no object for each."""
+    packed = [r.astype({c: "string[pyarrow]" for c in r.columns if _is_text(r[c])}) for r in rows]
+    batch = pd.concat(packed, ignore_index=True)
+    packed.clear()
+    order = batch[by].argsort(kind="stable").to_numpy()
+    for at in range(0, len(batch), OUT_ROWS):
+        yield batch.iloc[order[at : at + OUT_ROWS]]
+
+
+def _is_text(column: pd.Series) -> bool:
+    return pd.api.types.infer_dtype(column, skipna=True) == "string"
+
+
+def _replaced(text: str, found: list, known: dict[str, str]) -> str:
+    """The text with its disjoint findings, in order, replaced."""
+    parts, done = [], 0
+    for start, end, _ in found:
+        parts += (text[done:start], known[text[start:end]])
+        done = end
+    return "".join(parts) + text[done:]
+
+
 class _BoundedNumberer(StatefulProcessor):
-    """Placeholders of the scopes of one slot, of which the ``most`` last used are remembered."""
+    """Placeholders of the scopes of one slot, of which the ``most`` last used are remembered.
+
+    Findings come as JSON, ``[start, end, prefix]`` in order, and texts go back redacted.
+    """
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, text: str, out: str):
         self.most = most
+        self.text = text
+        self.out = out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.known = handle.getMapState("known", "scope string, value string", "placeholder string")
@@ -186,39 +214,45 @@ class _BoundedNumberer(StatefulProcessor):
         self.used = handle.getMapState("used", "scope string", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq_", kind="stable")
         used = {scope[0]: at[0] for scope, at in self.used.iterator()}
         before, clock = dict(used), max(used.values(), default=0)
         # Scopes that began or began anew in this batch know nothing of what is stored under their name.
         fresh: set[str] = set()
         known: dict[str, dict[str, str]] = {}
         top: dict[str, dict[str, int]] = {}
-        edits = []
-        for scope, text in zip(batch["scope_"], batch["values_"], strict=True):
-            values = json.loads(text)
-            if scope not in used:
-                if len(used) >= self.most:
-                    oldest = min(used, key=used.get)
-                    del used[oldest]
-                    known.pop(oldest, None)
-                    top.pop(oldest, None)
-                fresh.add(scope)
-            clock += 1
-            used[scope] = clock
-            mine, tops = known.setdefault(scope, {}), top.setdefault(scope, {})
-            for v in sorted(values, key=lambda v: -v["last"]):
-                value, prefix = v["value"], v["prefix"]
-                if value not in mine:
-                    old = None if scope in fresh else self.known.getValue((scope, value))
-                    if old is None and prefix not in tops:
-                        last = None if scope in fresh else self.top.getValue((scope, prefix))
-                        tops[prefix] = last[0] if last is not None else 0
-                    if old is None:
-                        tops[prefix] += 1
-                    mine[value] = old[0] if old is not None else f"[{prefix}_{tops[prefix]:03d}]"
-            edits.append(_edits(values, mine))
+        for part in _in_order(rows, "seq_"):
+            redacted = []
+            for scope, text, listed in zip(part["scope_"], part[self.text], part["found_"], strict=True):
+                if scope not in used:
+                    if len(used) >= self.most:
+                        oldest = min(used, key=used.get)
+                        del used[oldest]
+                        known.pop(oldest, None)
+                        top.pop(oldest, None)
+                    fresh.add(scope)
+                clock += 1
+                used[scope] = clock
+                if scope not in known:
+                    known[scope], top[scope] = {}, {}
+                found = [(int(start), int(end), prefix) for start, end, prefix in json.loads(listed)]
+                # The last value of a text is numbered first.
+                for start, end, prefix in reversed(found):
+                    if text[start:end] not in known[scope]:
+                        known[scope][text[start:end]] = self._placeholder(scope, text[start:end], prefix, scope in fresh, top[scope])
+                redacted.append(_replaced(text, found, known[scope]) if found else text)
+            slim = part.drop(columns=[c for c in ("found_", "seq_", "scope_", "slot_", self.out) if c in part.columns])
+            yield slim.assign(**{self.out: redacted})
         self._store(before, used, fresh, known, top)
-        yield from _with_edits(batch, edits)
+
+    def _placeholder(self, scope: str, value: str, prefix: str, fresh: bool, tops: dict[str, int]) -> str:
+        old = None if fresh else self.known.getValue((scope, value))
+        if old is not None:
+            return old[0]
+        if prefix not in tops:
+            last = None if fresh else self.top.getValue((scope, prefix))
+            tops[prefix] = last[0] if last is not None else 0
+        tops[prefix] += 1
+        return f"[{prefix}_{tops[prefix]:03d}]"
 
     def _store(self, before: dict, used: dict, fresh: set, known: dict, top: dict) -> None:
         gone = {scope for scope in before if scope not in used or scope in fresh}
@@ -269,15 +303,19 @@ def redact_stream_keyed(
     """
     if max_scopes is not None and (ttl_ms is not None or max_scopes < slots):
         raise ValueError("max_scopes goes without ttl_ms, and is at least the number of slots")
-    slim = spanned(df, config, text).withColumn("values_", F.to_json(values_of("spans"))).drop("spans")
-    keyed = slim.withColumn("scope_", scope_column(scope)).withColumn("seq_", F.col(seq))
-    result = T.StructType([*df.schema.fields, T.StructField("edits", T.StringType())])
+    found = spanned(df, config, text).withColumn("scope_", scope_column(scope)).withColumn("seq_", F.col(seq))
     if max_scopes is not None:
-        slotted = keyed.withColumn("slot_", slot_of(F.col("scope_"), slots))
-        numbered = slotted.groupBy("slot_").transformWithStateInPandas(
-            _BoundedNumberer(max_scopes // slots), result, outputMode="Append", timeMode="None"
+        listed = F.transform("spans", lambda x: F.array(x.start.cast("string"), x.end.cast("string"), x.prefix))
+        slotted = found.withColumn("found_", F.to_json(listed)).drop("spans").withColumn("slot_", slot_of(F.col("scope_"), slots))
+        kept = [field for field in df.schema.fields if field.name != out]
+        return slotted.groupBy("slot_").transformWithStateInPandas(
+            _BoundedNumberer(max_scopes // slots, text, out),
+            T.StructType([*kept, T.StructField(out, T.StringType())]),
+            outputMode="Append",
+            timeMode="None",
         )
-        return apply_edits(numbered.withColumn("edits", F.from_json("edits", EDITS)), text, out)
+    keyed = found.withColumn("values_", F.to_json(values_of("spans"))).drop("spans")
+    result = T.StructType([*df.schema.fields, T.StructField("edits", T.StringType())])
     numbered = keyed.groupBy("scope_").transformWithStateInPandas(
         _Numberer(ttl_ms), result, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
     )

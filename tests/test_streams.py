@@ -181,3 +181,28 @@ def test_state_of_a_scope_is_one_call_each_way():
         done = pd.concat(list(one.handleInputRows(None, iter([rows]), None)))
         assert [json.loads(e)[0]["replacement"] for e in done["edits"]] == [f"[IP_{i:03d}]" for i in range(1, 501)]
         assert len(calls) < 8
+
+
+def test_a_slot_gives_redacted_texts_in_parts():
+    """Rows of a slot leave in order and in parts, with the replacements made where the placeholders are known."""
+
+    class State:
+        def __getattr__(self, call):
+            return lambda *args: iter(()) if call in ("iterator", "keys") else None
+
+    class Handle:
+        def getMapState(self, *args):
+            return State()
+
+    one = streams._BoundedNumberer(2, "text", "redacted")
+    one.init(Handle())
+    n = streams.OUT_ROWS + 5
+    found = json.dumps([["0", "1", "IP"], ["2", "3", "IP"]])
+    rows = pd.DataFrame({"doc_id": range(n), "text": "\u00e9 b c", "seq_": range(n), "scope_": [f"s{i % 2}" for i in range(n)], "slot_": 0, "found_": found})
+    rows.loc[3, ["text", "found_"]] = [None, "[]"]
+    mixed = rows.sample(frac=1, random_state=1)
+    parts = list(one.handleInputRows(None, iter([mixed[: n // 2], mixed[n // 2 :]]), None))
+    assert [len(p) for p in parts] == [streams.OUT_ROWS, 5]
+    done = pd.concat(parts, ignore_index=True)
+    assert list(done["doc_id"]) == list(range(n)) and set(done.columns) == {"doc_id", "text", "redacted"}
+    assert pd.isna(done["redacted"][3]) and set(done["redacted"].drop(3)) == {"[IP_002] [IP_001] c"}
