@@ -77,11 +77,9 @@ def cut_at(items: str, starts: str) -> str:
 
 
 def runs(items: str, differs: str) -> str:
-    """Cut sorted ``items`` where ``differs``, a condition on elements ``p`` and ``q``, holds."""
-    starts = (
-        f"filter({indexes('0', 'size(a) - 1')}, i -> i = 0 or "
-        f"{let('pq', 'struct(get(a, i - 1) as p, get(a, i) as q)', differs)})"
-    )
+    """Cut sorted ``items`` where ``differs``, a condition on elements ``pq.p`` and ``pq.q``, holds."""
+    apart = differs.replace("pq.p", "get(a, i - 1)").replace("pq.q", "get(a, i)")
+    starts = f"filter({indexes('0', 'size(a) - 1')}, i -> i = 0 or {apart})"
     return let("a", items, cut_at("a", starts))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from inkveil.functions.arrays import chunks, let, slice_chunks
+from inkveil.functions.arrays import CHUNK, chunks, let, slice_chunks
 from inkveil.functions.lineage import written
 from inkveil.operators.numbering import EDITS
 
@@ -19,13 +19,18 @@ def spliced_sql(text: str, edits: str, between: str = "{part}", replacement: str
     """The text with every edit made; ``between`` renders the parts that stay.
 
     Edits are disjoint and ordered. The text is cut into chunks first, so each part costs
-    its own length and not its distance from the start.
+    its own length and not its distance from the start. A text of one chunk is sliced as it is.
     """
-    before = slice_chunks("parts", "if(i = 0, 0, edits[i - 1].end)", "e.start")
-    rest = slice_chunks("parts", "element_at(edits, -1).end", f"length({text})")
-    each = f"concat({between.replace('{part}', before)}, {replacement})"
-    body = f"concat(array_join(transform(edits, (e, i) -> {each}), ''), {between.replace('{part}', rest)})"
-    done = let("parts", chunks(text), let("edits", edits, body))
+    end = "if(i = 0, 0, edits[i - 1].end)"
+
+    def made(before: str, rest: str) -> str:
+        each = f"concat({between.replace('{part}', before)}, {replacement})"
+        return f"concat(array_join(transform(edits, (e, i) -> {each}), ''), {between.replace('{part}', rest)})"
+
+    whole = made(f"substring(body, {end} + 1, e.start - {end})", "substring(body, element_at(edits, -1).end + 1)")
+    cut = made(slice_chunks("parts", end, "e.start"), slice_chunks("parts", "element_at(edits, -1).end", f"length({text})"))
+    body = f"if(length({text}) <= {CHUNK}, {let('body', text, whole)}, {let('parts', chunks(text), cut)})"
+    done = let("edits", edits, body)
     plain = between.replace("{part}", text)
     return f"if(coalesce(size({edits}), 0) = 0, {plain}, {done})"
 
