@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from inkveil.functions import matching
+from inkveil.functions import matching, pyengine
 from inkveil.functions.arrays import let
 from inkveil.functions.lineage import written
 from inkveil.operators.mapping import doc_column, scope_column
@@ -16,13 +16,19 @@ TOKEN = r"\[[^\[\]]+_[0-9]{3,}\]"
 
 
 def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
-    """Add every placeholder-shaped token of the text, with its position, as spans."""
+    """Add every placeholder-shaped token of the text, with its position, as spans.
+
+    Short ASCII texts are searched in Arrow batches, as in ``with_candidates``.
+    """
     body = f"`{text}`"
     guard = f"contains({body}, '[')"
+    search = pyengine.short_finder([pyengine.Short(0, TOKEN, (r"\[",), ("", TOKEN))])
+    df = df.withColumn("__short", search(F.expr(f"if({pyengine.is_short(body)}, {body}, null)")))
     found = let("n", f"length({body})", matching.located(matching.hits(body, TOKEN, 0, guard), "n"))
+    found = f"if(__short is null, {found}, __short)"
     spans = f"transform({found}, x -> struct(x.start, x.end, 'token', '', x.value))"
     empty = f"cast(array() as {SPANS})"
-    return df.withColumn(out, F.expr(f"if({body} is null, {empty}, cast({spans} as {SPANS}))"))
+    return df.withColumn(out, F.expr(f"if({body} is null, {empty}, cast({spans} as {SPANS}))")).drop("__short")
 
 
 def restore(
