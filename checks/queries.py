@@ -14,7 +14,7 @@ from inkveil.functions.lineage import scratch_folder
 from inkveil.operators import audit, domains, mapping as maps, scored
 from inkveil.plans.pipelines import redact_into, spanned
 from inkveil.sources import mapping_files
-from inkveil.sources.files import read_documents, read_uploads, write_redacted
+from inkveil.sources.files import read_documents, read_uploads, write_files, write_redacted
 from inkveil.sources.large_files import find_in_files
 from inkveil.sources.presets import load_presets, preset_table
 from inkveil.sources.session import MappingStore, load_session, save_session
@@ -483,7 +483,9 @@ def store_two_writers(spark: SparkSession, sf: str) -> DataFrame:
 def uploads(spark: SparkSession, sf: str) -> str:
     """One file of log lines for every user."""
     path = scratch(spark, "uploads")
-    service_logs(spark, sf).select("user_id", "text").repartition("user_id").write.partitionBy("user_id").text(path)
+    line = planted.line_sql(planted.SERVICE_LOG, "spark")
+    rows = spark.read.parquet(f"{sf}/events.parquet").withColumn("k", F.col("event_id"))
+    write_files(rows.selectExpr("user_id", f"{line} AS text"), path, "user_id")
     return path
 
 

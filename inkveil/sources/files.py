@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from inkveil.sources.tables import TASK_ROWS
+
+
+@contextmanager
+def listed_together(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by some tasks per core within, where Spark starts one for each of up to 10,000 folders."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 8 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
 
 def read_documents(spark: SparkSession, path: str, unit: str = "file", fold_newlines: bool = True) -> DataFrame:
     """``doc_id`` (the file, or file and line start), ``text``.
@@ -14,7 +31,8 @@ def read_documents(spark: SparkSession, path: str, unit: str = "file", fold_newl
     """
     if unit not in ("file", "line"):
         raise ValueError("unit must be 'file' or 'line'")
-    raw = spark.read.text(path, wholetext=unit == "file")
+    with listed_together(spark):
+        raw = spark.read.text(path, wholetext=unit == "file")
     file = F.col("_metadata.file_path")
     text = F.regexp_replace("value", "\r\n?", "\n") if fold_newlines else F.col("value")
     if unit == "file":
@@ -24,7 +42,8 @@ def read_documents(spark: SparkSession, path: str, unit: str = "file", fold_newl
 
 def read_uploads(spark: SparkSession, path: str, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Files as UTF-8, else Latin-1; with a ``cap``, files over so many bytes are listed apart and not read."""
-    files = spark.read.format("binaryFile").load(path)
+    with listed_together(spark):
+        files = spark.read.format("binaryFile").load(path)
     raw = F.col("content").cast("string")
     text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode("content", "ISO-8859-1"))
     within = F.lit(True) if cap is None else F.col("length") <= cap
@@ -33,6 +52,17 @@ def read_uploads(spark: SparkSession, path: str, cap: int | None = None) -> tupl
     return accepted, rejected
 
 
+def write_files(df: DataFrame, path: str, by: str, text: str = "text") -> None:
+    """One text file for every value of ``by``, under a folder of that name.
+
+    Files are made by several tasks per core, of bounded rows, as a file costs more than its lines; each task moves its own
+    to ``path``, where the driver would move them one after another.
+    """
+    parts = max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    writer = df.select(by, text).repartition(parts, by).write.partitionBy(by)
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+
+
 def write_redacted(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", text: str = "redacted") -> None:
     """Write redacted rows; ``fmt='text'`` keeps the text column only."""
     if fmt == "text":

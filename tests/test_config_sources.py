@@ -301,3 +301,23 @@ def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
     assert tables.spread(even, "id") is even
     assert tables.parts_needed(spark.range(0, 2_000_000, 1, 4)) == 20
     assert tables.spread(spark.createDataFrame([], "id int"), "id").count() == 0
+
+
+def test_a_file_for_every_value_is_listed_in_few_tasks(spark, tmp_path):
+    """Files are dealt out evenly, and their folders are not listed one by a task."""
+    path = str(tmp_path / "files")
+    lines = spark.range(1200).selectExpr("id % 300 AS user", "concat('line ', id) AS text")
+    files.write_files(lines, path, "user")
+    asked = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    group = "listing of files"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        read = files.read_documents(spark, path)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and all(s.numTasks <= 8 * spark.sparkContext.defaultParallelism for s in stages)
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == asked
+    rows = {r.doc_id.split("user=")[1].split("/")[0]: r.text for r in read.collect()}
+    assert len(rows) == 300 and all(sorted(int(t[5:]) % 300 for t in v.split("\n") if t) == [int(k)] * 4 for k, v in rows.items())

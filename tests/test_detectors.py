@@ -197,3 +197,17 @@ def test_short_texts_are_searched_in_batches(docs):
     rows = {e: sorted(map(tuple, find(table, Config(), ["doc_id"], engine=e).collect())) for e in ("jvm", "python")}
     assert rows["jvm"] == rows["python"]
     assert len({r[0] for r in rows["jvm"]}) > 2000 and {r[0] for r in rows["jvm"]} >= {4002, 4003, 4004}
+
+
+def test_files_of_lines_are_searched_in_batches(docs):
+    """ASCII texts of many lines count as short too, and have the findings of Python's patterns."""
+    pick = random.Random(6)
+    texts = ["\n".join("".join(pick.choices(FRAGMENTS, k=6)) for _ in range(pick.choice((40, 150)))) for _ in range(60)]
+    assert sum(map(pyengine_takes, texts)) == 60 and max(map(len, texts)) > 4096
+    table = docs(*texts)
+    rows = {e: sorted(map(tuple, find(table, Config(), ["doc_id"], engine=e).collect())) for e in ("jvm", "python")}
+    assert rows["jvm"] == rows["python"] and len(rows["jvm"]) > 3000
+
+
+def pyengine_takes(text: str) -> bool:
+    return text.isascii() and "\x00" not in text and 1024 < len(text) <= pyengine.SHORT_BYTES
