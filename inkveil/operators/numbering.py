@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from inkveil.functions.arrays import let, runs
+from inkveil.functions.arrays import indexes, let, runs
 
 EDITS = "array<struct<start:int,end:int,replacement:string>>"
 VALUES = "array<struct<value:string,last:int,prefix:string,at:array<struct<start:int,end:int>>>>"
@@ -20,12 +20,14 @@ def placeholder_sql(prefix: str, n: str) -> str:
 def values_sql(spans: str) -> str:
     """Findings grouped by value: where each occurs, and the prefix of its last occurrence."""
     ordered = f"sort_array(transform({spans}, x -> struct(x.value, x.start, x.end, x.prefix)))"
-    groups = runs(ordered, "pq.p.value <> pq.q.value")
     entry = (
         "struct(g[0].value as value, element_at(g, -1).start as last, element_at(g, -1).prefix as prefix, "
         "transform(g, x -> struct(x.start, x.end)) as at)"
     )
-    return f"cast(transform({groups}, g -> {entry}) as {VALUES})"
+    groups = f"transform({runs('by_value', 'pq.p.value <> pq.q.value')}, g -> {entry})"
+    once = "transform(by_value, x -> struct(x.value as value, x.start as last, x.prefix as prefix, array(struct(x.start, x.end)) as at))"
+    repeated = f"exists({indexes('1', 'size(by_value) - 1')}, i -> by_value[i - 1].value = by_value[i].value)"
+    return f"cast({let('by_value', ordered, f'if({repeated}, {groups}, {once})')} as {VALUES})"
 
 
 def values_of(spans: str = "spans") -> Column:

@@ -14,6 +14,9 @@ _X_COVERS = "(x.start <= e.start and x.end >= e.end)"
 _E_COVERS = "(e.start <= x.start and e.end >= x.end)"
 _X_LONGER = "(x.end - x.start > e.end - e.start)"
 
+#: So many candidates are settled together: among few, looking at all kept ones costs less than grouping them.
+FEW = 16
+
 
 def _settled(cluster: str) -> str:
     """Let candidates in one after another, in rank order.
@@ -35,12 +38,14 @@ def spans_sql(candidates: str) -> str:
 
     Candidates that overlap directly or through others form a group, found by sorting: the
     i-th by start opens a group exactly when the i-1 smallest ends all lie at or before its
-    start. Groups are settled apart, so the work follows their sizes.
+    start. Groups are settled apart, so the work follows their sizes. A few candidates are one group, as findings
+    that do not overlap leave each other alone.
     """
+    span = "struct({0}.start, {0}.end, {0}.type, {0}.prefix, {0}.value)"
+    few = f"sort_array(transform({_settled(candidates)}, x -> {span.format('x')}))"
     by_start = f"sort_array(transform({candidates}, x -> struct(x.start as s, x as c)))"
     ends = f"sort_array(transform({candidates}, x -> x.end))"
     opens = f"filter({indexes('1', 'size(ends) - 1')}, i -> ends[i - 1] <= by_start[i].s)"
-    span = "struct({0}.start, {0}.end, {0}.type, {0}.prefix, {0}.value)"
     alone = f"transform(by_start, y -> {span.format('y.c')})"
     groups = cut_at("by_start", "concat(array(0), opens)")
     group = f"if(size(g) = 1, transform(g, y -> y.c), {_settled('transform(g, y -> y.c)')})"
@@ -51,7 +56,7 @@ def spans_sql(candidates: str) -> str:
         by_start,
         let("ends", ends, let("opens", opens, f"if(size(opens) = size(ends) - 1, {alone}, {apart})")),
     )
-    return f"if(size({candidates}) = 0, cast(array() as {SPANS}), cast({spans} as {SPANS}))"
+    return f"if(size({candidates}) = 0, cast(array() as {SPANS}), cast(if(size({candidates}) <= {FEW}, {few}, {spans}) as {SPANS}))"
 
 
 def resolve(candidates: str) -> Column:

@@ -177,3 +177,14 @@ def test_nested_placeholders_follow_the_order_of_entries(spark, docs):
     assert restore(docs(text), expand_nested(known), "doc_id").first().restored == expected
     plain = known.where("n = 3")
     assert expand_nested(plain).collect() == plain.collect()
+
+
+def test_values_are_grouped_alike_whether_they_repeat_or_not(spark):
+    from inkveil.operators.numbering import values_of
+    from inkveil.operators.resolve import SPANS
+
+    once = [(0, 2, "t", "P", "b"), (3, 5, "t", "Q", "a")]
+    again = [*once, (6, 8, "t", "R", "b")]
+    df = spark.createDataFrame([(0, once), (1, again), (2, [])], f"id int, spans {SPANS}")
+    rows = {r.id: [(v.value, v.last, v.prefix, [tuple(s) for s in v.at]) for v in r.v] for r in df.select("id", values_of().alias("v")).collect()}
+    assert rows == {0: [("a", 3, "Q", [(3, 5)]), ("b", 0, "P", [(0, 2)])], 1: [("a", 3, "Q", [(3, 5)]), ("b", 6, "R", [(0, 2), (6, 8)])], 2: []}

@@ -54,3 +54,20 @@ def test_later_rank_wins_on_equal_spans(spark):
         [([(1, 0, 0, 5, "a", "A", "x"), (2, 0, 0, 5, "b", "B", "x")],)], f"candidates {CANDIDATES}"
     )
     assert df.select(F.explode(resolve("candidates")).alias("s")).select("s.type").collect()[0][0] == "b"
+
+
+def test_few_and_many_candidates_follow_the_same_rules(spark, monkeypatch):
+    from inkveil.operators import resolve as module
+
+    rng = random.Random(9)
+    lists = [
+        sorted((rng.randint(0, 6), i, at := rng.randint(0, 50), at + rng.randint(1, 12), "t", "P", f"v{i}") for i in range(rng.randint(0, 20)))
+        for _ in range(200)
+    ]
+    df = spark.createDataFrame(list(enumerate(lists)), f"id int, candidates {CANDIDATES}")
+
+    def settled_up_to(few):
+        monkeypatch.setattr(module, "FEW", few)
+        return df.select("id", resolve("candidates").alias("spans")).orderBy("id").collect()
+
+    assert settled_up_to(0) == settled_up_to(8) == settled_up_to(20)
