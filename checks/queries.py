@@ -18,7 +18,7 @@ from inkveil.sources.files import read_documents, read_uploads, write_files, wri
 from inkveil.sources.large_files import find_in_files
 from inkveil.sources.presets import load_presets, preset_table
 from inkveil.sources.session import MappingStore, load_session, save_session
-from inkveil.sources.tables import parts_needed, read_table
+from inkveil.sources.tables import read_table, spread_stream
 from inkveil.sources.versions import VersionedStore
 from inkveil.streaming import streams
 
@@ -531,13 +531,11 @@ def presets_loaded(spark: SparkSession, sf: str) -> DataFrame:
 
 def log_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The service logs as a stream over the table's file."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    source = spark.readStream.schema(schema).parquet(f"{sf}/events.parque*")
+    at_rest = spark.read.parquet(f"{sf}/events.parquet")
+    source = spark.readStream.schema(at_rest.schema).parquet(f"{sf}/events.parque*")
     line = planted.line_sql(planted.SERVICE_LOG, "spark")
     # A micro-batch takes the whole file, and a row group is one task's: rows are dealt out before they are searched.
-    parts = parts_needed(spark.read.parquet(f"{sf}/events.parquet"))
-    if parts:
-        source = source.repartition(parts, "event_id")
+    source = spread_stream(source, at_rest, "event_id")
     return source.selectExpr("event_id", "user_id", f"{line} AS text")
 
 
@@ -594,6 +592,7 @@ def stream_restore(spark: SparkSession, sf: str) -> DataFrame:
     source, path = scratch(spark, "in"), scratch(spark, "out")
     done.redacted.select("event_id", "redacted").write.parquet(source)
     stream = spark.readStream.schema("event_id bigint, redacted string").parquet(source)
+    stream = spread_stream(stream, spark.read.parquet(source), "event_id")
     writer = streams.restore_stream_to(
         stream, done.mapping, path=path, checkpoint=scratch(spark, "ck"), doc="event_id", text="redacted"
     )
@@ -607,6 +606,7 @@ def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
     for step in range(2):
         logs.where(f"event_id % 2 = {step}").write.parquet(f"{source}/part{step}")
         stream = spark.readStream.schema(logs.schema).parquet(f"{source}/*")
+        stream = spread_stream(stream, spark.read.parquet(f"{source}/part{step}"), "event_id")
         writer = streams.count_stream_to(stream, Config(), path=out, checkpoint=mark, keys=("user_id",))
         writer.trigger(availableNow=True).start().awaitTermination()
     return streams.counted(spark, out)
@@ -618,11 +618,13 @@ def stream_restore_growing(spark: SparkSession, sf: str) -> DataFrame:
     marks, logs = [scratch(spark, "ck"), scratch(spark, "ck")], service_logs(spark, sf)
     for step in range(2):
         logs.where(f"event_id % 2 = {step}").write.parquet(f"{source}/part{step}")
+        coming = spread_stream(spark.readStream.schema(logs.schema).parquet(f"{source}/*"), spark.read.parquet(f"{source}/part{step}"), "event_id")
         first = streams.redact_stream_to(
-            spark.readStream.schema(logs.schema).parquet(f"{source}/*"), Config(), path=red, store=VersionedStore(spark, at), checkpoint=marks[0], doc="event_id", scope="user_id"
+            coming, Config(), path=red, store=VersionedStore(spark, at), checkpoint=marks[0], doc="event_id", scope="user_id"
         )
         first.trigger(availableNow=True).start().awaitTermination()
         back = spark.readStream.schema("event_id bigint, user_id bigint, redacted string").option("recursiveFileLookup", True).parquet(red)
+        back = spread_stream(back, spark.read.option("recursiveFileLookup", True).parquet(red), "event_id")
         second = streams.restore_stream_to(back, VersionedStore(spark, at), path=out, checkpoint=marks[1], doc="event_id", scope="user_id", text="redacted")
         second.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("event_id", "restored")

@@ -31,6 +31,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if parts is None else df.repartition(parts, *keys)
 
 
+def spread_stream(stream: DataFrame, at_rest: DataFrame, *keys: str) -> DataFrame:
+    """``spread`` for a stream of files whose next micro-batch holds about the rows of ``at_rest``.
+
+    A micro-batch packs many small files into a task by their sizes in bytes, however many rows those hold.
+    """
+    parts = parts_needed(at_rest)
+    return stream if parts is None else stream.repartition(parts, *keys)
+
+
 def read_table(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     """A Parquet table, spread by ``keys`` when few tasks hold its rows."""
     return spread(spark.read.parquet(path), *keys)

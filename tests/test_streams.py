@@ -2,6 +2,7 @@ import json
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from inkveil import Config, find, redact, redact_documents
 from inkveil.operators import audit
@@ -206,3 +207,21 @@ def test_a_slot_gives_redacted_texts_in_parts():
     done = pd.concat(parts, ignore_index=True)
     assert list(done["doc_id"]) == list(range(n)) and set(done.columns) == {"doc_id", "text", "redacted"}
     assert pd.isna(done["redacted"][3]) and set(done["redacted"].drop(3)) == {"[IP_002] [IP_001] c"}
+
+
+def test_rows_of_small_files_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Files are packed into tasks by bytes; a micro-batch has tasks of bounded rows all the same."""
+    from inkveil.sources import tables
+
+    folder, tasks = str(tmp_path / "in"), []
+    spark.range(0, 40_000, 1, 12).write.parquet(folder)
+    at_rest = spark.read.parquet(folder)
+    monkeypatch.setattr(tables, "TASK_ROWS", 2_000)
+    coming = tables.spread_stream(spark.readStream.schema(at_rest.schema).parquet(folder), at_rest, "id")
+
+    def step(batch, _):
+        tasks.extend(batch.groupBy(F.spark_partition_id()).count().collect())
+
+    run(coming.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "mark")))
+    assert sum(n for _, n in tasks) == 40_000
+    assert len(tasks) == 20 and max(n for _, n in tasks) < 3_000
