@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,11 +25,18 @@ from inkveil.sources.versions import VersionedStore
 
 @dataclass(frozen=True)
 class Redaction:
-    """Results of one redaction: texts, all mapping entries, and the entries new in this run."""
+    """Results of one redaction: texts, all mapping entries, and the entries new in this run.
+
+    Texts are planned when they are first asked for, as finding the right join counts the rows of each value.
+    """
 
-    redacted: DataFrame
     mapping: DataFrame
     added: DataFrame
+    rewriting: Callable[[], DataFrame] = field(repr=False)
+
+    @cached_property
+    def redacted(self) -> DataFrame:
+        return self.rewriting()
 
 
 def spanned(
@@ -136,9 +144,13 @@ def _keyed(
 
 def _replaced(df: DataFrame, keyed: DataFrame, existing: DataFrame | None, added: DataFrame, doc: str, text: str, out: str) -> Redaction:
     mapping = added if existing is None else existing.select(added.columns).unionByName(added)
-    edits = edits_by_lookup(keyed, mapping, ["scope", "value"], "placeholder", "doc", of="of")
-    joined = df.join(edits.withColumnRenamed("doc", doc), doc, "left")
-    return Redaction(apply_edits(joined, text, out), mapping, added)
+
+    def rewriting() -> DataFrame:
+        edits = edits_by_lookup(keyed, mapping, ["scope", "value"], "placeholder", "doc", of="of")
+        joined = df.join(edits.withColumnRenamed("doc", doc), doc, "left")
+        return apply_edits(joined, text, out)
+
+    return Redaction(mapping, added, rewriting)
 
 
 def redacting(config: Config, **options) -> Callable[[DataFrame], DataFrame]:

@@ -188,3 +188,15 @@ def test_values_are_grouped_alike_whether_they_repeat_or_not(spark):
     df = spark.createDataFrame([(0, once), (1, again), (2, [])], f"id int, spans {SPANS}")
     rows = {r.id: [(v.value, v.last, v.prefix, [tuple(s) for s in v.at]) for v in r.v] for r in df.select("id", values_of().alias("v")).collect()}
     assert rows == {0: [("a", 3, "Q", [(3, 5)]), ("b", 0, "P", [(0, 2)])], 1: [("a", 3, "Q", [(3, 5)]), ("b", 6, "R", [(0, 2), (6, 8)])], 2: []}
+
+
+def test_a_mapping_alone_plans_no_texts(docs, monkeypatch):
+    from inkveil.plans import pipelines
+
+    asked = []
+    lookup = pipelines.edits_by_lookup
+    monkeypatch.setattr(pipelines, "edits_by_lookup", lambda *a, **k: asked.append(1) or lookup(*a, **k))
+    done = redact(docs("a@x.com and b@x.com", "a@x.com"), Config(), doc="doc_id")
+    assert done.mapping.count() == 2 and not asked
+    assert {r.redacted for r in done.redacted.collect()} == {"[EMAIL_002] and [EMAIL_001]", "[EMAIL_002]"}
+    assert done.redacted is done.redacted and len(asked) == 1
