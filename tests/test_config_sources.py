@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from inkveil import Config, compare_presets, find, preview, redact, redact_documents, restore
@@ -321,3 +322,56 @@ def test_a_file_for_every_value_is_listed_in_few_tasks(spark, tmp_path):
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == asked
     rows = {r.doc_id.split("user=")[1].split("/")[0]: r.text for r in read.collect()}
     assert len(rows) == 300 and all(sorted(int(t[5:]) % 300 for t in v.split("\n") if t) == [int(k)] * 4 for k, v in rows.items())
+
+
+def test_files_are_written_as_spark_writes_them(spark, tmp_path):
+    """The same folders and files, without processes started for each of them."""
+    values = ["a b", "a/b", "x=y", "é", "%41", "", None, "q\"'", "[z]", "{z}", "^", "a:b", "a*?", "\\b", "\x01\x7f", "..", "new\nline", "~&<>|"]
+    lines = spark.createDataFrame([(v, t) for v in values for t in ("one é", "two\r\nthree", None, "")], "k string, text string")
+    lines.repartition(4, F.coalesce("k", F.lit(""))).write.partitionBy("k").text(str(tmp_path / "spark"))
+    files.write_files(lines, str(tmp_path / "own"), "k")
+
+    def held(top):
+        found = sorted((f.parent.name, sorted(f.read_bytes().split(b"\n"))) for f in top.rglob("part-*"))
+        return found, (top / "_SUCCESS").exists(), [f for f in top.rglob(".part-*") if not f.name.endswith(".crc")]
+
+    assert held(tmp_path / "own") == held(tmp_path / "spark") and len(held(tmp_path / "own")[0]) == 17
+    with pytest.raises(AnalysisException):
+        files.write_files(lines, str(tmp_path / "own"), "k")
+
+    def started():
+        return next(int(row.split()[1]) for row in open("/proc/stat") if row.startswith("processes"))
+
+    many = spark.range(4000).selectExpr("id % 1000 AS user", "concat('line ', id) AS text")
+    before = started()
+    files.write_files(many, str(tmp_path / "many"), "user")
+    assert started() - before < 1000
+    assert spark.read.text(str(tmp_path / "many")).where("user = cast(substring(value, 6) AS int) % 1000").count() == 4000
+
+
+def test_small_files_are_dealt_out(spark, tmp_path):
+    """Tasks that would hold few small files each are some by size; names of folders make no columns."""
+    lines = spark.range(1200).selectExpr("id % 300 AS user", "concat('line ', id) AS text")
+    path, flat = str(tmp_path / "files"), tmp_path / "flat"
+    files.write_files(lines, path, "user")
+    flat.mkdir()
+    (flat / "a=b.txt").write_text("one\n")
+    (flat / "deep").mkdir()
+    (flat / "deep" / "c.txt").write_text("two\n")
+    assert files.in_value_folders(spark, path) and not files.in_value_folders(spark, str(flat))
+    assert [r.text for r in files.read_documents(spark, str(flat), unit="line").collect()] == ["one"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        by_line, accepted = files.read_documents(spark, path, unit="line"), files.read_uploads(spark, path)[0]
+        assert by_line.rdd.getNumPartitions() == accepted.rdd.getNumPartitions() == files.read_documents(spark, path).rdd.getNumPartitions() == 16
+        rows = by_line.collect()
+        texts = accepted.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r.text for r in rows) == sorted(f"line {i}" for i in range(1200)) and len({r.doc_id for r in rows}) == 1200
+    assert sorted("".join(r.text for r in texts).split("\n")[:-1]) == sorted(r.text for r in rows)
+    whole = {r.doc_id: r.text for r in texts}
+    for name in whole:
+        of = sorted((r.doc_id, r.text) for r in rows if r.doc_id.startswith(name.replace("file:///", "file:/")) or r.doc_id.startswith(name.replace("file:/", "file:///", 1)))
+        assert "".join(f"{t}\n" for _, t in of) == whole[name]
