@@ -572,6 +572,7 @@ def stream_keyed(spark: SparkSession, sf: str, **bounds) -> DataFrame:
         "spark.sql.shuffle.partitions": str(
             min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
         ),
+        "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
     }
     before = {name: spark.conf.get(name) for name in settings}
     for name, value in settings.items():

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import os
 import sys
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
@@ -174,18 +180,125 @@ class _Numberer(StatefulProcessor):
         pass
 
 
-def _in_order(rows: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
-    """All rows, sorted, some at a time. Texts are held as Arrow strings, which take no object for each."""
-    packed = [r.astype({c: "string[pyarrow]" for c in r.columns if _is_text(r[c])}) for r in rows]
-    batch = pd.concat(packed, ignore_index=True)
-    packed.clear()
-    order = batch[by].argsort(kind="stable").to_numpy()
-    for at in range(0, len(batch), OUT_ROWS):
-        yield batch.iloc[order[at : at + OUT_ROWS]]
-
-
-def _is_text(column: pd.Series) -> bool:
-    return pd.api.types.infer_dtype(column, skipna=True) == "string"
+#: Bytes of rows that are sorted in memory, that are handed on together, and that are read of a sorted run at a time.
+SORT_BYTES, OUT_BYTES, RUN_BYTES = 16 << 20, 4 << 20, 256 << 10
+#: So many sorted runs are merged together.
+FAN = 64
+PACKED = "rows_"
+
+
+def _packing() -> pa.ipc.IpcWriteOptions:
+    return pa.ipc.IpcWriteOptions(compression="lz4")
+
+
+def _cut(table: pa.Table, size: int, rows: int = OUT_ROWS) -> Iterator[pa.Table]:
+    """The table in parts of about ``size`` bytes and at most ``rows`` rows; a row is never cut."""
+    step = max(1, min(rows, table.num_rows * size // max(1, table.nbytes)))
+    for at in range(0, table.num_rows, step):
+        part = table.slice(at, step)
+        if part.nbytes > 2 * size and part.num_rows > 1:
+            yield from _cut(part, size, part.num_rows // 2)
+        else:
+            yield part
+
+
+def _sorted(tables: list[pa.Table], by: str) -> pa.Table:
+    table = pa.concat_tables(tables, promote_options="permissive")
+    return table.take(pc.sort_indices(table, [(by, "ascending")])).combine_chunks()
+
+
+def _unpacked(rows: Iterator[pd.DataFrame]) -> Iterator[pa.Table]:
+    """Tables of rows that come as they are, or packed in Arrow's form, some thousand of a slot as one value."""
+    for frame in rows:
+        if PACKED not in frame.columns:
+            yield pa.Table.from_pandas(frame, preserve_index=False)
+            continue
+        for packed in frame[PACKED]:
+            with pa.ipc.open_stream(packed) as reader:
+                yield reader.read_all()
+
+
+def _kept(parts: Iterator[pa.Table], path: str) -> str:
+    """Write sorted rows as a run, which is read some at a time."""
+    writer = None
+    for part in parts:
+        for piece in _cut(part, RUN_BYTES):
+            piece = piece.combine_chunks()
+            writer = writer or pa.ipc.new_file(path, piece.schema, options=_packing())
+            writer.write_table(piece)
+    writer.close()
+    return path
+
+
+def _run(path: str) -> Iterator[pa.Table]:
+    with pa.OSFile(path) as file, pa.ipc.open_file(file) as reader:
+        for i in range(reader.num_record_batches):
+            yield pa.Table.from_batches([reader.get_batch(i)])
+    os.unlink(path)
+
+
+def _merged(runs: list[Iterator[pa.Table]], by: str) -> Iterator[pa.Table]:
+    """Rows of sorted runs in one order: up to the least of what the runs' present parts end with, all is there."""
+    parts = [next(run, None) for run in runs]
+    while any(part is not None for part in parts):
+        ends = [None if part is None else part[by][-1] for part in parts]
+        # Nulls and what isn't a number come last.
+        known = [end for end in ends if end is not None and end.as_py() is not None and end.as_py() == end.as_py()]
+        least = min(known, key=lambda end: end.as_py()) if known else None
+        taken = []
+        for i, part in enumerate(parts):
+            if part is None:
+                continue
+            n = part.num_rows if least is None else pc.sum(pc.less_equal(part[by], least)).as_py() or 0
+            if n:
+                taken.append(part.slice(0, n))
+            parts[i] = part.slice(n) if n < part.num_rows else next(runs[i], None)
+        yield _sorted(taken, by)
+
+
+def _together(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+    """The rows in parts of ``OUT_ROWS``, or of fewer if they are large."""
+    held, rows, size = [], 0, 0
+    for table in tables:
+        for part in _cut(table, OUT_BYTES):
+            while part.num_rows:
+                if rows and size + part.nbytes > OUT_BYTES:
+                    yield pa.concat_tables(held, promote_options="permissive")
+                    held, rows, size = [], 0, 0
+                head = part.slice(0, OUT_ROWS - rows)
+                part = part.slice(head.num_rows)
+                held.append(head)
+                rows, size = rows + head.num_rows, size + head.nbytes
+                if rows == OUT_ROWS:
+                    yield pa.concat_tables(held, promote_options="permissive")
+                    held, rows, size = [], 0, 0
+    if held:
+        yield pa.concat_tables(held, promote_options="permissive")
+
+
+def _in_order(rows: Iterator[pd.DataFrame], by: str) -> Iterator[pa.Table]:
+    """All rows, sorted, some at a time. What doesn't fit into ``SORT_BYTES`` is sorted in runs on disk, which are merged."""
+    with tempfile.TemporaryDirectory(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as folder:
+        names = (f"{folder}/{n}" for n in itertools.count())
+        held, size, levels = [], 0, []
+
+        def keep(parts: Iterator[pa.Table], level: int = 0) -> None:
+            if level == len(levels):
+                levels.append([])
+            levels[level].append(_kept(parts, next(names)))
+            if len(levels[level]) == FAN:
+                runs, levels[level] = [_run(path) for path in levels[level]], []
+                keep(_merged(runs, by), level + 1)
+
+        for table in _unpacked(rows):
+            held.append(table)
+            size += table.nbytes
+            if size > SORT_BYTES:
+                keep(iter([_sorted(held, by)]))
+                held, size = [], 0
+        last = [iter(_cut(_sorted(held, by), OUT_BYTES))] if held else []
+        held = []
+        yield from _together(_merged([_run(path) for level in levels for path in level] + last, by))
 
 
 def _replaced(text: str, found: list, known: dict[str, str]) -> str:
@@ -197,10 +310,15 @@ def _replaced(text: str, found: list, known: dict[str, str]) -> str:
     return "".join(parts) + text[done:]
 
 
+def _frame(table: pa.Table) -> pd.DataFrame:
+    """Columns stay as they are in Arrow; only nested ones become Python's."""
+    return table.combine_chunks().to_pandas(types_mapper=lambda kind: None if pa.types.is_nested(kind) else pd.ArrowDtype(kind))
+
+
 class _BoundedNumberer(StatefulProcessor):
     """Placeholders of the scopes of one slot, of which the ``most`` last used are remembered.
 
-    Findings come as JSON, ``[start, end, prefix]`` in order, and texts go back redacted.
+    Findings come as JSON, ``[start, end, prefix]`` in order, and texts go back redacted. A slot's rows are sorted with the help of the disk.
     """
 
     def __init__(self, most: int, text: str, out: str):
@@ -214,18 +332,23 @@ class _BoundedNumberer(StatefulProcessor):
         self.used = handle.getMapState("used", "scope string", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        used = {scope[0]: at[0] for scope, at in self.used.iterator()}
-        before, clock = dict(used), max(used.values(), default=0)
+        before = {scope[0]: at[0] for scope, at in self.used.iterator()}
+        # In the order of use: the first one was not used for the longest.
+        used = dict(sorted(before.items(), key=lambda item: item[1]))
+        clock = max(used.values(), default=0)
         # Scopes that began or began anew in this batch know nothing of what is stored under their name.
         fresh: set[str] = set()
         known: dict[str, dict[str, str]] = {}
         top: dict[str, dict[str, int]] = {}
         for part in _in_order(rows, "seq_"):
             redacted = []
-            for scope, text, listed in zip(part["scope_"], part[self.text], part["found_"], strict=True):
-                if scope not in used:
+            listed = json.loads(f"[{','.join(part['found_'].to_pylist())}]")
+            for scope, text, spans in zip(part["scope_"].to_pylist(), part[self.text].to_pylist(), listed, strict=True):
+                if scope in used:
+                    del used[scope]
+                else:
                     if len(used) >= self.most:
-                        oldest = min(used, key=used.get)
+                        oldest = next(iter(used))
                         del used[oldest]
                         known.pop(oldest, None)
                         top.pop(oldest, None)
@@ -234,14 +357,15 @@ class _BoundedNumberer(StatefulProcessor):
                 used[scope] = clock
                 if scope not in known:
                     known[scope], top[scope] = {}, {}
-                found = [(int(start), int(end), prefix) for start, end, prefix in json.loads(listed)]
+                mine = known[scope]
+                found = [(int(start), int(end), prefix) for start, end, prefix in spans]
                 # The last value of a text is numbered first.
                 for start, end, prefix in reversed(found):
-                    if text[start:end] not in known[scope]:
-                        known[scope][text[start:end]] = self._placeholder(scope, text[start:end], prefix, scope in fresh, top[scope])
-                redacted.append(_replaced(text, found, known[scope]) if found else text)
-            slim = part.drop(columns=[c for c in ("found_", "seq_", "scope_", "slot_", self.out) if c in part.columns])
-            yield slim.assign(**{self.out: redacted})
+                    if (value := text[start:end]) not in mine:
+                        mine[value] = self._placeholder(scope, value, prefix, scope in fresh, top[scope])
+                redacted.append(_replaced(text, found, mine) if found else text)
+            slim = part.drop_columns([c for c in ("found_", "seq_", "scope_", "slot_", self.out) if c in part.column_names])
+            yield _frame(slim.append_column(self.out, pa.array(redacted, pa.string())))
         self._store(before, used, fresh, known, top)
 
     def _placeholder(self, scope: str, value: str, prefix: str, fresh: bool, tops: dict[str, int]) -> str:
@@ -280,6 +404,55 @@ def slot_of(scope: Column, slots: int) -> Column:
     return F.conv(F.substring(F.md5(scope.cast("binary")), 1, 8), 16, 10).cast("bigint") % slots
 
 
+_WORD = (1 << 32) - 1
+
+
+def _turned(x: int, by: int) -> int:
+    return (x << by | x >> (32 - by)) & _WORD
+
+
+def _less(x: int, factor: int) -> int:
+    return x * pow(factor, -1, 1 << 32) & _WORD
+
+
+def key_of(slot: int) -> int:
+    """The long whose hash is the slot's number, so that Spark deals out slots evenly, to any number of partitions.
+
+    Spark's hash is Murmur3 with seed 42; its steps are undone for a long whose lower half is 0.
+    """
+    h = slot & _WORD
+    h = _less(h ^ h >> 16, 0xC2B2AE35)
+    h = _less(h ^ h >> 13 ^ h >> 26, 0x85EBCA6B)
+    h = _turned(_less((h ^ h >> 16 ^ 8) - 0xE6546B64, 5), 19)
+    k = h ^ (_turned(42, 13) * 5 + 0xE6546B64) & _WORD
+    k = _less(_turned(_less(k, 0x1B873593), 17), 0xCC9E2D51)
+    return (k << 32) - ((k >> 31) << 64)
+
+
+def _packer(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows as ``slot_, rows_``: those of a slot in a batch as one value or some, each in order."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table.take(pc.sort_indices(table, [("slot_", "ascending"), ("seq_", "ascending")])).combine_chunks()
+            slots = table["slot_"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(slots)) + 1).tolist(), len(slots)]
+            keys, packed = [], []
+            for start, end in itertools.pairwise(cuts):
+                for part in _cut(table.slice(start, end - start).select(columns), RUN_BYTES):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema, options=_packing()) as writer:
+                        writer.write_table(part)
+                    keys.append(key_of(int(slots[start])))
+                    packed.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], ["slot_", PACKED])
+
+    return pack
+
+
 def redact_stream_keyed(
     df: DataFrame,
     config: Config,
@@ -299,7 +472,8 @@ def redact_stream_keyed(
 
     ``max_scopes`` bounds the number of remembered scopes: they are dealt out to ``slots``, and each slot, worked on by one
     task per batch, keeps its share of the bound. When another scope comes up, the one that was not used for the longest
-    is forgotten; if it comes back it starts over. With one slot that is the order of use over all scopes.
+    is forgotten; if it comes back it starts over. With one slot that is the order of use over all scopes. Rows go to their slots
+    packed, so ``spark.sql.execution.arrow.maxBytesPerBatch`` bounds what a slot's task takes at a time; a few MB are enough.
     """
     if max_scopes is not None and (ttl_ms is not None or max_scopes < slots):
         raise ValueError("max_scopes goes without ttl_ms, and is at least the number of slots")
@@ -308,7 +482,8 @@ def redact_stream_keyed(
         listed = F.transform("spans", lambda x: F.array(x.start.cast("string"), x.end.cast("string"), x.prefix))
         slotted = found.withColumn("found_", F.to_json(listed)).drop("spans").withColumn("slot_", slot_of(F.col("scope_"), slots))
         kept = [field for field in df.schema.fields if field.name != out]
-        return slotted.groupBy("slot_").transformWithStateInPandas(
+        packed = slotted.mapInArrow(_packer([f.name for f in kept] + ["scope_", "seq_", "found_"]), f"slot_ bigint, {PACKED} binary")
+        return packed.groupBy("slot_").transformWithStateInPandas(
             _BoundedNumberer(max_scopes // slots, text, out),
             T.StructType([*kept, T.StructField(out, T.StringType())]),
             outputMode="Append",

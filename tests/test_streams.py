@@ -225,3 +225,61 @@ def test_rows_of_small_files_are_dealt_out(spark, tmp_path, monkeypatch):
     run(coming.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "mark")))
     assert sum(n for _, n in tasks) == 40_000
     assert len(tasks) == 20 and max(n for _, n in tasks) < 3_000
+
+
+def test_a_slot_is_sorted_on_disk(monkeypatch, tmp_path):
+    """More rows than are held leave in order all the same, packed or not, and nothing stays on the disk."""
+    import pyarrow as pa
+
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))
+    monkeypatch.setattr(streams, "SORT_BYTES", 4_000)
+    monkeypatch.setattr(streams, "RUN_BYTES", 1_000)
+    monkeypatch.setattr(streams, "OUT_BYTES", 2_000)
+    monkeypatch.setattr(streams, "FAN", 3)
+    n, most = 3_000, []
+    rows = pd.DataFrame({"at": pd.date_range("2024-01-01", periods=n, tz="UTC"), "text": [f"{i} \u00e9" * (i % 7 + 1) for i in range(n)], "seq_": range(n)})
+    rows.loc[5, "text"] = None
+    mixed = rows.sample(frac=1, random_state=2).reset_index(drop=True)
+    runs = [mixed[i : i + 100] for i in range(0, n, 100)]
+    pack = streams._packer(["at", "text", "seq_"])
+    batches = [pa.RecordBatch.from_pandas(r.assign(slot_=[i % 2 for i in r["seq_"]]), preserve_index=False) for r in runs]
+    packed = [b.to_pandas() for b in pack(iter(batches))]
+    assert {len(p) for p in packed} != {1} and {k for p in packed for k in p["slot_"]} == {streams.key_of(0), streams.key_of(1)}
+    sorting = streams._sorted
+    monkeypatch.setattr(streams, "_sorted", lambda tables, by: most.append(sum(t.nbytes for t in tables)) or sorting(tables, by))
+    for given in (runs, packed):
+        done = list(streams._in_order(iter(given), "seq_"))
+        whole = pa.concat_tables(done).to_pandas()
+        assert list(whole["seq_"]) == list(range(n)) and list(whole["at"]) == list(rows["at"]) and list(whole["text"].fillna("")) == list(rows["text"].fillna(""))
+        assert max(t.nbytes for t in done) < 5_000 and max(most) < 30_000
+    assert list(tmp_path.iterdir()) == []
+    nulls = pd.DataFrame({"seq_": [3.0, None, 1.0, float("nan"), 2.0] * 400, "x": range(2000)})
+    ordered = pa.concat_tables(streams._in_order(iter([nulls[i : i + 50] for i in range(0, 2000, 50)]), "seq_")).to_pandas()
+    assert ordered["seq_"][:1200].tolist() == [1.0] * 400 + [2.0] * 400 + [3.0] * 400 and ordered["seq_"][1200:].isna().all() and sorted(ordered["x"]) == list(range(2000))
+    assert list(streams._in_order(iter([]), "seq_")) == []
+
+
+def test_slots_go_to_partitions_evenly(spark):
+    """Slots share a task only if there are more of them than tasks, whatever the number of partitions."""
+    keys = [streams.key_of(slot) for slot in range(200)]
+    hashes = [r.h for r in spark.createDataFrame([(k,) for k in keys], "slot_ bigint").selectExpr("hash(slot_) AS h").collect()]
+    assert hashes == list(range(200))
+
+
+def test_columns_keep_their_types_through_a_slot(spark, tmp_path):
+    """Large numbers beside nulls, decimals, times and nested values leave a bounded stream as they came."""
+    schema = "doc_id bigint, team string, text string, big bigint, price decimal(20,4), at timestamp, day date, raw binary, tags array<string>, pair struct<a:int,b:string>, flag boolean"
+    rows = spark.range(40).selectExpr(
+        "id AS doc_id", "concat('t', id % 5) AS team", "concat('10.0.0.', id) AS text", "if(id % 3 = 0, null, 9007199254740993 + id) AS big",
+        "if(id % 4 = 0, null, cast(id AS decimal(20,4)) / 7) AS price", "timestamp_seconds(1700000000.25 + id) AS at", "if(id % 2 = 0, null, date'2024-02-29') AS day",
+        "cast(concat('x', id) AS binary) AS raw", "if(id % 5 = 0, null, array('a', cast(id AS string))) AS tags",
+        "named_struct('a', cast(id AS int), 'b', cast(null AS string)) AS pair", "if(id % 6 = 0, null, id % 2 = 0) AS flag",
+    )
+    rows = spark.createDataFrame(rows.selectExpr("*").collect(), schema)
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    coming = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    done = streams.redact_stream_keyed(coming, Config(), scope="team", seq="doc_id", max_scopes=4, slots=2)
+    run(done.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.drop("redacted").collect())) == sorted(map(str, rows.collect()))
+    assert back.where("redacted like '[IP_0%]'").count() == 40
