@@ -109,7 +109,9 @@ def read_uploads(spark: SparkSession, path: str, cap: int | None = None) -> tupl
     within = F.lit(True) if cap is None else F.col("length") <= cap
     accepted = files.where(within).select(F.col("path").alias("doc_id"), text.alias("text"))
     rejected = files.where(~within).select(F.col("path").alias("doc_id"), "length")
-    return dealt_out(accepted, files, F.col("doc_id")), rejected
+    # Lengths alone are read of rejected files, so a task can take very many.
+    few = rejected.coalesce(4 * spark.sparkContext.defaultParallelism)
+    return dealt_out(accepted, files, F.col("doc_id")), few
 
 
 #: The folder's value where ``by`` is null or empty, and what Spark escapes in the names of such folders.

@@ -367,6 +367,8 @@ def test_small_files_are_dealt_out(spark, tmp_path):
         assert by_line.rdd.getNumPartitions() == accepted.rdd.getNumPartitions() == files.read_documents(spark, path).rdd.getNumPartitions() == 16
         rows = by_line.collect()
         texts = accepted.collect()
+        rejected = files.read_uploads(spark, path, cap=1)[1]
+        assert rejected.rdd.getNumPartitions() == 16 and rejected.count() == 300
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(r.text for r in rows) == sorted(f"line {i}" for i in range(1200)) and len({r.doc_id for r in rows}) == 1200
