@@ -566,11 +566,11 @@ def stream_bounded(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_keyed(spark: SparkSession, sf: str, **bounds) -> DataFrame:
     path = scratch(spark, "out")
-    # One state store per shuffle partition: as many as two per core are enough here.
+    # One state store per shuffle partition: as many as two per core are enough here, and no more than there are slots.
     settings = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.shuffle.partitions": str(
-            min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+            min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, bounds.get("slots", 1 << 31))
         ),
         "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
     }
